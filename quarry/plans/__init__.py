@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["violations"]
+MODULES = ["violations", "trips"]
 
 
 def _mods():
