@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["violations", "trips"]
+MODULES = ["violations", "trips", "funding", "loans", "rides"]
 
 
 def _mods():
