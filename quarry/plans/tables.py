@@ -218,13 +218,15 @@ FROM events WHERE event_type IN ('purchase', 'error', 'click')"""
 def scores(spark, sf):
     o = read(spark, sf, "orders")
     return o.select(F.col("o_orderkey").alias("id"), (F.col("o_orderstatus") == "F").cast("int").alias("label"),
-                    ((F.col("o_orderkey") * 7919 % 1000) / F.lit(1000.0)).alias("score"),
-                    F.col("o_orderpriority").alias("priority"))
+                    ((F.col("o_orderkey") * 7919 % 1000).cast("double") / F.lit(1000.0)).alias("score"),
+                    F.col("o_orderpriority").alias("priority"), F.col("o_totalprice").alias("amount"),
+                    F.col("o_orderdate").alias("ordered"))
 
 
 CTE["scores"] = """
 SELECT o_orderkey AS id, CAST(o_orderstatus = 'F' AS INTEGER) AS label,
-       (o_orderkey * 7919 % 1000) / 1000.0 AS score, o_orderpriority AS priority
+       CAST(o_orderkey * 7919 % 1000 AS DOUBLE) / 1000.0 AS score, o_orderpriority AS priority,
+       o_totalprice AS amount, o_orderdate AS ordered
 FROM orders"""
 
 # --------------------------------------------------------------------------
