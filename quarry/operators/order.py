@@ -143,18 +143,20 @@ def _stat_map(df: DataFrame, c: str, positions, by) -> DataFrame:
         F.first("__n").alias("__n"))
 
 
+def _probs(probs) -> Column:
+    return F.array(*[F.lit(float(p)) for p in probs])
+
+
 def _linear_positions(probs):
+    """Ranks floor(h) and floor(h)+1 of every probability, h = (n - 1) p + 1 (type 7)."""
     def pos(n):
-        ks = []
-        for p in probs:
-            lo = F.floor((n - 1).cast("double") * F.lit(float(p))).cast("long") + 1
-            ks += [lo, F.least(lo + 1, n)]
-        return F.array_distinct(F.array(*ks))
+        lo = lambda p: F.floor((n - 1).cast("double") * p).cast("long") + 1
+        return F.array_distinct(F.flatten(F.transform(_probs(probs), lambda p: F.array(lo(p), F.least(lo(p) + 1, n)))))
     return pos
 
 
-def _linear_value(m: Column, n: Column, p: float) -> Column:
-    h = (n - 1).cast("double") * F.lit(float(p))
+def _linear_value(m: Column, n: Column, p: Column) -> Column:
+    h = (n - 1).cast("double") * p
     lo = F.floor(h).cast("long") + 1
     x_lo = F.element_at(m, lo)
     x_hi = F.element_at(m, F.least(lo + 1, n))
@@ -166,13 +168,14 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] =
     """Exact type-7 (linear interpolation) quantiles, long form (by..., prob, value).
 
     Equals ``percentile(c, p)`` in Spark and ``quantile_cont`` in DuckDB, but
-    never gathers the values of a group into one buffer.
+    never gathers the values of a group into one buffer: only the 2 x len(probs)
+    order statistics of each group travel.
     """
     by = list(by)
     sm = _stat_map(df, c, _linear_positions(probs), by)
-    arr = F.array(*[F.struct(F.lit(float(p)).alias(prob_col),
-                             _linear_value(F.col("__m"), F.col("__n"), p).cast("double").alias(value_col))
-                    for p in probs])
+    m, n = F.col("__m"), F.col("__n")
+    arr = F.transform(_probs(probs), lambda p: F.struct(
+        p.alias(prob_col), _linear_value(m, n, p).cast("double").alias(value_col)))
     return sm.select(*[q(b) for b in by], F.inline(arr))
 
 
@@ -181,7 +184,7 @@ def quantiles_wide(df: DataFrame, c: str, probs: dict[str, float], by: Sequence[
     by = list(by)
     sm = _stat_map(df, c, _linear_positions(list(probs.values())), by)
     return sm.select(*[q(b) for b in by], F.col("__n").alias("n"),
-                     *[_linear_value(F.col("__m"), F.col("__n"), p).cast("double").alias(name)
+                     *[_linear_value(F.col("__m"), F.col("__n"), F.lit(float(p))).cast("double").alias(name)
                        for name, p in probs.items()])
 
 

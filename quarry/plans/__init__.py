@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["violations", "trips", "funding", "loans", "rides", "scores"]
+MODULES = ["violations", "trips", "funding", "loans", "rides", "scores", "quality"]
 
 
 def _mods():
