@@ -68,11 +68,12 @@ _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 
 
 def elapsed(start: ColumnOrName, end: ColumnOrName, unit: str = "second") -> Column:
-    """End - start in whole seconds (long) or, for coarser units, as a double."""
-    secs = F.unix_timestamp(_c(end).cast("timestamp")) - F.unix_timestamp(_c(start).cast("timestamp"))
+    """End - start; whole seconds (long, truncated toward zero) for unit='second',
+    otherwise the exact difference (microsecond resolution) in that unit as a double."""
+    micros = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
     if unit == "second":
-        return secs
-    return secs.cast("double") / F.lit(float(_UNIT_SECONDS[unit]))
+        return (micros / F.lit(1_000_000)).cast("long")
+    return micros.cast("double") / F.lit(1e6 * _UNIT_SECONDS[unit])
 
 
 def rate(qty: ColumnOrName, start: ColumnOrName, end: ColumnOrName, per: str = "hour") -> Column:

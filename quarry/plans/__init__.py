@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["violations", "trips", "funding", "loans", "rides", "scores", "quality", "sales"]
+MODULES = ["violations", "trips", "funding", "loans", "rides", "scores", "quality", "sales", "attrition", "digits"]
 
 
 def _mods():
