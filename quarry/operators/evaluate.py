@@ -55,9 +55,13 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float]
     cs = sorted(float(c) for c in cutoffs)
     arr = F.array(*[F.lit(c) for c in cs])
     s = q(score).cast("double")
-    passed = F.size(F.filter(arr, (lambda c: c <= s) if inclusive else (lambda c: c < s)))
-    counts = df.where(s.isNotNull()).groupBy(passed.alias("__b"), q(label).cast("int").alias("__y")) \
+    # count per (score, label) first: partial aggregation shrinks repeated scores map-side,
+    # and the per-row cutoff test then runs once per distinct score
+    per_score = df.where(s.isNotNull()).groupBy(s.alias("__s"), q(label).cast("int").alias("__y")) \
         .agg(F.count(F.lit(1)).alias("__n"))
+    sc = F.col("__s")
+    passed = F.size(F.filter(arr, (lambda c: c <= sc) if inclusive else (lambda c: c < sc)))
+    counts = per_score.groupBy(passed.alias("__b"), "__y").agg(F.sum("__n").alias("__n"))
     spark = df.sparkSession
     cut = F.broadcast(spark.createDataFrame([(i + 1, c) for i, c in enumerate(cs)], "__i int, cutoff double"))
     j = cut.crossJoin(F.broadcast(counts))  # (cutoffs) x (cutoffs+1) x 2 rows at most

@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import bounded_broadcast
 
 
 def q(name: str) -> Column:
@@ -95,7 +94,9 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column |
     offs = totals.select(F.col("__pid").alias("__opid"),
                          *[q(b).alias(f"__ob{i}") for i, b in enumerate(by)],
                          F.coalesce(F.sum("__t").over(w), F.lit(0).cast(local_type)).alias("__off"))
-    offs = bounded_broadcast(offs)
+    # at most one row per (partition, group): bounded by the partition count when ungrouped (hint);
+    # with groups it is at most partitions + groups rows and AQE picks the join from its measured size
+    offs = offs if by else F.broadcast(offs)
     cond = F.col("__pid") == F.col("__opid")
     for i, b in enumerate(by):
         cond = cond & q(b).eqNullSafe(F.col(f"__ob{i}"))
@@ -121,7 +122,9 @@ def order_statistics(df: DataFrame, c: str, positions: Callable[[Column], Column
               .agg(F.count(F.lit(1)).alias("__cnt")))
     cum = running_total(counts, ["__v"], F.col("__cnt"), by, "__cum")
     sizes = counts.groupBy(*[q(b).alias(f"__sb{i}") for i, b in enumerate(by)]).agg(F.sum("__cnt").alias("__n"))
-    sizes = bounded_broadcast(sizes)
+    # the wanted ranks are computed once per group, not once per distinct value
+    sizes = sizes.withColumn("__pos", positions(F.col("__n")))
+    sizes = sizes if by else F.broadcast(sizes)  # one row per group (AQE decides when grouped)
     if by:
         cond = None
         for i, b in enumerate(by):
@@ -132,7 +135,7 @@ def order_statistics(df: DataFrame, c: str, positions: Callable[[Column], Column
         j = cum.crossJoin(sizes)
     lo = F.col("__cum") - F.col("__cnt")
     hi = F.col("__cum")
-    picked = F.filter(positions(F.col("__n")), lambda k: (k > lo) & (k <= hi))
+    picked = F.filter(F.col("__pos"), lambda k: (k > lo) & (k <= hi))
     return j.select(*[q(b) for b in by], F.explode(picked).alias("__k"), F.col("__v"), F.col("__n"))
 
 

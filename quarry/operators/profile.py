@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.operators.order import hinges, q, quantiles_wide
-from quarry.session import bounded_broadcast
 
 
 def _long(row: DataFrame, names: Sequence[str], var: str, val: str) -> DataFrame:
@@ -132,8 +131,8 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge"
     st = (st.withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - F.lit(coef) * F.col("iqr"))
             .withColumn("upper_fence", F.col("q3") + F.lit(coef) * F.col("iqr")))
-    fence = bounded_broadcast(st.select(*[q(b).alias(f"__fb{i}") for i, b in enumerate(by)],
-                                        "lower_fence", "upper_fence"))
+    fence = st.select(*[q(b).alias(f"__fb{i}") for i, b in enumerate(by)], "lower_fence", "upper_fence")
+    fence = fence if by else F.broadcast(fence)  # one row per group; one row in all when ungrouped
     cond = None
     for i, b in enumerate(by):
         e = q(b).eqNullSafe(F.col(f"__fb{i}"))
@@ -163,7 +162,7 @@ def outliers(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge",
     by = list(by)
     st = box_stats(df, c, by, rule, coef).select(*[q(b).alias(f"__ob{i}") for i, b in enumerate(by)],
                                                  "lower_fence", "upper_fence")
-    st = bounded_broadcast(st)
+    st = st if by else F.broadcast(st)  # one row per group
     if by:
         cond = None
         for i, b in enumerate(by):

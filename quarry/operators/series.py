@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.order import q
-from quarry.session import bounded_broadcast
 
 
 def _w(by: Sequence[str], t: str | None = None) -> Window:
@@ -286,7 +285,8 @@ def trend_predict(df: DataFrame, coefs: DataFrame, by: Sequence[str], t: str, sp
                   out: str = "fitted") -> DataFrame:
     """M6: fitted / forecast trend = basis(t) . coef, for any t (past rows or future indexes)."""
     by = list(by)
-    c = bounded_broadcast(coefs.select(*[q(b).alias(f"__c{i}") for i, b in enumerate(by)], "coef"))
+    # one row per series: joined by key; AQE broadcasts it from its measured size
+    c = coefs.select(*[q(b).alias(f"__c{i}") for i, b in enumerate(by)], "coef")
     cond = None
     for i, b in enumerate(by):
         e = q(b).eqNullSafe(F.col(f"__c{i}"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,12 +64,20 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Broadcast hint only if ``df`` is proven to hold at most ``max_rows`` rows.
 
-    The check reads at most ``max_rows + 1`` rows.  Beyond the bound the side
-    is returned unhinted, so Spark falls back to a shuffled (sort-merge) join,
-    which AQE may still turn into a broadcast from runtime statistics.
+    For user-supplied dimension tables of unknown size.  The check reads at
+    most ``max_rows + 1`` rows of the (persisted, so not recomputed) side.
+    Beyond the bound the side is returned unhinted and unpersisted: Spark then
+    plans a shuffled sort-merge join (AQE may still switch to a broadcast from
+    the measured shuffle size).  Intermediate tables inside the operators are
+    not checked this way: they are either bounded by construction (one row,
+    one row per partition) and hinted, or left to AQE's runtime size check.
     """
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    if n <= max_rows:
+        return F.broadcast(df)
+    df.unpersist()
+    return df
 
 
 def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
