@@ -59,6 +59,15 @@ def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, levels:
     return out
 
 
+def row_mean(df: DataFrame, key: Sequence[str], cols: Sequence[str], out: str = "row_mean") -> DataFrame:
+    """Mean over many columns of each row, NULLs skipped -> (key..., out).
+
+    Unpivot to (key, value) and average by key: the same plan for 3 or 3,000 columns.
+    """
+    long = df.unpivot([q(k) for k in key], [q(c).cast("double").alias(c) for c in cols], "__col", "__v")
+    return long.groupBy(*[q(k) for k in key]).agg(F.avg("__v").alias(out))
+
+
 def timesheet_hours(in_df: DataFrame, out_df: DataFrame, key: str, day_cols: Sequence[str] | None = None,
                     pattern: str | None = None) -> DataFrame:
     """Two wide timesheets (one column per day) -> mean hours per key.

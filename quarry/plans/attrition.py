@@ -219,14 +219,27 @@ def q_residuals(spark, sf):
     return aggs.histogram(r, "residual", 20)
 
 
+def q_row_mean(spark, sf):
+    """Mean of engine size, price and a half-NULL column per car, NULLs skipped."""
+    c = car_table(spark, sf).withColumn("half", F.when(F.col("car_id") % 2 == 0, F.col("price") / 2))
+    m = reshape.row_mean(c, ["car_id"], ["enginesize", "price", "half"])
+    return m.withColumn("row_mean", F.round("row_mean", 8))
+
+
+SQL_ROW_MEAN = with_ctes("""SELECT car_id, round((enginesize + price + coalesce(half, 0))
+ / (2 + CAST(half IS NOT NULL AS INTEGER)), 8) AS row_mean
+FROM (SELECT *, CASE WHEN car_id % 2 = 0 THEN price / 2 END AS half FROM cars)""", "cars")
+
+
 QUERIES = {
     "join_all": q_join_all, "timesheet_hours": q_timesheet_hours, "dummies": q_dummies,
     "minmax_scale": q_minmax_scale, "split_stratified": q_split_stratified, "split_random": q_split_random,
     "assemble": q_assemble, "logit": q_logit, "logit_l2": q_logit_l2, "step_aic": q_step_aic,
     "prune_features": q_prune_features, "score": q_score, "ols": q_ols, "vif": q_vif,
-    "vif_uncentred": q_vif_uncentred, "rfe": q_rfe, "residuals": q_residuals,
+    "vif_uncentred": q_vif_uncentred, "rfe": q_rfe, "residuals": q_residuals, "row_mean": q_row_mean,
 }
 ORACLE = {
     "join_all": SQL_JOIN_ALL, "timesheet_hours": SQL_TIMESHEET_HOURS, "dummies": SQL_DUMMIES,
     "minmax_scale": SQL_MINMAX_SCALE, "split_stratified": SQL_SPLIT_STRATIFIED, "ols": SQL_OLS, "vif": SQL_VIF,
+    "row_mean": SQL_ROW_MEAN,
 }

@@ -233,6 +233,16 @@ SELECT market, segment, round(avg(sales - naive), 6) AS me, round(sqrt(avg((sale
  round(avg(abs((sales - naive) / nullif(sales, 0)) * 100), 6) AS mape FROM f WHERE t > mx - 6 GROUP BY ALL""".lstrip("\n"))
 
 
+def q_arg_max(spark, sf):
+    """The best month (largest sales, earliest on ties) of each series -- an aggregate, no window."""
+    a = rank.arg_max(monthly(spark, sf), BY, "sales", ["t"], cols=["t", "quantity", "sales"])
+    return a.select(*BY, "t", "quantity", F.round("sales", 2).alias("sales"))
+
+
+SQL_ARG_MAX = _sql("""SELECT market, segment, t, quantity, round(sales, 2) AS sales FROM (
+ SELECT *, row_number() OVER (PARTITION BY market, segment ORDER BY sales DESC, t) AS r FROM series) WHERE r = 1""")
+
+
 # ---- the model-based steps: no SQL twin (rows-only check; numeric unit tests in tests/)
 
 
@@ -287,7 +297,7 @@ QUERIES = {
     "coef_variation": q_coef_variation, "add_index": q_add_index, "split_by_index": q_split_by_index,
     "moving_average": q_moving_average, "lags": q_lags, "smooth": q_smooth, "decompose": q_decompose,
     "acf": q_acf, "ljung_box": q_ljung_box, "kpss_test": q_kpss_test, "forecast_accuracy": q_forecast_accuracy,
-    "pacf": q_pacf, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
+    "arg_max": q_arg_max, "pacf": q_pacf, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
     "local_part": q_local_part, "seasonal_ar": q_seasonal_ar, "backtest": q_backtest,
 }
 ORACLE = {
@@ -295,4 +305,5 @@ ORACLE = {
     "coef_variation": SQL_COEF_VARIATION, "add_index": SQL_ADD_INDEX, "split_by_index": SQL_SPLIT_BY_INDEX,
     "moving_average": SQL_MOVING_AVERAGE, "lags": SQL_LAGS, "smooth": SQL_SMOOTH, "decompose": SQL_DECOMPOSE,
     "acf": SQL_ACF, "ljung_box": SQL_LJUNG_BOX, "kpss_test": SQL_KPSS_TEST, "forecast_accuracy": SQL_FORECAST_ACCURACY,
+    "arg_max": SQL_ARG_MAX,
 }

@@ -1,0 +1,14 @@
+"""Streaming.
+
+The reference reads static files only: no stream source, watermark, window or
+state appears in it, so no streaming operator is built here.
+
+What carries over unchanged: every row-local operator (``quarry.functions``,
+``clean.where / cleanse / recode / bucketize / classify / cap / set_where /
+drop_nulls``, ``joins.lookup / weight_by / map_category`` against a static
+dimension) is a plain projection or filter, so it applies as-is to a
+DataFrame from ``spark.readStream``.  Aggregating operators need a watermark
+and an output mode on a stream; use them per micro-batch through
+``foreachBatch`` when exact batch semantics are wanted.
+``tests/test_streaming.py`` runs the trip rule set on a file stream.
+"""
