@@ -98,11 +98,11 @@ def test_svms_on_blobs(spark):
     rows = [(i, float(c), [float(v) for v in centers[c] + rng.normal(size=2)]) for i, c in
             enumerate(rng.integers(0, 3, size=300))]
     df = spark.createDataFrame(rows, "id long, label double, f array<double>").withColumn("features", array_to_vector("f"))
-    m = models.svm_linear(df, "label", "features", c=1.0, max_iter=30)
+    m = models.svm_linear(df, "label", "features", c=1.0, max_iter=10)
     acc = m.transform(df).where(F.col("label") == F.col("prediction")).count() / 300
     assert acc > 0.95
-    m2, z = models.svm_rbf(df, "label", "features", sigma=0.1, c=10.0, n_features=64, seed=1, max_iter=30)
+    m2, z = models.svm_rbf(df, "label", "features", sigma=0.1, c=10.0, n_features=64, seed=1, max_iter=10)
     acc2 = m2.transform(z).where(F.col("label") == F.col("prediction")).count() / 300
     assert acc2 > 0.9
-    g = models.grid_search(df, "label", "features", {"c": [0.1, 1.0]}, folds=2, max_iter=5).collect()
+    g = models.grid_search(df, "label", "features", {"c": [0.1, 1.0]}, folds=2, max_iter=3).collect()
     assert len(g) == 2 and all(0 <= r.accuracy <= 1 for r in g)
