@@ -52,11 +52,12 @@ def ratio(a: ColumnOrName, b: ColumnOrName, pct: bool = False) -> Column:
 
 
 def parse_date(c: ColumnOrName, pattern: str) -> Column:
-    """Text -> timestamp with one pattern; text that does not fit gives NULL.
+    """Text -> wall-clock timestamp (TIMESTAMP_NTZ) with one pattern; text that does not
+    fit gives NULL.  The result does not depend on the session time zone.
 
     Two-digit years ('yy') resolve into 2000-2099, as Spark defines it.
     """
-    return F.try_to_timestamp(_c(c), F.lit(pattern))
+    return F.try_to_timestamp(_c(c), F.lit(pattern)).cast("timestamp_ntz")
 
 
 def parse_any(c: ColumnOrName, patterns: Iterable[str]) -> Column:
@@ -70,7 +71,8 @@ _UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400}
 def elapsed(start: ColumnOrName, end: ColumnOrName, unit: str = "second") -> Column:
     """End - start; whole seconds (long, truncated toward zero) for unit='second',
     otherwise the exact difference (microsecond resolution) in that unit as a double."""
-    micros = F.unix_micros(_c(end).cast("timestamp")) - F.unix_micros(_c(start).cast("timestamp"))
+    # on wall-clock (NTZ) timestamps the difference does not depend on the session time zone
+    micros = F.timestamp_diff("MICROSECOND", _c(start), _c(end))
     if unit == "second":
         return (micros / F.lit(1_000_000)).cast("long")
     return micros.cast("double") / F.lit(1e6 * _UNIT_SECONDS[unit])

@@ -36,8 +36,17 @@ def unpivot_flags(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: s
     return long
 
 
-def dummy_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
-    """Sorted distinct levels of each categorical column (one aggregate; level lists are small)."""
+def dummy_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
+    """Sorted distinct levels of each categorical column (one aggregate).
+
+    The level lists become columns, so they must be small: a column with more
+    than ``max_levels`` levels is refused (checked by a distinct count first)
+    instead of gathering an unbounded set on the driver.
+    """
+    n = df.agg(*[F.approx_count_distinct(q(c)).alias(c) for c in cols]).first()
+    wide = [c for c in cols if n[c] > max_levels]
+    if wide:
+        raise ValueError(f"too many levels for one-hot columns: {wide}")
     row = df.agg(*[F.sort_array(F.collect_set(q(c))).alias(c) for c in cols]).first()
     return {c: list(row[c]) for c in cols}
 

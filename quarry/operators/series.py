@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.order import q
+from quarry.operators.order import q, row_index
 
 
 def _w(by: Sequence[str], t: str | None = None) -> Window:
@@ -60,8 +60,8 @@ def rank_series(series: DataFrame, by: Sequence[str], c: str) -> DataFrame:
     g = series.groupBy(*[q(b) for b in by]).agg(F.sum(q(c)).alias("total"), F.avg(q(c)).alias("mean"),
                                                 F.stddev_samp(q(c)).alias("sd"))
     g = g.withColumn("cv", F.try_divide(F.col("sd"), F.col("mean")))
-    return g.withColumn("rank", F.row_number().over(  # one row per series
-        Window.orderBy(F.col("total").desc(), *[q(b) for b in by])).cast("long"))
+    # series may number in the millions: distributed rank, not an unpartitioned window
+    return row_index(g, [F.col("total").desc(), *[q(b).asc() for b in by]], out="rank")
 
 
 # --------------------------------------------------------------------------- M3 / M4
