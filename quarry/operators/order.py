@@ -38,10 +38,13 @@ def _same(a, b) -> bool:
 
 
 def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column | None = None,
-                  by: Sequence[str] = (), out: str = "cum", num_partitions: int | None = None) -> DataFrame:
+                  by: Sequence[str] = (), out: str = "cum", num_partitions: int | None = None,
+                  total_out: str | None = None, per_group: Callable[[Column], dict] | None = None) -> DataFrame:
     """Running (inclusive) total of ``weight`` (1 per row if None) within ``by`` in ``order``.
 
     Give a total order (append a key) if ties must resolve the same way every run.
+    ``total_out`` adds the group's grand total; ``per_group(total)`` may add further
+    columns computed once per (partition, group) on the small offsets table.
     """
     spark = df.sparkSession
     by = list(by)
@@ -91,9 +94,22 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column |
     local = ranged.mapInPandas(per_partition, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
     totals = local.groupBy("__pid", *[q(b) for b in by]).agg(F.sum("__w").alias("__t"))
     w = Window.partitionBy(*[q(b) for b in by]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    group_total = F.sum("__t").over(Window.partitionBy(*[q(b) for b in by]))
+    extra = {}
+    if total_out or per_group:
+        extra["__gt"] = group_total
     offs = totals.select(F.col("__pid").alias("__opid"),
                          *[q(b).alias(f"__ob{i}") for i, b in enumerate(by)],
-                         F.coalesce(F.sum("__t").over(w), F.lit(0).cast(local_type)).alias("__off"))
+                         F.coalesce(F.sum("__t").over(w), F.lit(0).cast(local_type)).alias("__off"),
+                         *[e.alias(k) for k, e in extra.items()])
+    extra_out = []
+    if per_group:
+        cols = per_group(F.col("__gt"))
+        offs = offs.withColumns(cols)
+        extra_out += list(cols)
+    if total_out:
+        offs = offs.withColumnRenamed("__gt", total_out)
+        extra_out.append(total_out)
     # at most one row per (partition, group): bounded by the partition count when ungrouped (hint);
     # with groups it is at most partitions + groups rows and AQE picks the join from its measured size
     offs = offs if by else F.broadcast(offs)
@@ -101,7 +117,8 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column |
     for i, b in enumerate(by):
         cond = cond & q(b).eqNullSafe(F.col(f"__ob{i}"))
     joined = local.join(offs, cond, "inner")
-    return joined.select(*[q(c) for c in df.columns], (F.col("__local") + F.col("__off")).alias(out))
+    return joined.select(*[q(c) for c in df.columns], (F.col("__local") + F.col("__off")).alias(out),
+                         *[F.col(c) for c in extra_out])
 
 
 def row_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] = (), out: str = "rn") -> DataFrame:
@@ -120,19 +137,10 @@ def order_statistics(df: DataFrame, c: str, positions: Callable[[Column], Column
     by = list(by)
     counts = (df.where(q(c).isNotNull()).groupBy(*[q(b) for b in by], q(c).alias("__v"))
               .agg(F.count(F.lit(1)).alias("__cnt")))
-    cum = running_total(counts, ["__v"], F.col("__cnt"), by, "__cum")
-    sizes = counts.groupBy(*[q(b).alias(f"__sb{i}") for i, b in enumerate(by)]).agg(F.sum("__cnt").alias("__n"))
-    # the wanted ranks are computed once per group, not once per distinct value
-    sizes = sizes.withColumn("__pos", positions(F.col("__n")))
-    sizes = sizes if by else F.broadcast(sizes)  # one row per group (AQE decides when grouped)
-    if by:
-        cond = None
-        for i, b in enumerate(by):
-            e = q(b).eqNullSafe(F.col(f"__sb{i}"))
-            cond = e if cond is None else cond & e
-        j = cum.join(sizes, cond, "inner")
-    else:
-        j = cum.crossJoin(sizes)
+    # the group size and the wanted ranks ride on the small offsets table: computed once per
+    # (partition, group), not once per distinct value, and without another pass over the data
+    j = running_total(counts, ["__v"], F.col("__cnt"), by, "__cum", total_out="__n",
+                      per_group=lambda n: {"__pos": positions(n)})
     lo = F.col("__cum") - F.col("__cnt")
     hi = F.col("__cum")
     picked = F.filter(F.col("__pos"), lambda k: (k > lo) & (k <= hi))
