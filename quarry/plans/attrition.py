@@ -190,6 +190,20 @@ UNION ALL SELECT '(Intercept)', round(a, 8), round(sqrt(s2 * (1.0 / n + mx * mx
  round(a / sqrt(s2 * (1.0 / n + mx * mx / sxx)), 6) FROM r, e""", "cars")
 
 
+def q_ols_no_intercept(spark, sf):
+    """J5 + K1: the intercept is an explicit option (Q17): price on engine size through the origin."""
+    coefs, _ = models.ols(car_table(spark, sf), "price", ["enginesize"], intercept=False)
+    return coefs.select("term", F.round("estimate", 8).alias("estimate"), F.round("std_error", 8).alias("std_error"))
+
+
+SQL_OLS_NO_INTERCEPT = with_ctes("""
+, b AS (SELECT sum(enginesize * price) / sum(enginesize * enginesize) AS b, sum(enginesize * enginesize) AS sxx,
+        count(*) AS n FROM cars)
+SELECT 'enginesize' AS term, round(b, 8) AS estimate,
+ round(sqrt(sum((price - b * enginesize) * (price - b * enginesize)) / (any_value(n) - 1) / any_value(sxx)), 8)
+ AS std_error FROM cars, b GROUP BY b""", "cars")
+
+
 def q_vif(spark, sf):
     """K6 (centred, two predictors): VIF = 1 / (1 - r^2)."""
     v = models.vif(car_table(spark, sf), CAR_X, centred=True)
@@ -237,9 +251,10 @@ QUERIES = {
     "assemble": q_assemble, "logit": q_logit, "logit_l2": q_logit_l2, "step_aic": q_step_aic,
     "prune_features": q_prune_features, "score": q_score, "ols": q_ols, "vif": q_vif,
     "vif_uncentred": q_vif_uncentred, "rfe": q_rfe, "residuals": q_residuals, "row_mean": q_row_mean,
+    "ols_no_intercept": q_ols_no_intercept,
 }
 ORACLE = {
     "join_all": SQL_JOIN_ALL, "timesheet_hours": SQL_TIMESHEET_HOURS, "dummies": SQL_DUMMIES,
     "minmax_scale": SQL_MINMAX_SCALE, "split_stratified": SQL_SPLIT_STRATIFIED, "ols": SQL_OLS, "vif": SQL_VIF,
-    "row_mean": SQL_ROW_MEAN,
+    "row_mean": SQL_ROW_MEAN, "ols_no_intercept": SQL_OLS_NO_INTERCEPT,
 }

@@ -243,6 +243,19 @@ SQL_ARG_MAX = _sql("""SELECT market, segment, t, quantity, round(sales, 2) AS sa
  SELECT *, row_number() OVER (PARTITION BY market, segment ORDER BY sales DESC, t) AS r FROM series) WHERE r = 1""")
 
 
+def q_time_basis(spark, sf):
+    """Trig and polynomial bases of the time index (the regressors of the trend fit)."""
+    s = monthly(spark, sf).select(*BY, "t")
+    X = series.basis(F.col("t"), [("poly", 2), ("sin", 0.5), ("cos", 0.5), ("sinpoly", 0.5, 1)])
+    names = ["one", "t1", "t2", "sin05", "cos05", "sin05_t1"]
+    return s.select(*BY, "t", *[F.round(x, 10).alias(n) for x, n in zip(X, names)])
+
+
+SQL_TIME_BASIS = _sql("""SELECT market, segment, t, 1.0 AS one, round(CAST(t AS DOUBLE), 10) AS t1,
+ round(CAST(t AS DOUBLE) ^ 2, 10) AS t2, round(sin(0.5 * t), 10) AS sin05, round(cos(0.5 * t), 10) AS cos05,
+ round(sin(0.5 * t) * t, 10) AS sin05_t1 FROM series""")
+
+
 # ---- the model-based steps: no SQL twin (rows-only check; numeric unit tests in tests/)
 
 
@@ -297,7 +310,7 @@ QUERIES = {
     "coef_variation": q_coef_variation, "add_index": q_add_index, "split_by_index": q_split_by_index,
     "moving_average": q_moving_average, "lags": q_lags, "smooth": q_smooth, "decompose": q_decompose,
     "acf": q_acf, "ljung_box": q_ljung_box, "kpss_test": q_kpss_test, "forecast_accuracy": q_forecast_accuracy,
-    "arg_max": q_arg_max, "pacf": q_pacf, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
+    "arg_max": q_arg_max, "time_basis": q_time_basis, "pacf": q_pacf, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
     "local_part": q_local_part, "seasonal_ar": q_seasonal_ar, "backtest": q_backtest,
 }
 ORACLE = {
@@ -305,5 +318,5 @@ ORACLE = {
     "coef_variation": SQL_COEF_VARIATION, "add_index": SQL_ADD_INDEX, "split_by_index": SQL_SPLIT_BY_INDEX,
     "moving_average": SQL_MOVING_AVERAGE, "lags": SQL_LAGS, "smooth": SQL_SMOOTH, "decompose": SQL_DECOMPOSE,
     "acf": SQL_ACF, "ljung_box": SQL_LJUNG_BOX, "kpss_test": SQL_KPSS_TEST, "forecast_accuracy": SQL_FORECAST_ACCURACY,
-    "arg_max": SQL_ARG_MAX,
+    "arg_max": SQL_ARG_MAX, "time_basis": SQL_TIME_BASIS,
 }

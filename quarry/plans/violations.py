@@ -201,17 +201,32 @@ SQL_N_DISTINCT = with_ctes("""SELECT count(DISTINCT time_text) AS n_sql,
  count(DISTINCT time_text) + max(CAST(time_text IS NULL AS BIGINT)) AS n_with_null FROM violations""", "violations")
 
 
+def q_append_rows(spark, sf):
+    """H2: rows appended by column name when one input lacks columns (51 vs 43 in the reference):
+    missing columns come in as NULL."""
+    by_year = violations_by_year(spark, sf)
+    full = by_year[1996].select("ticket", "code", "state", "precinct")
+    narrow = by_year[1997].select("ticket", "code", "state")
+    u = reshape.union_all([full, narrow], allow_missing=True)
+    return u.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count("precinct").alias("with_precinct"))
+
+
+SQL_APPEND_ROWS = with_ctes("""SELECT code, count(*) AS n, count(precinct) AS with_precinct FROM (
+ SELECT ticket, code, state, precinct FROM tickets WHERE y = 1996
+ UNION ALL SELECT ticket, code, state, NULL FROM tickets WHERE y = 1997) GROUP BY code""", "tickets")
+
+
 QUERIES = {
     "top_k_by_group": q_top_k_by_group, "top_k": q_top_k, "nth_by": q_nth_by, "count_by": q_count_by,
     "length_profile": q_length_profile, "drop_nulls": q_drop_nulls, "to_int": q_to_int,
     "bucketize": q_bucketize, "where": q_where, "replace_value": q_replace_value,
     "union_tagged": q_union_tagged, "classify": q_classify, "weight_by": q_weight_by,
-    "distinct_values": q_distinct_values, "n_distinct": q_n_distinct,
+    "distinct_values": q_distinct_values, "n_distinct": q_n_distinct, "append_rows": q_append_rows,
 }
 ORACLE = {
     "top_k_by_group": SQL_TOP_K_BY_GROUP, "top_k": SQL_TOP_K, "nth_by": SQL_NTH_BY, "count_by": SQL_COUNT_BY,
     "length_profile": SQL_LENGTH_PROFILE, "drop_nulls": SQL_DROP_NULLS, "to_int": SQL_TO_INT,
     "bucketize": SQL_BUCKETIZE, "where": SQL_WHERE, "replace_value": SQL_REPLACE_VALUE,
     "union_tagged": SQL_UNION_TAGGED, "classify": SQL_CLASSIFY, "weight_by": SQL_WEIGHT_BY,
-    "distinct_values": SQL_DISTINCT_VALUES, "n_distinct": SQL_N_DISTINCT,
+    "distinct_values": SQL_DISTINCT_VALUES, "n_distinct": SQL_N_DISTINCT, "append_rows": SQL_APPEND_ROWS,
 }
