@@ -49,15 +49,15 @@ def min_max(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
 def count_above_mean(df: DataFrame, cols: Sequence[str], digits: int | None = None) -> DataFrame:
     """per column, its mean (optionally rounded half-even) and the rows above it.
 
-    One aggregate gives the means (a one-row table, joined to every row by a
-    broadcast one-row cross join); a second aggregate counts.
+    The means are uncorrelated scalar subqueries (Catalyst merges them into one
+    aggregate, run once); a second aggregate counts against them.
     """
-    means = df.agg(*[F.avg(q(c)).alias(f"__m{i}") for i, c in enumerate(cols)])
-    if digits is not None:
-        means = means.select(*[F.bround(F.col(f"__m{i}"), digits).alias(f"__m{i}") for i in range(len(cols))])
-    j = df.crossJoin(F.broadcast(means))  # one row
-    row = j.agg(*[F.first(f"__m{i}").alias(f"mean__{i}") for i in range(len(cols))],
-                *[F.count_if(q(c) > F.col(f"__m{i}")).cast("long").alias(f"above__{i}") for i, c in enumerate(cols)])
+    means = []
+    for c in cols:
+        m = F.avg(q(c))
+        means.append(df.agg(F.bround(m, digits) if digits is not None else m).scalar())
+    row = df.agg(*[F.first(means[i]).alias(f"mean__{i}") for i in range(len(cols))],
+                 *[F.count_if(q(c) > means[i]).cast("long").alias(f"above__{i}") for i, c in enumerate(cols)])
     stacked = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"mean__{i}").cast("double").alias("mean"),
                                  F.col(f"above__{i}").alias("above")) for i, c in enumerate(cols)])
     return row.select(F.inline(stacked))
@@ -124,17 +124,14 @@ def composition(df: DataFrame, x: str, fill: str) -> DataFrame:
 
 def histogram(df: DataFrame, c: str, bins: int = 30, fill: str | None = None) -> DataFrame:
     """F16: n equal-width bins from min to max (max lands in the last bin) -> (bin, lo, hi, n)."""
-    rng = df.agg(F.min(q(c)).cast("double").alias("__lo"), F.max(q(c)).cast("double").alias("__hi"))
-    j = df.where(q(c).isNotNull()).crossJoin(F.broadcast(rng))  # one-row side
-    width = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-    b = F.when(F.col("__hi") == F.col("__lo"), F.lit(1)).otherwise(
-        F.least(F.floor((q(c) - F.col("__lo")) / width).cast("long") + 1, F.lit(bins)))
+    lo = df.agg(F.min(q(c)).cast("double")).scalar()  # scalar subqueries, run once
+    hi = df.agg(F.max(q(c)).cast("double")).scalar()
+    width = (hi - lo) / F.lit(bins)
+    b = F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor((q(c) - lo) / width).cast("long") + 1, F.lit(bins)))
     keys = ([q(fill)] if fill else [])
-    g = j.groupBy(*keys, b.cast("long").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n"), F.first("__lo").alias("__lo"), F.first("__hi").alias("__hi"))
-    w = (F.col("__hi") - F.col("__lo")) / F.lit(bins)
-    return g.select(*keys, "bin", (F.col("__lo") + (F.col("bin") - 1) * w).alias("lo"),
-                    (F.col("__lo") + F.col("bin") * w).alias("hi"), "n")
+    g = df.where(q(c).isNotNull()).groupBy(*keys, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    return g.select(*keys, "bin", (lo + (F.col("bin") - 1) * width).alias("lo"), (lo + F.col("bin") * width).alias("hi"),
+                    "n")
 
 
 def regression_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

@@ -127,10 +127,8 @@ def sample_rows(df: DataFrame, key: Sequence[str], frac: float | None = None, n:
     tagged = df.withColumn("__h", h)
     idx = row_index(tagged, [F.col("__h")] + [q(k) for k in key], out="__rn")
     if n is None:
-        total = df.agg(F.count(F.lit(1)).alias("__total"))
-        idx = idx.crossJoin(total)  # one-row side
-        keep_n = F.round(F.col("__total") * F.lit(float(frac)))
-        return idx.where(F.col("__rn") <= keep_n).drop("__h", "__rn", "__total")
+        keep_n = F.round(df.agg(F.count(F.lit(1))).scalar() * F.lit(float(frac)))
+        return idx.where(F.col("__rn") <= keep_n).drop("__h", "__rn")
     return idx.where(F.col("__rn") <= F.lit(n)).drop("__h", "__rn")
 
 

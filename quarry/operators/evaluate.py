@@ -62,9 +62,8 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float]
     sc = F.col("__s")
     passed = F.size(F.filter(arr, (lambda c: c <= sc) if inclusive else (lambda c: c < sc)))
     counts = per_score.groupBy(passed.alias("__b"), "__y").agg(F.sum("__n").alias("__n"))
-    spark = df.sparkSession
-    cut = F.broadcast(spark.createDataFrame([(i + 1, c) for i, c in enumerate(cs)], "__i int, cutoff double"))
-    j = cut.crossJoin(F.broadcast(counts))  # (cutoffs) x (cutoffs+1) x 2 rows at most
+    # each of the <= 2 x (cutoffs + 1) count rows meets every cutoff through a generator
+    j = counts.select("__b", "__y", "__n", F.posexplode(arr).alias("__i", "cutoff")).withColumn("__i", F.col("__i") + 1)
     predicted = F.col("__b") >= F.col("__i")
     pos = F.col("__y") == 1
     g = j.groupBy("cutoff").agg(

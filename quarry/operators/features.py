@@ -31,11 +31,13 @@ def minmax_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def minmax_apply(df: DataFrame, fit: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(x - min) / (max - min) with the fitted bounds (one-row broadcast); constant column -> 0."""
-    j = df.crossJoin(F.broadcast(fit))  # one row
-    scaled = {c: F.coalesce(F.try_divide(q(c).cast("double") - F.col(f"{c}__min"),
-                                         F.col(f"{c}__max") - F.col(f"{c}__min")), F.lit(0.0)) for c in cols}
-    return j.withColumns(scaled).drop(*[f"{c}__min" for c in cols], *[f"{c}__max" for c in cols])
+    """(x - min) / (max - min) with the fitted bounds (scalar subqueries of the one-row fit);
+    a constant column scales to 0."""
+    scaled = {}
+    for c in cols:
+        lo, hi = fit.select(f"{c}__min").scalar(), fit.select(f"{c}__max").scalar()
+        scaled[c] = F.coalesce(F.try_divide(q(c).cast("double") - lo, hi - lo), F.lit(0.0))
+    return df.withColumns(scaled)
 
 
 def split_random(df: DataFrame, key: Sequence[str], frac: float = 0.7, seed: int = 100) -> tuple[DataFrame, DataFrame]:

@@ -131,16 +131,19 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge"
     st = (st.withColumn("iqr", F.col("q3") - F.col("q1"))
             .withColumn("lower_fence", F.col("q1") - F.lit(coef) * F.col("iqr"))
             .withColumn("upper_fence", F.col("q3") + F.lit(coef) * F.col("iqr")))
-    fence = st.select(*[q(b).alias(f"__fb{i}") for i, b in enumerate(by)], "lower_fence", "upper_fence")
-    fence = fence if by else F.broadcast(fence)  # one row per group; one row in all when ungrouped
-    cond = None
-    for i, b in enumerate(by):
-        e = q(b).eqNullSafe(F.col(f"__fb{i}"))
-        cond = e if cond is None else cond & e
     x = q(c)
     tagged = df.where(x.isNotNull())
-    tagged = tagged.join(fence, cond, "inner") if by else tagged.crossJoin(fence)
-    inside = (x >= F.col("lower_fence")) & (x <= F.col("upper_fence"))
+    if by:  # one row per group, joined by key (AQE broadcasts it from its measured size)
+        fence = st.select(*[q(b).alias(f"__fb{i}") for i, b in enumerate(by)], "lower_fence", "upper_fence")
+        cond = None
+        for i, b in enumerate(by):
+            e = q(b).eqNullSafe(F.col(f"__fb{i}"))
+            cond = e if cond is None else cond & e
+        tagged = tagged.join(fence, cond, "inner")
+        lf, uf = F.col("lower_fence"), F.col("upper_fence")
+    else:  # one row in all: scalar subqueries
+        lf, uf = st.select("lower_fence").scalar(), st.select("upper_fence").scalar()
+    inside = (x >= lf) & (x <= uf)
     w = tagged.groupBy(*[q(b).alias(f"__wb{i}") for i, b in enumerate(by)]).agg(
         F.min(F.when(inside, x)).cast("double").alias("lower_whisker"),
         F.max(F.when(inside, x)).cast("double").alias("upper_whisker"),
@@ -152,7 +155,7 @@ def box_stats(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge"
             cond2 = e if cond2 is None else cond2 & e
         out = st.join(w, cond2, "left")
     else:
-        out = st.crossJoin(w)
+        out = st.select("*", *[w.select(k).scalar().alias(k) for k in ("lower_whisker", "upper_whisker", "n_outliers")])
     return out.select(*[q(b) for b in by], "n", "min", "q1", "median", "q3", "max", "iqr",
                       "lower_fence", "upper_fence", "lower_whisker", "upper_whisker", "n_outliers")
 
@@ -162,15 +165,14 @@ def outliers(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge",
     by = list(by)
     st = box_stats(df, c, by, rule, coef).select(*[q(b).alias(f"__ob{i}") for i, b in enumerate(by)],
                                                  "lower_fence", "upper_fence")
-    st = st if by else F.broadcast(st)  # one row per group
-    if by:
-        cond = None
-        for i, b in enumerate(by):
-            e = q(b).eqNullSafe(F.col(f"__ob{i}"))
-            cond = e if cond is None else cond & e
-        j = df.join(st, cond, "inner")
-    else:
-        j = df.crossJoin(st)
+    if not by:  # one row: scalar subqueries
+        lf, uf = st.select("lower_fence").scalar(), st.select("upper_fence").scalar()
+        return df.where((q(c) < lf) | (q(c) > uf))
+    cond = None
+    for i, b in enumerate(by):
+        e = q(b).eqNullSafe(F.col(f"__ob{i}"))
+        cond = e if cond is None else cond & e
+    j = df.join(st, cond, "inner")  # one row per group (AQE broadcasts it from its measured size)
     return j.where((q(c) < F.col("lower_fence")) | (q(c) > F.col("upper_fence"))).select(*[q(x) for x in df.columns])
 
 

@@ -75,16 +75,14 @@ def ntile_bucket(df: DataFrame, score: str, n: int, key: Sequence[str], descendi
     from the distributed row index and the row count, not a one-task window.
     """
     order = [q(score).desc() if descending else q(score).asc()] + [q(k).asc() for k in key]
-    idx = row_index(df, order, out="__r")
-    total = df.agg(F.count(F.lit(1)).alias("__N"))
-    j = idx.crossJoin(F.broadcast(total))  # one row
-    N, r = F.col("__N"), F.col("__r")
+    j = row_index(df, order, out="__r")
+    N, r = df.agg(F.count(F.lit(1))).scalar(), F.col("__r")  # row count as a scalar subquery
     base = F.floor(N / F.lit(n)).cast("long")
     rem = N - base * F.lit(n)
     big = rem * (base + 1)
     b = F.when(r <= big, F.floor((r - 1) / (base + 1)) + 1).otherwise(
         rem + F.floor((r - big - 1) / F.greatest(base, F.lit(1))) + 1)
-    return j.withColumn(out, b.cast("long")).drop("__r", "__N")
+    return j.withColumn(out, b.cast("long")).drop("__r")
 
 
 def cumulative(df: DataFrame, order: Sequence[Column | str], c: str, out: str = "cum",
@@ -97,16 +95,15 @@ def share_of_total(df: DataFrame, c: str, order: Sequence[Column | str] | None =
                    out: str = "share", cum_out: str = "cum_share") -> DataFrame:
     """Share of the grand total (and cumulative share in ``order``).
 
-    The total is a one-row aggregate cross-joined by broadcast, so rows stay
-    in their partitions.
+    The total is a scalar subquery (one aggregate, run once), so rows stay in
+    their partitions.
     """
-    total = df.agg(F.sum(q(c)).cast("double").alias("__tot"))
-    base = running_total(df, order, q(c), (), "__cum") if order else df
-    j = base.crossJoin(F.broadcast(total))  # one row
-    j = j.withColumn(out, F.try_divide(q(c).cast("double"), F.col("__tot")))
+    total = df.agg(F.sum(q(c)).cast("double")).scalar()
+    j = running_total(df, order, q(c), (), "__cum") if order else df
+    j = j.withColumn(out, F.try_divide(q(c).cast("double"), total))
     if order:
-        j = j.withColumn(cum_out, F.try_divide(F.col("__cum").cast("double"), F.col("__tot"))).drop("__cum")
-    return j.drop("__tot")
+        j = j.withColumn(cum_out, F.try_divide(F.col("__cum").cast("double"), total)).drop("__cum")
+    return j
 
 
 def moving_average(df: DataFrame, by: Sequence[str], order: str, c: str, w: int = 1,

@@ -44,15 +44,14 @@ def to_series(df: DataFrame, ts: str, by: Sequence[str], measures: Mapping[str,
     month = F.trunc(q(ts).cast("date"), "month")
     agg = df.groupBy(*[q(b) for b in by], month.alias(period)).agg(*[e.alias(n) for n, e in measures.items()])
     if start and end:
-        bounds = df.sparkSession.range(1).select(F.lit(start).cast("date").alias("__s"),
-                                                 F.lit(end).cast("date").alias("__e"))
-    else:
-        bounds = agg.agg(F.min(period).alias("__s"), F.max(period).alias("__e"))
-    cal = bounds.select("__s", F.explode(F.sequence("__s", "__e", F.expr("interval 1 month"))).alias(period))
+        s, e = F.lit(start).cast("date"), F.lit(end).cast("date")
+    else:  # the data's span, as scalar subqueries (one small aggregate, evaluated once)
+        s, e = agg.agg(F.min(period)).scalar(), agg.agg(F.max(period)).scalar()
     keys = agg.select(*[q(b) for b in by]).distinct()
-    grid = keys.crossJoin(F.broadcast(cal))  # calendar: one row per month of the span
+    # every series gets every month of the span: a generator per key (months of the span), no join
+    grid = keys.select(*[q(b) for b in by], F.explode(F.sequence(s, e, F.expr("interval 1 month"))).alias(period))
     full = grid.join(agg, [*by, period], "left").fillna(0, list(measures))
-    return full.withColumn(t, (F.months_between(period, "__s").cast("int") + 1).cast("long")).drop("__s")
+    return full.withColumn(t, (F.months_between(period, s).cast("int") + 1).cast("long"))
 
 
 def rank_series(series: DataFrame, by: Sequence[str], c: str) -> DataFrame:

@@ -193,8 +193,8 @@ def q_n_distinct(spark, sf):
     """Distinct time texts, NULL ignored (SQL) and NULL counted (R)."""
     v = violations(spark, sf)
     a = profile.n_distinct(v, "time_text").withColumnRenamed("n_distinct", "n_sql")
-    b = profile.n_distinct(v, "time_text", count_null=True).withColumnRenamed("n_distinct", "n_with_null")
-    return a.crossJoin(b)
+    b = profile.n_distinct(v, "time_text", count_null=True).select("n_distinct").scalar()
+    return a.withColumn("n_with_null", b)
 
 
 SQL_N_DISTINCT = with_ctes("""SELECT count(DISTINCT time_text) AS n_sql,
