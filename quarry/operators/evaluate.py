@@ -93,6 +93,16 @@ def ks_table(sweep: DataFrame) -> DataFrame:
     return t.withColumn("is_max", F.col("ks") == F.max("ks").over(Window.partitionBy()))
 
 
+def max_ks(sweep: DataFrame, prefer: str = "largest") -> DataFrame:
+    """The single cutoff of maximal KS; ties resolved explicitly (Q24): 'largest' cutoff
+    (the reference's effective choice) or 'smallest'.  An aggregate over the sweep rows."""
+    ks = F.col("sensitivity") - (F.lit(1.0) - F.col("specificity"))
+    c = F.col("cutoff") if prefer == "smallest" else -F.col("cutoff")
+    best = sweep.agg(F.min(F.struct((-ks).alias("__k"), c.alias("__c"))).alias("__b"))
+    out_c = F.col("__b.__c") if prefer == "smallest" else -F.col("__b.__c")
+    return best.select(out_c.alias("cutoff"), (-F.col("__b.__k")).alias("ks"))
+
+
 def lift_table(df: DataFrame, label: str, score: str, key: Sequence[str], groups: int = 10) -> DataFrame:
     """Gain and lift by score decile (descending): bucket, total, responses, cumulative
     responses, gain %, cumulative lift, and the perfect-model gain (computed, Q26)."""

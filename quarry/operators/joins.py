@@ -31,12 +31,18 @@ def join_all(tables: Sequence[DataFrame], key: str | Sequence[str], how: str = "
     return out
 
 
-def missing_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None) -> DataFrame:
-    """Distinct keys of ``a`` with no match in ``b`` (anti join; NULL keys never match)."""
+def missing_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None,
+                 null_matches: bool = False) -> DataFrame:
+    """Distinct keys of ``a`` with no match in ``b`` (anti join).
+
+    SQL semantics by default (a NULL key never matches, so it is reported
+    missing); ``null_matches=True`` gives R ``%in%`` semantics (NULL matches NULL).
+    """
     b_key = b_key or key
     ka = a.select(q(key).alias("__k")).distinct()
     kb = b.select(q(b_key).alias("__k2"))
-    return ka.join(kb, ka["__k"] == kb["__k2"], "left_anti").withColumnRenamed("__k", key)
+    cond = ka["__k"].eqNullSafe(kb["__k2"]) if null_matches else ka["__k"] == kb["__k2"]
+    return ka.join(kb, cond, "left_anti").withColumnRenamed("__k", key)
 
 
 def present_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None) -> DataFrame:

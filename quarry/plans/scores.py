@@ -88,6 +88,17 @@ SQL_KS_TABLE = with_ctes(SWEEP_SQL + """
 SELECT cutoff, round(ks, 10) AS ks, ks = max(ks) OVER () AS is_max FROM k""", "scores")
 
 
+def q_max_ks(spark, sf):
+    """The cutoff of maximal KS, ties to the largest cutoff (Q24 made explicit)."""
+    k = evaluate.max_ks(_sweep(spark, sf), prefer="largest")
+    return k.select("cutoff", F.round("ks", 10).alias("ks"))
+
+
+SQL_MAX_KS = with_ctes(SWEEP_SQL + """
+SELECT cutoff, round(ks, 10) AS ks FROM (SELECT cutoff, sensitivity - (1 - specificity) AS ks FROM metrics)
+ORDER BY ks DESC, cutoff DESC LIMIT 1""", "scores")
+
+
 def q_lift_table(spark, sf):
     """Gain and lift by score decile."""
     t = evaluate.lift_table(scores(spark, sf), "label", "score", ["id"], 10)
@@ -178,13 +189,13 @@ SELECT cls AS class, round(tp / (tp + fn), 10) AS sensitivity, round(tn / (tn +
 
 QUERIES = {
     "confusion": q_confusion, "binary_metrics": q_binary_metrics, "cutoff_sweep": q_cutoff_sweep,
-    "best_cutoffs": q_best_cutoffs, "ks_table": q_ks_table, "lift_table": q_lift_table,
+    "best_cutoffs": q_best_cutoffs, "ks_table": q_ks_table, "max_ks": q_max_ks, "lift_table": q_lift_table,
     "ntile_bucket": q_ntile_bucket, "cumulative": q_cumulative, "share_of_total": q_share_of_total,
     "multiclass_report": q_multiclass_report,
 }
 ORACLE = {
     "confusion": SQL_CONFUSION, "binary_metrics": SQL_BINARY_METRICS, "cutoff_sweep": SQL_CUTOFF_SWEEP,
-    "best_cutoffs": SQL_BEST_CUTOFFS, "ks_table": SQL_KS_TABLE, "lift_table": SQL_LIFT_TABLE,
+    "best_cutoffs": SQL_BEST_CUTOFFS, "ks_table": SQL_KS_TABLE, "max_ks": SQL_MAX_KS, "lift_table": SQL_LIFT_TABLE,
     "ntile_bucket": SQL_NTILE_BUCKET, "cumulative": SQL_CUMULATIVE, "share_of_total": SQL_SHARE_OF_TOTAL,
     "multiclass_report": SQL_MULTICLASS_REPORT,
 }

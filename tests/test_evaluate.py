@@ -45,3 +45,21 @@ def test_forecast_accuracy(spark):
     df = spark.createDataFrame([("s", 100.0, 90.0), ("s", 200.0, 220.0)], "k string, a double, f double")
     r = evaluate.forecast_accuracy(df, ["k"], "a", "f").first()
     assert abs(r.mape - 10.0) < 1e-12 and abs(r.mae - 15.0) < 1e-12 and abs(r.me - (-5.0)) < 1e-12
+
+
+def test_max_ks_tie_rule(spark):
+    sweep = spark.createDataFrame([(0.1, 0.9, 0.5), (0.2, 0.8, 0.6), (0.3, 0.7, 0.5)],
+                                  "cutoff double, sensitivity double, specificity double")
+    assert tuple(evaluate.max_ks(sweep).first()) == (0.2, 0.4)
+    tied = spark.createDataFrame([(0.1, 0.9, 0.5), (0.3, 0.8, 0.6)], "cutoff double, sensitivity double, specificity double")
+    assert evaluate.max_ks(tied).first().cutoff == 0.3
+    assert evaluate.max_ks(tied, prefer="smallest").first().cutoff == 0.1
+
+
+def test_missing_keys_null_semantics(spark):
+    from quarry.operators import joins
+    a = spark.createDataFrame([("x",), (None,), ("y",)], "k string")
+    b = spark.createDataFrame([("x",), (None,)], "k string")
+    assert sorted(r.k for r in joins.missing_keys(a, b, "k").collect() if r.k) == ["y"]
+    assert joins.missing_keys(a, b, "k").count() == 2
+    assert [r.k for r in joins.missing_keys(a, b, "k", null_matches=True).collect()] == ["y"]
