@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.order import q
+from quarry.session import cut_lineage
 
 INTERCEPT = "(Intercept)"
 
@@ -190,7 +191,7 @@ def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols"
             ranks[xs[worst]] = len(remaining) - n_keep + 1
             remaining.remove(worst)
     else:
-        v_all = df.select(*[q(c) for c in xs], q(y)).cache()
+        v_all = cut_lineage(df.select(*[q(c) for c in xs], q(y)))  # many fits over one checkpointed table
         while len(remaining) > n_keep:
             cur = [xs[i] for i in remaining]
             coefs, _ = logit(v_all, y, cur, intercept)
@@ -198,7 +199,6 @@ def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols"
             worst = min(remaining, key=lambda i: abs(est[xs[i]]))
             ranks[xs[worst]] = len(remaining) - n_keep + 1
             remaining.remove(worst)
-        v_all.unpersist()
     rows = [(x, i in remaining, 1 if i in remaining else ranks[x]) for i, x in enumerate(xs)]
     return _table(df.sparkSession, rows, "feature string, selected boolean, rank long")
 
@@ -213,7 +213,9 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], max_steps: int = 100) ->
     cached table.  Returns the path: (step, action, feature, aic).
     """
     xs = list(xs)
-    base = df.select(*[q(c) for c in xs], q(y)).dropna().cache()
+    # every candidate fit reads one checkpointed table (shared storage): no recomputation of the
+    # inputs per fit, and executor loss during the loop costs a re-read, not a re-derivation
+    base = cut_lineage(df.select(*[q(c) for c in xs], q(y)).dropna())
     cache = {}
 
     def aic_of(cols):
@@ -236,7 +238,6 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], max_steps: int = 100) ->
         current = [x for x in current if x != feat] if act == "drop" else current + [feat]
         cur_aic = a
         path.append((step, act, feat, a))
-    base.unpersist()
     return _table(df.sparkSession, path, "step long, action string, feature string, aic double")
 
 
@@ -258,7 +259,7 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
     Stops when every p <= max_p.  Returns the path (step, dropped, vif, p_value).
     """
     cur = list(xs)
-    base = df.select(*[q(c) for c in xs], q(y)).dropna().cache()
+    base = cut_lineage(df.select(*[q(c) for c in xs], q(y)).dropna())  # one table for every round
     path = []
     step = 0
     while cur:
@@ -273,7 +274,6 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
         step += 1
         path.append((step, drop, float(vf[drop]), float(pv[drop])))
         cur.remove(drop)
-    base.unpersist()
     return _table(df.sparkSession, path, "step long, dropped string, vif double, p_value double")
 
 
