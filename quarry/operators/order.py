@@ -151,7 +151,7 @@ def _stat_map(df: DataFrame, c: str, positions, by) -> DataFrame:
     picks = order_statistics(df, c, positions, by)
     return picks.groupBy(*[q(b) for b in by]).agg(
         F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__m"),
-        F.first("__n").alias("__n"))
+        F.coalesce(F.first("__n"), F.lit(0).cast("long")).alias("__n"))
 
 
 def _probs(probs) -> Column:

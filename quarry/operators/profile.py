@@ -90,9 +90,15 @@ def describe(df: DataFrame, cols: Sequence[str], probs: Mapping[str, float] | No
     """
     probs = dict(probs or {"p25": 0.25, "p50": 0.5, "p75": 0.75})
     long = df.unpivot([], [q(c).cast("double").alias(c) for c in cols], "column", "value")
-    moments = long.groupBy("column").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
+    # moments: one global aggregate over all columns (one row per column even for no rows)
+    row = df.agg(*[e for i, c in enumerate(cols) for e in (
+        F.count(q(c)).alias(f"c{i}"), F.avg(q(c).cast("double")).alias(f"m{i}"),
+        F.stddev_samp(q(c).cast("double")).alias(f"s{i}"), F.min(q(c).cast("double")).alias(f"lo{i}"),
+        F.max(q(c).cast("double")).alias(f"hi{i}"))])
+    moments = row.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(f"c{i}").alias("count"), F.col(f"m{i}").alias("mean"),
+        F.col(f"s{i}").alias("sd"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"))
+        for i, c in enumerate(cols)])))
     pct = quantiles_wide(long, "value", probs, by=["column"]).drop("n").withColumnRenamed("column", "__c")
     return (moments.join(F.broadcast(pct), moments["column"] == pct["__c"], "left")  # one row per column
             .select("column", "count", "mean", "sd", "min", *probs.keys(), "max"))
