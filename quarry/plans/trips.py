@@ -196,6 +196,42 @@ SQL_READ_STAGED = with_ctes("""SELECT vendor, count(*) AS n, sum(passengers) AS
 FROM trips GROUP BY vendor""", "trips")
 
 
+def study(spark, sf, root: str | None = None) -> dict:
+    """The whole trip study, end to end:
+
+    staged text (declared schema, lenient) -> partitioned ORC copy by yr/mnth ->
+    rule scorecard -> cleansed partitioned ORC copy -> reports.  Intermediate
+    tables live under ``root`` (default: a fresh folder under the shared
+    checkpoint directory).  Returns the report DataFrames (lazy).
+    """
+    root = root or sources.scratch_path(spark, "trip_study")
+    cols = [c.split()[0] for c in STAGED_SCHEMA.split(", ")]
+    sources.write_csv(trips(spark, sf).select(*cols), f"{root}/staging", header=True)
+    staged = sources.read_staged(spark, f"{root}/staging", STAGED_SCHEMA, key="passengers")
+    sources.write_partitioned(sources.derive_parts(staged, "pickup"), f"{root}/raw", ["yr", "mnth"])
+    raw = sources.read_partitioned(spark, f"{root}/raw")
+    scorecard = profile.rule_violations(raw, trip_rules(), by=["vendor"])
+    clean_t = clean.cleanse(raw, trip_rules()).withColumn("day", F.dayofmonth("pickup"))
+    sources.write_partitioned(clean_t, f"{root}/clean", ["yr", "mnth"])
+    c = sources.read_partitioned(spark, f"{root}/clean")
+    return {
+        "scorecard": scorecard,
+        "rows": aggs.count_by(c, ["yr", "mnth"]),
+        "fare_by_month": aggs.mean_by(c, ["mnth"], {"avg_fare": "fare"}),
+        "trips_by_passengers": aggs.count_by(c, ["passengers"]),
+        "payment_mix": aggs.count_by(c, ["payment"]),
+        "tip_quartiles": profile.approx_percentiles(c, "tip", [0.25, 0.5, 0.75], accuracy=1_000_000),
+        "extra_share": aggs.share_where(c, F.col("extra") > 0),
+        "tip_vs_passengers": aggs.corr(c, "passengers", "tip"),
+        "solo_vs_group": aggs.compare_segments(c, {"solo": F.col("passengers") == 1,
+                                                   "group": F.col("passengers") > 1}, "tip"),
+        "tip_bands": aggs.bucket_share(c, "tip", TIP_EDGES, TIP_LABELS, "tip_band"),
+        "speed_by_month": c.groupBy("mnth").agg(F.avg(QF.rate("distance", "pickup", "dropoff")).alias("avg_speed")),
+        "december_days": c.where(F.col("mnth") == 12).groupBy("day").agg(
+            F.avg(QF.rate("distance", "pickup", "dropoff")).alias("avg_speed")),
+    }
+
+
 QUERIES = {
     "rule_violations": q_rule_violations, "cleanse": q_cleanse, "mean_by": q_mean_by,
     "approx_percentiles": q_approx_percentiles, "share_where": q_share_where, "corr": q_corr,

@@ -96,3 +96,18 @@ def test_histogram_max_in_last_bin(spark):
     df = spark.createDataFrame([(float(x),) for x in range(0, 11)], "x double")
     h = {r.bin: r.n for r in aggs.histogram(df, "x", 5).collect()}
     assert h == {1: 2, 2: 2, 3: 2, 4: 2, 5: 3}
+
+
+def test_hot_key_results_equal_brute_force(spark):
+    # one key holds a third of the rows: partial aggregation and WindowGroupLimit must not change results
+    import pandas as pd
+    data = [("hot" if i % 3 == 0 else f"g{i % 11}", f"k{(i * 7) % 13}", float((i * 31) % 97)) for i in range(6000)]
+    df = spark.createDataFrame(data, "g string, k string, v double").repartition(9)
+    pdf = pd.DataFrame(data, columns=["g", "k", "v"])
+    got = {(r.g, r.k): r.n for r in rank.top_k_by(df, ["g"], "k", 2).collect()}
+    cnt = pdf.groupby(["g", "k"]).size().reset_index(name="n").sort_values(["g", "n", "k"], ascending=[True, False, True])
+    want = {(r.g, r.k): r.n for r in cnt.groupby("g").head(2).itertuples()}
+    assert got == want
+    am = {r.g: (r.k, r.v) for r in rank.arg_max(df, ["g"], "v", ["k"], cols=["k", "v"]).collect()}
+    best = pdf.sort_values(["g", "v", "k"], ascending=[True, False, True]).groupby("g").head(1)
+    assert am == {r.g: (r.k, r.v) for r in best.itertuples()}

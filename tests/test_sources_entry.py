@@ -44,3 +44,15 @@ def test_entry_and_registry(spark):
     assert df.count() > 0 and df.columns == ["slot", "code", "n", "rank"]
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 100
+
+
+def test_trip_study_end_to_end(spark):
+    from quarry.plans import trips
+    from quarry.plans.tables import trips as trip_rows
+    out = trips.study(spark, "/root/testdata/sf0.001")
+    total = trip_rows(spark, "/root/testdata/sf0.001").count()
+    kept = sum(r.n for r in out["rows"].collect())
+    assert 0 < kept < total
+    assert {r.rule for r in out["scorecard"].collect()} >= {"passengers_over_6", "pickup_after_dropoff"}
+    for name, df in out.items():
+        df.collect()  # every report runs
