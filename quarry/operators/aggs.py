@@ -129,7 +129,9 @@ def histogram(df: DataFrame, c: str, bins: int = 30, fill: str | None = None) ->
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor((q(c) - lo) / width).cast("long") + 1, F.lit(bins)))
     keys = ([q(fill)] if fill else [])
-    g = df.where(q(c).isNotNull()).groupBy(*keys, b.cast("long").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    # the bin is projected first: grouping keys may not hold the scalar subqueries themselves
+    binned = df.where(q(c).isNotNull()).select(*keys, b.cast("long").alias("bin"))
+    g = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
     return g.select(*keys, "bin", (lo + (F.col("bin") - 1) * width).alias("lo"), (lo + F.col("bin") * width).alias("hi"),
                     "n")
 

@@ -62,20 +62,18 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float]
     sc = F.col("__s")
     passed = F.size(F.filter(arr, (lambda c: c <= sc) if inclusive else (lambda c: c < sc)))
     counts = per_score.groupBy(passed.alias("__b"), "__y").agg(F.sum("__n").alias("__n"))
-    # the <= 2 x (cutoffs + 1) counts travel as one bounded list (one row even for empty input);
-    # every cutoff is a generated row summing over that list
-    packed = counts.agg(F.collect_list(F.struct("__b", "__y", "__n")).alias("__c"))
-    rows = packed.select("__c", F.posexplode(arr).alias("__i", "cutoff"))
-
-    def total(pred_pos: bool, label_pos: bool) -> Column:
-        def keep(e):
-            p = e["__b"] >= F.col("__i") + 1
-            y = e["__y"] == 1
-            return (p if pred_pos else ~p) & (y if label_pos else ~y)
-        return F.aggregate(F.filter("__c", keep), F.lit(0).cast("long"), lambda acc, e: acc + e["__n"])
-
-    g = rows.select("cutoff", total(True, True).alias("tp"), total(True, False).alias("fp"),
-                    total(False, False).alias("tn"), total(False, True).alias("fn"))
+    # a zero-count identity row gives every cutoff a row even when there is no data
+    zero = df.sparkSession.range(1).select(F.lit(0).alias("__b"), F.lit(0).alias("__y"), F.lit(0).cast("long").alias("__n"))
+    counts = counts.select("__b", "__y", F.col("__n").cast("long").alias("__n")).unionByName(zero)
+    # each of the <= 2 x (cutoffs + 1) + 1 count rows meets every cutoff through a generator
+    j = counts.select("__b", "__y", "__n", F.posexplode(arr).alias("__i", "cutoff")).withColumn("__i", F.col("__i") + 1)
+    predicted = F.col("__b") >= F.col("__i")
+    pos = F.col("__y") == 1
+    g = j.groupBy("cutoff").agg(
+        F.sum(F.when(predicted & pos, F.col("__n")).otherwise(0)).cast("long").alias("tp"),
+        F.sum(F.when(predicted & ~pos, F.col("__n")).otherwise(0)).cast("long").alias("fp"),
+        F.sum(F.when(~predicted & ~pos, F.col("__n")).otherwise(0)).cast("long").alias("tn"),
+        F.sum(F.when(~predicted & pos, F.col("__n")).otherwise(0)).cast("long").alias("fn"))
     tp, fp, tn, fn = (F.col(x) for x in ("tp", "fp", "tn", "fn"))
     return g.select("cutoff", "tp", "fp", "tn", "fn", *_metrics(tp, fp, tn, fn))
 

@@ -106,3 +106,13 @@ def test_svms_on_blobs(spark):
     assert acc2 > 0.9
     g = models.grid_search(df, "label", "features", {"c": [0.1, 1.0]}, folds=2, max_iter=3).collect()
     assert len(g) == 2 and all(0 <= r.accuracy <= 1 for r in g)
+
+
+def test_residual_histogram(spark):
+    from quarry.operators import aggs
+    df, _, _ = known_linear(spark)
+    df = df.withColumn("y", F.col("y") + F.sin(F.col("id").cast("double")))
+    _, st = models.ols(df, "y", ["x1", "x2"])
+    r = models.residuals(st["model"], df, "y", ["x1", "x2"], ["id"])
+    h = aggs.histogram(r, "residual", 5).collect()
+    assert sum(x.n for x in h) == 50 and max(x.bin for x in h) == 5
