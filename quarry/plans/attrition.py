@@ -162,6 +162,40 @@ def q_score(spark, sf):
     return s
 
 
+def study(spark, sf) -> dict:
+    """The whole attrition study, end to end: joined inputs with timesheet hours, NULL and
+    constant checks, caps, dummies, stratified split, scaling fitted on training rows, binomial
+    GLM, step-wise AIC, VIF/p-value pruning, scores for the test rows, cutoff sweep, best
+    cutoffs, KS and lift.  Returns the report DataFrames."""
+    from quarry.operators import clean, evaluate, profile
+    from quarry.session import cut_lineage
+    e = employees(spark, sf)
+    t_in, t_out = timesheets(spark, sf)
+    hours = reshape.timesheet_hours(t_in, t_out, "user_id", DAYS).select(
+        F.col("user_id").alias("c_custkey"), F.col("mean_hours"))
+    e = e.join(hours, "c_custkey", "left").fillna({"mean_hours": 0.0})
+    e = clean.cap(e, {"acctbal": (-500.0, 9000.0)})
+    # the modelling table, the two parts and the scores are written once (checkpoints in the
+    # shared folder): every later step reads them instead of re-deriving a deep plan
+    e = cut_lineage(reshape.dummies(e, ["region"], keep_original=False))
+    xs = X_COLS + ["mean_hours"] + [c for c in e.columns if c.startswith("region_")]
+    tr, te = features.split_stratified(e, "attrition", ["c_custkey"], 0.7, seed=100)
+    fit = cut_lineage(features.minmax_fit(tr, xs))
+    tr_s = cut_lineage(features.minmax_apply(tr, fit, xs))
+    te_s = cut_lineage(features.minmax_apply(te, fit, xs))
+    coefs, st = models.logit(tr_s, "attrition", xs)
+    scored = cut_lineage(models.score(st["model"], te_s, xs, ["c_custkey", "attrition"]))
+    cutoffs = [round(0.01 + i * (0.80 - 0.01) / 99, 10) for i in range(100)]
+    sweep = evaluate.cutoff_sweep(scored, "attrition", "score", cutoffs)
+    return {
+        "nulls": profile.null_counts(e), "constants": profile.constant_columns(e),
+        "coefficients": coefs, "step_aic": models.step_aic(tr_s, "attrition", xs),
+        "pruning": models.prune_features(tr_s, "attrition", xs), "scores": scored, "sweep": sweep,
+        "best_cutoffs": evaluate.best_cutoffs(sweep), "ks": evaluate.max_ks(sweep),
+        "lift": evaluate.lift_table(scored, "attrition", "score", ["c_custkey"], 10),
+    }
+
+
 # ---- cars (part): least squares
 
 

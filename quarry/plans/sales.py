@@ -305,6 +305,33 @@ def q_backtest(spark, sf):
     return series.backtest(monthly(spark, sf), BY, "t", "sales", TREND_SPEC, 6, 12)
 
 
+def study(spark, sf, top: int = 2, horizon: int = 6) -> dict:
+    """The whole sales study, end to end: monthly series of every market x segment,
+    the ``top`` series by total sales (with their CV), then for each of them in one
+    grouped plan: smoothing, trend-season regression on the training months, local
+    part, stationarity tests and correlograms of the local part, seasonal AR order
+    choice and forecast, and the hold-out comparison.  Returns the report DataFrames."""
+    s = monthly(spark, sf)
+    ranked = series.rank_series(s, BY, "sales")
+    chosen = s.join(ranked.where(F.col("rank") <= top).select(*BY), BY, "left_semi")
+    train, test = clean.split_by_index(chosen, BY, "t", n_test=horizon)
+    sm = series.smooth(train, BY, "t", "sales", 1)
+    coefs = series.trend_fit(sm, BY, "t", "smoothed", TREND_SPEC)
+    fitted = series.trend_predict(train, coefs, BY, "t", TREND_SPEC, "global")
+    local = fitted.withColumn("local", F.col("sales") - F.col("global"))
+    acf_local = series.acf(local, BY, "t", "local", 12)
+    return {
+        "ranking": ranked,
+        "local_adf": series.adf_test(local, BY, "t", "local"),
+        "local_kpss": series.kpss_test(local, BY, "t", "local"),
+        "local_acf": acf_local,
+        "local_pacf": series.pacf(acf_local, BY),
+        "trend_forecast": series.trend_predict(test, coefs, BY, "t", TREND_SPEC, "forecast"),
+        "ar_forecast": series.seasonal_ar(train, BY, "t", "sales", 12, horizon),
+        "backtest": series.backtest(chosen, BY, "t", "sales", TREND_SPEC, horizon, 12),
+    }
+
+
 QUERIES = {
     "to_series": q_to_series, "rank_series": q_rank_series, "rollup_to": q_rollup_to,
     "coef_variation": q_coef_variation, "add_index": q_add_index, "split_by_index": q_split_by_index,

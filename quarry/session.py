@@ -77,9 +77,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint (never a local one): survives executor loss."""
+    """Reliable checkpoint into the shared checkpoint folder (never a local one): the result
+    survives executor loss and later plans start from the written table.  The input is
+    persisted for the duration so it is computed once, not once for the count and again
+    for the checkpoint write."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = df.checkpoint(eager=eager)
+    if eager:
+        df.unpersist()
+    return out
 
 
 def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:

@@ -56,3 +56,12 @@ def test_trip_study_end_to_end(spark):
     assert {r.rule for r in out["scorecard"].collect()} >= {"passengers_over_6", "pickup_after_dropoff"}
     for name, df in out.items():
         df.collect()  # every report runs
+
+
+def test_sales_and_attrition_studies_end_to_end(spark):
+    from quarry.plans import attrition, sales
+    att = attrition.study(spark, "/root/testdata/sf0.001")
+    for out in (sales.study(spark, "/root/testdata/sf0.001"), att):
+        for name, df in out.items():
+            assert df.collect() is not None, name
+    assert abs(max(r.gain for r in att["lift"].collect()) - 100.0) < 1e-9
