@@ -16,11 +16,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.session import keep_persisted
+
 
 
 def q(name: str) -> Column:
@@ -91,7 +92,7 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column |
 
     # persisted so both consumers (partition totals and the final join) see one
     # computation with one partition numbering
-    local = ranged.mapInPandas(per_partition, out_schema).persist(StorageLevel.MEMORY_AND_DISK)
+    local = keep_persisted(ranged.mapInPandas(per_partition, out_schema))
     totals = local.groupBy("__pid", *[q(b) for b in by]).agg(F.sum("__w").alias("__t"))
     w = Window.partitionBy(*[q(b) for b in by]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     group_total = F.sum("__t").over(Window.partitionBy(*[q(b) for b in by]))

@@ -158,14 +158,13 @@ def _hinge_sql(table, col, by):
 , f AS (SELECT *, q3 - q1 AS iqr, q1 - 1.5 * (q3 - q1) AS lower_fence, q3 + 1.5 * (q3 - q1) AS upper_fence FROM h)"""
 
 
+BOX_NUMBERS = ("min", "q1", "median", "q3", "max", "iqr", "lower_fence", "upper_fence", "lower_whisker",
+               "upper_whisker")
+
+
 def _round_box(df):
-    keep = [c for c in df.columns if c in ("n", "n_outliers")]
-    return df.select(*[c for c in df.columns if c not in ("n", "n_outliers", "min", "q1", "median", "q3", "max", "iqr",
-                                                          "lower_fence", "upper_fence", "lower_whisker",
-                                                          "upper_whisker")],
-                     *keep, *[F.round(c, 6).alias(c) for c in ("min", "q1", "median", "q3", "max", "iqr",
-                                                               "lower_fence", "upper_fence", "lower_whisker",
-                                                               "upper_whisker")])
+    """Box numbers rounded to 6 places; keys and counts as they are."""
+    return df.select(*[F.round(c, 6).alias(c) if c in BOX_NUMBERS else F.col(c) for c in df.columns])
 
 
 BOX_COLS_SQL = """n, round(f.min, 6) AS min, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3,

@@ -9,6 +9,26 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# DataFrames persisted inside operators (running totals, size-checked dimensions); they are
+# released by release() at the end of a job, or evicted LRU by Spark under memory pressure.
+_PERSISTED: list = []
+
+
+def keep_persisted(df: DataFrame) -> DataFrame:
+    """Persist an intermediate (memory, spilling to disk) and remember it for :func:`release`."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _PERSISTED.append(df)
+    return df
+
+
+def release() -> int:
+    """Unpersist every intermediate quarry persisted so far; returns how many."""
+    n = len(_PERSISTED)
+    while _PERSISTED:
+        _PERSISTED.pop().unpersist()
+    return n
+
+
 # Rows a side may hold to be broadcast without further question.  A literal
 # table written in code (fines, sector map) is below it by construction; any
 # other side is counted (with a LIMIT, so the check itself is bounded) first.
@@ -100,7 +120,7 @@ def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> Data
     not checked this way: they are either bounded by construction (one row,
     one row per partition) and hinted, or left to AQE's runtime size check.
     """
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = keep_persisted(df)
     n = df.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(df)

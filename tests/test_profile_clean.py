@@ -111,3 +111,20 @@ def test_hot_key_results_equal_brute_force(spark):
     am = {r.g: (r.k, r.v) for r in rank.arg_max(df, ["g"], "v", ["k"], cols=["k", "v"]).collect()}
     best = pdf.sort_values(["g", "v", "k"], ascending=[True, False, True]).groupby("g").head(1)
     assert am == {r.g: (r.k, r.v) for r in best.itertuples()}
+
+
+def test_unpivot_then_pivot_restores(spark):
+    from quarry.operators import reshape
+    wide = spark.createDataFrame([("p1", 1, 0, 1), ("p2", 0, 1, 0), ("p3", 0, 0, 0), ("", 1, 1, 1)],
+                                 "part string, red int, hot int, old int")
+    long = reshape.unpivot_flags(wide, ["part"], ["red", "hot", "old"])
+    back = long.groupBy("part").pivot("category", ["red", "hot", "old"]).count().fillna(0)
+    got = sorted(tuple(r) for r in back.collect())
+    assert got == [("p1", 1, 0, 1), ("p2", 0, 1, 0)]  # all-zero row and blank key drop out, as in the reference
+
+
+def test_release_unpersists(spark):
+    from quarry.session import release
+    from quarry.operators.order import row_index
+    row_index(spark.range(10), ["id"]).collect()
+    assert release() >= 1 and release() == 0
