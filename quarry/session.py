@@ -58,6 +58,29 @@ def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions
     return spark
 
 
+def scale_conf(input_bytes: int, partition_bytes: int = 512 << 20, min_partitions: int = 200) -> dict:
+    """Spark settings sized to the data: scan splits and shuffle partitions of about
+    ``partition_bytes`` (so a task's input fits in executor memory and spills rarely), AQE
+    coalescing small partitions at run time and splitting skewed ones (a key holding a third
+    of the rows is split into advisory-size pieces).
+
+    For 100 TB (10^14 bytes) with the default 512 MiB target: ~186,000 scan splits, as many
+    shuffle partitions before AQE coalesces them.
+    """
+    parts = max(min_partitions, -(-int(input_bytes) // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "3",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(2 * partition_bytes),
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": str(64 << 20),
+    }
+
+
 def ship_package(spark: SparkSession) -> None:
     """Make ``quarry`` importable in the Python workers (the pandas functions of the running
     totals and series fits refer to it): zip the package once and ``addPyFile`` it, which

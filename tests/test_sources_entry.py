@@ -65,3 +65,10 @@ def test_sales_and_attrition_studies_end_to_end(spark):
         for name, df in out.items():
             assert df.collect() is not None, name
     assert abs(max(r.gain for r in att["lift"].collect()) - 100.0) < 1e-9
+
+
+def test_scale_conf_sizes_partitions():
+    from quarry.session import scale_conf
+    c = scale_conf(100 * 10 ** 12)
+    assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (512 << 20))
+    assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
