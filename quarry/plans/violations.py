@@ -216,6 +216,35 @@ SQL_APPEND_ROWS = with_ctes("""SELECT code, count(*) AS n, count(precinct) AS wi
  UNION ALL SELECT ticket, code, state, NULL FROM tickets WHERE y = 1997) GROUP BY code""", "tickets")
 
 
+def study(spark, sf) -> dict:
+    """The whole violation study, end to end: yearly tables stacked by name,
+    state code recoded, NULL and length checks of the time text, 4-hour slots, top codes
+    per slot, fines collected for the top codes, seasons, and top codes per season.
+    Every report is one declarative plan; nothing is collected on the way."""
+    fines = literal_table(spark, FINES, "code string, fine double")
+    by_year = violations_by_year(spark, sf)
+    tickets = clean.replace_value(reshape.union_tagged(by_year, ["ticket", "code", "state", "issue_date_text",
+                                                                "precinct"], tag="year"),
+                                  "state", "NATION_24", "NATION_0")
+    tickets = tickets.withColumn("month", F.month(QF.parse_date("issue_date_text", "MM/dd/yyyy")))
+    tickets = clean.classify(tickets, "month", SEASONS, "season")
+    v = violations(spark, sf)
+    timed = timed_violations(v)
+    top_year = rank.top_k_by(tickets, ["year"], "code", 5)
+    return {
+        "rows_per_year": aggs.count_by(tickets, ["year"]),
+        "states": profile.n_distinct(tickets, "state"),
+        "time_nulls": profile.null_counts(v, ["time_text"]),
+        "time_lengths": profile.length_profile(v, "time_text"),
+        "top_codes": rank.top_k(v, "code", 5),
+        "top_precincts": rank.top_k(v, "precinct", 5, exclude=F.col("precinct") == 0),
+        "top_codes_per_slot": rank.top_k_by(timed, ["slot"], "code", 3),
+        "fines_top_codes": joins.weight_by(top_year, fines, "code", "fine", "n", "collected"),
+        "season_counts": aggs.count_by(tickets, ["year", "season"]),
+        "top_codes_per_season": rank.top_k_by(tickets, ["year", "season"], "code", 3),
+    }
+
+
 QUERIES = {
     "top_k_by_group": q_top_k_by_group, "top_k": q_top_k, "nth_by": q_nth_by, "count_by": q_count_by,
     "length_profile": q_length_profile, "drop_nulls": q_drop_nulls, "to_int": q_to_int,

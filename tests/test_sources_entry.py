@@ -72,3 +72,12 @@ def test_scale_conf_sizes_partitions():
     c = scale_conf(100 * 10 ** 12)
     assert int(c["spark.sql.shuffle.partitions"]) == -(-100 * 10 ** 12 // (512 << 20))
     assert scale_conf(10 ** 6)["spark.sql.shuffle.partitions"] == "200"
+
+
+def test_violation_study_end_to_end(spark):
+    from quarry.plans import violations
+    out = violations.study(spark, "/root/testdata/sf0.001")
+    for name, df in out.items():
+        assert df.collect() is not None, name
+    per_slot = out["top_codes_per_slot"].collect()
+    assert per_slot and max(r["rank"] for r in per_slot) <= 3
