@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import line_dedup, quality_rules, sharding
+from quarry.llm import bpe, line_dedup, quality_rules, sharding, token_store
 from quarry.llm.common import table
 
 
@@ -12,6 +12,14 @@ def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_token_store(spark, sf_dir):
+    return token_store.read_shards(token_store.write_shards(table(spark, sf_dir, "documents")))
+
+
+def op5_bpe(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.remove_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_removed").alias("n_removed"),
@@ -26,6 +34,8 @@ def op8_sharding(spark, sf_dir):
 
 QUERIES = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_token_store": op3_token_store,
+    "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_sharding": op8_sharding,
 }
