@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, line_dedup, quality_rules, sharding, token_store
+from quarry.llm import bpe, classifier, decontamination, line_dedup, quality_rules, sharding, token_store
 from quarry.llm.common import table
 
 
+def op1_decontamination(spark, sf_dir):
+    return decontamination.benchmark_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -16,6 +20,12 @@ def op3_token_store(spark, sf_dir):
     return token_store.read_shards(token_store.write_shards(table(spark, sf_dir, "documents")))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = classifier.score(docs, classifier.fit(docs))
+    return out.select("doc_id", "score", (F.col("score") >= 0.5).alias("kept"))
+
+
 def op5_bpe(spark, sf_dir):
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
@@ -33,8 +43,10 @@ def op8_sharding(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
     "op3_token_store": op3_token_store,
+    "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_sharding": op8_sharding,
