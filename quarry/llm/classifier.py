@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import quoted, written
+from quarry.llm.common import quoted, with_arrow_column, written
 
 ABSTAIN, GOOD, BAD = 0, 1, 2
 DIM = 1024
@@ -27,13 +27,13 @@ DIM = 1024
 # The kinds of junk overlap on purpose: each one trips two labellers or more.
 LIMITS = {
     "symbols": 0.30,      # symbols a word
-    "odd_words": 0.40,    # words that aren't letters with at most one mark behind
+    "odd_words": 0.45,    # words that aren't letters with at most one mark behind
     "capitals": 0.50,     # words in capitals
     "shouting": 0.20,     # exclamation marks a word
     "bars": 0.20,         # words that are a table bar
     "stutter": 0.30,      # words equal to the word before
     "same_pairs": 0.50,   # word pairs seen before in the text
-    "repeats": 0.30,      # five-word windows seen before in the text
+    "repeats": 0.50,      # five-word windows seen before in the text
     "same_lines": 0.60,   # lines equal to an earlier line
 }
 # The one labeller for good text: votes good where every measure stays at or below its share of the limit.
@@ -197,9 +197,9 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", out: str = "scor
                 words = (text or "").split()
                 k, v = shapes(words, measures(text or "", words))
                 scores.append(float(1 / (1 + np.exp(-(w[k] @ v + bias)))) if words else 0.0)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], [*b.schema.names, "added"])
 
-    return docs.mapInArrow(body, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return with_arrow_column(docs, body, out, T.DoubleType())
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5, max_train: int = 10_000) -> DataFrame:

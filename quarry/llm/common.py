@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.session import checkpoint_dir
 
@@ -29,3 +30,13 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def with_arrow_column(df: DataFrame, body, name: str, kind: T.DataType) -> DataFrame:
+    """``df`` with a column added by an Arrow batch function, whatever the columns are called.
+
+    ``body`` sees the columns as c0, c1, ... and yields them followed by the new one.
+    """
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = plain.mapInArrow(body, T.StructType([*plain.schema.fields, T.StructField("added", kind)]))
+    return out.toDF(*df.columns, name)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, decontamination, line_dedup, quality_rules, sharding, token_store
+from quarry.llm import bpe, classifier, decontamination, line_dedup, quality_rules, sharding, token_store, toxicity
 from quarry.llm.common import table
 
 
@@ -42,6 +42,14 @@ def op8_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~toxicity.held_out(F.col("id")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score",
+                      (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -50,6 +58,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_sharding": op8_sharding,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE = {}
