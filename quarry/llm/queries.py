@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, decontamination, line_dedup, quality_rules, sharding, token_store, toxicity
+from quarry.llm import bpe, classifier, decontamination, line_dedup, near_dup, quality_rules, sharding, token_store, toxicity
 from quarry.llm.common import table
 
 
@@ -42,6 +42,10 @@ def op8_sharding(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op9_minhash(spark, sf_dir):
+    return near_dup.near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), where=~toxicity.held_out(F.col("id")))
@@ -58,6 +62,7 @@ QUERIES = {
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
     "op8_sharding": op8_sharding,
+    "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
 }
 
