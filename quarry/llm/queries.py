@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, decontamination, line_dedup, near_dup, quality_rules, sharding, token_store, toxicity
+from quarry.llm import bpe, classifier, decontamination, line_dedup, near_dup, quality_rules, sharding, suffix_dedup, token_store, toxicity
 from quarry.llm.common import table
 
 
@@ -36,6 +36,13 @@ def op6_line_dedup(spark, sf_dir):
                       F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), length=50)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda total, s: total + s["end"] - s["first"])
+    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_sharding(spark, sf_dir):
     out = sharding.best_fit_shards(table(spark, sf_dir, "documents"), shards=24)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -61,6 +68,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_bpe": op5_bpe,
     "op6_line_dedup": op6_line_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
