@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from quarry.llm.common import quoted
+from quarry.llm.common import quoted, with_arrow_column
 
 GAP = re.compile(r"[\W_]+")
 
@@ -121,6 +121,16 @@ def original_span(text: str, start: int, end: int) -> tuple[int, int]:
     return (a, b) if exact else (min(a, len(text)), min(b, len(text)))
 
 
+def item_blocks(benchmark: DataFrame, block_bytes: int, item_id_col: str, item_text_col: str):
+    """The items (item_id, text) and their broadcast blocks, made one after the other: each holds
+    about half of ``block_bytes`` of item text, by hash of the item; an item is never split."""
+    items = benchmark.select(quoted(item_id_col).alias("item_id"), quoted(item_text_col).alias("text")).where("text is not null")
+    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    n = max(1, -(-2 * total // block_bytes))
+    mine = lambda k: items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
+    return items, (benchmark.sparkSession.sparkContext.broadcast([tuple(r) for r in mine(k).collect()]) for k in range(n))
+
+
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 16, block_bytes: int = 32 << 20,
                       id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                       item_text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -133,19 +143,13 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 16, bl
     query set is taken in blocks of at most ``block_bytes`` of item text, one pass over the
     documents each, so no task ever holds more of it than a block; an item is never split.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(quoted(item_id_col).alias("item_id"), quoted(item_text_col).alias("text")).where("text is not null")
-    total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, -(-2 * total // block_bytes))
+    items, blocks = item_blocks(benchmark, block_bytes, item_id_col, item_text_col)
     t = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), *[quoted(c) for c in keep])
     schema = T.StructType([t.schema["doc_id"], T.StructField("item_id", items.schema["item_id"].dataType),
                            T.StructField("n_edits", T.IntegerType()), T.StructField("start", T.IntegerType()),
                            T.StructField("end", T.IntegerType()), *[t.schema[c] for c in keep]])
     item_type, out = to_arrow_type(items.schema["item_id"].dataType), None
-    for k in range(blocks):
-        chosen = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        block = spark.sparkContext.broadcast([tuple(r) for r in chosen.collect()])  # about block_bytes / 2
-
+    for block in blocks:
         def body(batches: Iterator[pa.RecordBatch], block=block):
             index = PieceIndex(block.value, piece)
             for b in batches:
@@ -164,7 +168,18 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, piece: int = 16, bl
     return out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the documents (all rows of a doc_id) that hold a passage of the benchmark."""
-    hits = benchmark_matches(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, quoted(id_col).eqNullSafe(F.col("__hit")), "left_anti")
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, piece: int = 16, block_bytes: int = 32 << 20, text_col: str = "text",
+                         item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a passage of the benchmark; same columns, no shuffle."""
+    _, blocks = item_blocks(benchmark, block_bytes, item_id_col, item_text_col)
+    at, out = docs.columns.index(text_col), docs
+    for block in blocks:
+
+        def body(batches: Iterator[pa.RecordBatch], block=block):
+            index = PieceIndex(block.value, piece)
+            for b in batches:
+                hit = [bool(text and index.matches(normalise(text))) for text in b.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(hit, pa.bool_())], [*b.schema.names, "added"])
+
+        out = with_arrow_column(out, body, "__hit", T.BooleanType()).where("not __hit").drop("__hit")
+    return out
