@@ -108,12 +108,16 @@ def compare_segments(df: DataFrame, segments: Mapping[str, Column], c: str, how:
     return row.select(F.inline(arr))
 
 
-def crosstab(df: DataFrame, x: str, fill: str, facet: str | None = None, wide: bool = False) -> DataFrame:
-    """counts of x by fill (optionally by facet); ``wide`` pivots fill levels to columns."""
+def crosstab(df: DataFrame, x: str, fill: str, facet: str | None = None, wide: bool = False,
+             levels: Sequence | None = None) -> DataFrame:
+    """counts of x by fill (optionally by facet); ``wide`` pivots fill levels to columns, 0 for an
+    empty cell.  Give ``levels`` to fix the columns; otherwise Spark reads them first."""
     keys = [x, fill] + ([facet] if facet else [])
-    if wide:
-        return _g(df, [x] + ([facet] if facet else [])).pivot(fill).count()
-    return count_by(df, keys)
+    if not wide:
+        return count_by(df, keys)
+    by = [x] + ([facet] if facet else [])
+    g = _g(df, by).pivot(fill, list(levels) if levels is not None else None).count()
+    return g.select(*[q(b) for b in by], *[F.coalesce(q(c), F.lit(0)).cast("long").alias(c) for c in g.columns if c not in by])
 
 
 def composition(df: DataFrame, x: str, fill: str) -> DataFrame:
@@ -123,17 +127,23 @@ def composition(df: DataFrame, x: str, fill: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, c: str, bins: int = 30, fill: str | None = None) -> DataFrame:
-    """F16: n equal-width bins from min to max (max lands in the last bin) -> (bin, lo, hi, n)."""
+    """F16: n equal-width bins from min to max (max lands in the last bin) -> (bin, lo, hi, n).
+
+    Every bin has a row (per fill level), 0 where it is empty; no rows without a value.
+    """
     lo = df.agg(F.min(q(c)).cast("double")).scalar()  # scalar subqueries, run once
     hi = df.agg(F.max(q(c)).cast("double")).scalar()
     width = (hi - lo) / F.lit(bins)
     b = F.when(hi == lo, F.lit(1)).otherwise(F.least(F.floor((q(c) - lo) / width).cast("long") + 1, F.lit(bins)))
-    keys = ([q(fill)] if fill else [])
+    keys = ([q(fill).alias("__fill")] if fill else [F.lit(1).alias("__fill")])
     # the bin is projected first: grouping keys may not hold the scalar subqueries themselves
     binned = df.where(q(c).isNotNull()).select(*keys, b.cast("long").alias("bin"))
-    g = binned.groupBy(*keys, "bin").agg(F.count(F.lit(1)).alias("n"))
-    return g.select(*keys, "bin", (lo + (F.col("bin") - 1) * width).alias("lo"), (lo + F.col("bin") * width).alias("hi"),
-                    "n")
+    g = binned.groupBy("__fill", "bin").agg(F.count(F.lit(1)).alias("n"))
+    # a fill level's counts (at most ``bins``) as a map, read by a generator over the bins
+    per = g.groupBy("__fill").agg(F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("__m"))
+    grid = per.select("__fill", "__m", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(bins).cast("long"))).alias("bin"))
+    return grid.select(*([F.col("__fill").alias(fill)] if fill else []), "bin", (lo + (F.col("bin") - 1) * width).alias("lo"),
+                       (lo + F.col("bin") * width).alias("hi"), F.coalesce(F.element_at("__m", F.col("bin")), F.lit(0)).alias("n"))
 
 
 def regression_line(df: DataFrame, y: str, x: str, by: Sequence[str] = ()) -> DataFrame:

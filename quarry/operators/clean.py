@@ -14,7 +14,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import functions as QF
-from quarry.operators.order import q, row_index
+from quarry.operators.order import q
+
+# hash slices of an exact sample: bounds the count table, and the share of the rows that is ranked
+SLICES = 1 << 16
 
 
 def keep(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -50,6 +53,12 @@ def bucketize(df: DataFrame, c: str, edges: Sequence, labels: Sequence[str], out
     return df.withColumn(out, QF.bucket_label(q(c), list(edges), list(labels)))
 
 
+def bucket_sql(value: str, edges: Sequence, labels: Sequence[str]) -> str:
+    """The CASE expression of :func:`bucketize` for SQL text, from the same edges and labels."""
+    cases = " ".join(f"WHEN {value} >= {a} AND {value} < {b} THEN '{x}'" for a, b, x in zip(edges, edges[1:], labels))
+    return f"CASE {cases} END"
+
+
 def classify(df: DataFrame, c: str, classes: Mapping[str, Sequence], out: str, default=None) -> DataFrame:
     """Set-membership classes {label: values} -> label."""
     return df.withColumn(out, QF.class_label(q(c), dict(classes), default))
@@ -115,7 +124,7 @@ def sample_rows(df: DataFrame, key: Sequence[str], frac: float | None = None, n:
 
     Rows are ordered by a seeded hash of the key, so the sample does not depend
     on partitioning or re-execution.  exact=True takes exactly n (or
-    round(frac * rows)) rows through the distributed row index; exact=False keeps
+    round(frac * rows)) rows by counts per hash slice; exact=False keeps
     rows whose hash falls below the share (no order, approximate count).
     """
     h = F.xxhash64(*[q(k) for k in key], F.lit(seed))
@@ -124,12 +133,18 @@ def sample_rows(df: DataFrame, key: Sequence[str], frac: float | None = None, n:
             raise ValueError("frac required when exact=False")
         u = (F.pmod(h, F.lit(1 << 30)).cast("double") / float(1 << 30))
         return df.where(u < F.lit(frac))
-    tagged = df.withColumn("__h", h)
-    idx = row_index(tagged, [F.col("__h")] + [q(k) for k in key], out="__rn")
-    if n is None:
-        keep_n = F.round(df.agg(F.count(F.lit(1))).scalar() * F.lit(float(frac)))
-        return idx.where(F.col("__rn") <= keep_n).drop("__h", "__rn")
-    return idx.where(F.col("__rn") <= F.lit(n)).drop("__h", "__rn")
+    # rows per slice of the hash range: whole slices are in or out, and only the slice that the
+    # sample ends in is ranked (1 / SLICES of the rows; no sort of the table)
+    tagged = df.withColumn("__h", h).withColumn("__b", F.pmod("__h", F.lit(SLICES)))
+    counts = tagged.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    want = F.lit(n).cast("long") if n is not None else F.round(total * F.lit(float(frac))).cast("long")
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = counts.withColumn("__before", before).withColumn("__left", want - F.col("__before")).where("__left > 0")
+    j = tagged.join(F.broadcast(cut.select("__b", "__n", "__left")), "__b")  # at most SLICES rows
+    place = F.row_number().over(Window.partitionBy("__b").orderBy("__h", *[q(k) for k in key]))
+    last = j.where("__n > __left").withColumn("__p", place).where("__p <= __left").drop("__p")
+    return j.where("__n <= __left").unionByName(last).select(*[q(c) for c in df.columns])
 
 
 def add_index(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "t") -> DataFrame:

@@ -50,18 +50,16 @@ def binary_metrics(df: DataFrame, label: str, score: str, cutoff: float, inclusi
 def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float], inclusive: bool = True) -> DataFrame:
     """L3: confusion counts and L2 metrics for every cutoff, in one pass over the data.
 
-    Output: cutoff, tp, fp, tn, fn, accuracy, sensitivity, specificity.
+    Output: cutoff, tp, fp, tn, fn, accuracy, sensitivity, specificity.  Rows without a score or a
+    label take no part.
     """
     cs = sorted(float(c) for c in cutoffs)
     arr = F.array(*[F.lit(c) for c in cs])
     s = q(score).cast("double")
-    # count per (score, label) first: partial aggregation shrinks repeated scores map-side,
-    # and the per-row cutoff test then runs once per distinct score
-    per_score = df.where(s.isNotNull()).groupBy(s.alias("__s"), q(label).cast("int").alias("__y")) \
+    # each row goes to the number of cutoffs it passes: at most 2 x (cutoffs + 1) groups, counted map-side
+    passed = F.size(F.filter(arr, (lambda c: c <= s) if inclusive else (lambda c: c < s)))
+    counts = df.where(s.isNotNull() & q(label).isNotNull()).groupBy(passed.alias("__b"), q(label).cast("int").alias("__y")) \
         .agg(F.count(F.lit(1)).alias("__n"))
-    sc = F.col("__s")
-    passed = F.size(F.filter(arr, (lambda c: c <= sc) if inclusive else (lambda c: c < sc)))
-    counts = per_score.groupBy(passed.alias("__b"), "__y").agg(F.sum("__n").alias("__n"))
     # a zero-count identity row gives every cutoff a row even when there is no data
     zero = df.sparkSession.range(1).select(F.lit(0).alias("__b"), F.lit(0).alias("__y"), F.lit(0).cast("long").alias("__n"))
     counts = counts.select("__b", "__y", F.col("__n").cast("long").alias("__n")).unionByName(zero)
@@ -109,7 +107,8 @@ def max_ks(sweep: DataFrame, prefer: str = "largest") -> DataFrame:
 def lift_table(df: DataFrame, label: str, score: str, key: Sequence[str], groups: int = 10) -> DataFrame:
     """Gain and lift by score decile (descending): bucket, total, responses, cumulative
     responses, gain %, cumulative lift, and the perfect-model gain (computed, Q26)."""
-    b = ntile_bucket(df, score, groups, key, descending=True, out="bucket")
+    need = list(dict.fromkeys([label, score, *key]))
+    b = ntile_bucket(df.select(*[q(c) for c in need]), score, groups, key, descending=True, out="bucket")
     g = b.groupBy("bucket").agg(F.count(F.lit(1)).alias("total"),
                                 F.sum(q(label).cast("long")).alias("responses"))
     w = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)  # `groups` rows
@@ -139,7 +138,7 @@ def multiclass_report(df: DataFrame, label: str, pred: str) -> DataFrame:
         0, ["n_actual", "n_pred", "tp"])
     all_w = Window.partitionBy()  # k rows
     t = t.withColumn("N", F.sum("n_actual").over(all_w)).withColumn("correct", F.sum("tp").over(all_w)) \
-        .withColumn("pe", F.sum(F.col("n_actual") * F.col("n_pred")).over(all_w))
+        .withColumn("pe", F.sum(F.col("n_actual").cast("double") * F.col("n_pred")).over(all_w))
     N = F.col("N").cast("double")
     tp, na, np_ = F.col("tp").cast("double"), F.col("n_actual").cast("double"), F.col("n_pred").cast("double")
     fp, fn = np_ - tp, na - tp

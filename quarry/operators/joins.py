@@ -2,8 +2,8 @@
 
 Equi-joins are declared and left to Catalyst/AQE (sort-merge, or broadcast
 from runtime sizes; AQE splits skewed partitions).  A side is hinted for
-broadcast only when its size is bounded: a literal table written in code, or
-a side proven small by :func:`quarry.session.bounded_broadcast`.
+broadcast only when its size is bounded by construction: a literal table
+written in code.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 
 from quarry import functions as QF
 from quarry.operators.order import q
-from quarry.session import bounded_broadcast
 
 
 def join_on(a: DataFrame, b: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:
@@ -53,11 +52,10 @@ def present_keys(a: DataFrame, b: DataFrame, key: str, b_key: str | None = None)
 
 
 def lookup(df: DataFrame, dim: DataFrame, key: str, attrs: Sequence[str], dim_key: str | None = None,
-           how: str = "left", max_broadcast_rows: int | None = None) -> DataFrame:
-    """Attach attributes of a dimension by key (broadcast if the dimension is proven small)."""
+           how: str = "left") -> DataFrame:
+    """Attach attributes of a dimension by key (AQE picks the join from the measured bytes)."""
     dim_key = dim_key or key
     d = dim.select(q(dim_key).alias("__dk"), *[q(a) for a in attrs])
-    d = bounded_broadcast(d, max_broadcast_rows) if max_broadcast_rows else bounded_broadcast(d)
     return df.join(d, df[key] == d["__dk"], how).drop("__dk")
 
 
@@ -65,10 +63,10 @@ def weight_by(df: DataFrame, rates: DataFrame, key: str, rate: str, measure: str
               rate_key: str | None = None) -> DataFrame:
     """E5: rate look-up and weighting: out = measure * rate for the row's key.
 
-    ``rates`` is a small code table (literal or proven small) -> broadcast.
+    A literal rate table carries its own broadcast hint (``session.literal_table``).
     """
     rate_key = rate_key or key
-    r = bounded_broadcast(rates.select(q(rate_key).alias("__rk"), q(rate).alias("__rate")))
+    r = rates.select(q(rate_key).alias("__rk"), q(rate).alias("__rate"))
     return (df.join(r, df[key] == r["__rk"], "inner")
               .withColumn(out, q(measure) * F.col("__rate")).drop("__rk", "__rate"))
 
@@ -79,6 +77,6 @@ def map_category(df: DataFrame, c: str, mapping: DataFrame, map_key: str, map_va
 
     Rows without a mapping are dropped (inner join), as in the reference.
     """
-    m = bounded_broadcast(mapping.select(F.lower(q(map_key)).alias("__mk"), q(map_value).alias(out)))
+    m = mapping.select(F.lower(q(map_key)).alias("__mk"), q(map_value).alias(out))
     tokens = df.withColumn("__first", F.lower(QF.first_token(q(c), sep)))
     return tokens.join(m, tokens["__first"] == m["__mk"], "inner").drop("__first", "__mk")

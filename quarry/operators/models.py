@@ -16,11 +16,9 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import PCA, PolynomialExpansion, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
-from pyspark.ml.tuning import CrossValidator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,10 +29,13 @@ from quarry.session import cut_lineage
 INTERCEPT = "(Intercept)"
 
 
-def _vec(df: DataFrame, xs: Sequence[str], y: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
-    va = VectorAssembler(inputCols=list(xs), outputCol="features", handleInvalid="skip")
+def _vec(df: DataFrame, xs: Sequence[str], y: str | None = None, keep: Sequence[str] = (), nulls: str = "skip") -> DataFrame:
+    va = VectorAssembler(inputCols=list(xs), outputCol="features", handleInvalid=nulls)
     cols = [q(k) for k in keep] + ["features"] + ([q(y).cast("double").alias("label")] if y else [])
-    return va.transform(df).select(*cols)
+    whole = F.lit(True)
+    for x in xs:
+        whole = whole & q(x).isNotNull()
+    return va.transform(df.withColumn("__whole", whole)).select(*cols, "__whole")
 
 
 def _table(spark, rows, schema) -> DataFrame:
@@ -80,7 +81,8 @@ def logit(df: DataFrame, y: str, xs: Sequence[str], intercept: bool = True, cach
     rows = [(n, float(e), float(se), float(t), float(p))
             for n, e, se, t, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
     stats = dict(aic=float(s.aic), deviance=float(s.deviance), null_deviance=float(s.nullDeviance),
-                 df_residual=int(s.residualDegreeOfFreedom), model=m)
+                 df_residual=int(s.residualDegreeOfFreedom), model=m, iterations=int(s.numIterations),
+                 converged=int(s.numIterations) < m.getMaxIter())
     return _table(df.sparkSession, rows, COEF_SCHEMA), stats
 
 
@@ -100,22 +102,22 @@ def logit_l2(df: DataFrame, y: str, xs: Sequence[str], c: float = 1.0, keep: Seq
 
 def score(model, df: DataFrame, xs: Sequence[str], key: Sequence[str], out: str = "score") -> DataFrame:
     """Predictions for new rows with their key kept (Q18): probability of class 1 for
-    classifiers, predicted value for regressions."""
-    v = _vec(df, xs, None, key)
-    p = model.transform(v)
+    classifiers, predicted value for regressions.  A row without all its features keeps its key and
+    gets NULL."""
+    p = model.transform(_vec(df, xs, None, key, "keep"))
     if "probability" in p.columns:
         val = vector_to_array("probability")[1]
     else:
         val = F.col("prediction")
-    return p.select(*[q(k) for k in key], val.alias(out))
+    return p.select(*[q(k) for k in key], F.when(F.col("__whole"), val).alias(out))
 
 
 def residuals(model, df: DataFrame, y: str, xs: Sequence[str], key: Sequence[str]) -> DataFrame:
     """K9: actual, predicted and residual per row (histogram them with aggs.histogram)."""
-    v = _vec(df, xs, y, key)
-    p = model.transform(v)
-    return p.select(*[q(k) for k in key], F.col("label").alias("actual"), F.col("prediction").alias("predicted"),
-                    (F.col("label") - F.col("prediction")).alias("residual"))
+    p = model.transform(_vec(df, xs, y, key, "keep"))
+    fit = F.when(F.col("__whole"), F.col("prediction"))  # NULL without all features
+    return p.select(*[q(k) for k in key], F.col("label").alias("actual"), fit.alias("predicted"),
+                    (F.col("label") - fit).alias("residual"))
 
 
 # --------------------------------------------------------------------------- Gram based: K5 (OLS) / K6
@@ -146,6 +148,10 @@ def vif(df: DataFrame, xs: Sequence[str], centred: bool = True) -> DataFrame:
     centred=False: G_ii * inv(G)_ii with G = X'X uncentred, as statsmodels computes it for a
                    design without a constant column (uncentred R^2).
     """
+    if centred:  # around the means first: sums of raw products would cancel when means are large
+        whole = df.dropna(subset=list(xs))
+        mean = whole.agg(*[F.avg(q(c)).alias(f"m{i}") for i, c in enumerate(xs)]).first()
+        df = whole.select(*[(q(c).cast("double") - F.lit(mean[f"m{i}"] or 0.0)).alias(c) for i, c in enumerate(xs)])
     G, s, n = gram(df, xs)
     if centred:
         C = G - np.outer(s, s) / n
@@ -157,6 +163,30 @@ def vif(df: DataFrame, xs: Sequence[str], centred: bool = True) -> DataFrame:
     return _table(df.sparkSession, [(x, float(val)) for x, val in zip(xs, v)], "feature string, vif double")
 
 
+def vif_glm(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
+    """K6: variance inflation factors of a fitted binomial GLM -> (feature, vif).
+
+    diag(inv(R)), R the correlation matrix of the coefficients' covariance without the intercept;
+    the covariance is inv(X'WX) with the fit's weights p (1 - p), summed in one pass.
+    """
+    xs = list(xs)
+    base = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)], q(y).alias("y")).dropna()
+    names = [f"x{i}" for i in range(len(xs))]
+    fit = logit(base, "y", names)[1]["model"]
+    eta = F.lit(float(fit.intercept))
+    for n, b in zip(names, fit.coefficients):
+        eta = eta + F.lit(float(b)) * F.col(n)
+    p = 1 / (1 + F.exp(-eta))
+    cols = [F.lit(1.0), *map(F.col, names)]
+    w = base.withColumn("__w", p * (1 - p))
+    row = w.agg(*[F.sum(F.col("__w") * cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]).first()
+    G = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))], float)
+    V = np.linalg.inv(G)[1:, 1:]
+    d = np.sqrt(np.diag(V))
+    v = np.diag(np.linalg.inv(V / np.outer(d, d)))
+    return _table(df.sparkSession, [(x, float(f)) for x, f in zip(xs, v)], "feature string, vif double")
+
+
 def _ols_from_gram(G, s, n, idx, yi, intercept):
     """Least squares of column yi on columns idx from the full Gram (no data pass)."""
     if intercept:
@@ -172,12 +202,14 @@ def _ols_from_gram(G, s, n, idx, yi, intercept):
     return beta[1:] if intercept else beta
 
 
-def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols", intercept: bool = True) -> DataFrame:
+def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols", intercept: bool = True,
+        c: float = 1.0) -> DataFrame:
     """K5: recursive feature elimination to ``n_keep`` features -> (feature, selected, rank).
 
     Each round drops the feature with the smallest |coefficient| (rank = elimination order
     from the end, selected features rank 1).  For OLS the Gram of [xs, y] is aggregated once
-    and every round is solved on the driver; for logit each round is a Spark fit.
+    and every round is solved on the driver; for "logit" (binomial GLM) and "logit_l2" (L2-penalised
+    with inverse strength ``c``) each round is a Spark fit.
     """
     xs = list(xs)
     remaining = list(range(len(xs)))
@@ -194,7 +226,7 @@ def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols"
         v_all = cut_lineage(df.select(*[q(c) for c in xs], q(y)))  # many fits over one checkpointed table
         while len(remaining) > n_keep:
             cur = [xs[i] for i in remaining]
-            coefs, _ = logit(v_all, y, cur, intercept)
+            coefs, _ = logit_l2(v_all, y, cur, c) if kind == "logit_l2" else logit(v_all, y, cur, intercept)
             est = {r["term"]: r["estimate"] for r in coefs.collect()}
             worst = min(remaining, key=lambda i: abs(est[xs[i]]))
             ranks[xs[worst]] = len(remaining) - n_keep + 1
@@ -206,7 +238,7 @@ def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols"
 # --------------------------------------------------------------------------- K4 / K7
 
 
-def step_aic(df: DataFrame, y: str, xs: Sequence[str], max_steps: int = 100, parallelism: int = 8) -> DataFrame:
+def step_aic(df: DataFrame, y: str, xs: Sequence[str], parallelism: int = 8) -> DataFrame:
     """K4: bidirectional step-wise selection by AIC over binomial GLMs, from the full model.
 
     Every candidate of a step (drop one / add one back) is an independent Spark fit on
@@ -230,7 +262,9 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], max_steps: int = 100, par
     cur_aic = aic_of(current)
     path = [(0, "start", None, cur_aic)]
     pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
-    for step in range(1, max_steps + 1):
+    step = 0
+    while True:  # ends: the AIC falls with every step, and there are finitely many feature sets
+        step += 1
         cands = [("drop", c, [x for x in current if x != c]) for c in current]
         cands += [("add", c, current + [c]) for c in xs if c not in current]
         if not cands:
@@ -261,7 +295,8 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
     """K7: backward elimination by VIF and p-value.
 
     Each round fits the model and the VIFs; among features with p > max_p the one
-    with the largest VIF above max_vif is dropped, else the one with the largest p.
+    with the largest VIF above max_vif is dropped, else the one with the largest p.  For logit the
+    VIFs are those of the fitted GLM, for ols the plain ones.
     Stops when every p <= max_p.  Returns the path (step, dropped, vif, p_value).
     """
     cur = list(xs)
@@ -271,7 +306,8 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
     while cur:
         coefs = (logit(base, y, cur)[0] if kind == "logit" else ols(base, y, cur)[0]).collect()
         pv = {r["term"]: r["p_value"] for r in coefs if r["term"] != INTERCEPT}
-        vf = {r["feature"]: r["vif"] for r in vif(base, cur, centred).collect()} if len(cur) > 1 else {cur[0]: 1.0}
+        vifs = vif_glm(base, y, cur) if kind == "logit" else vif(base, cur, centred)
+        vf = {r["feature"]: r["vif"] for r in vifs.collect()} if len(cur) > 1 else {cur[0]: 1.0}
         cand = [c for c in cur if pv[c] > max_p]
         if not cand:
             break
@@ -289,7 +325,7 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
 def svm_linear(df: DataFrame, label: str, features: str, c: float = 1.0, max_iter: int = 50, parallelism: int = 4):
     """Linear multi-class SVM, one-vs-rest LinearSVC, penalty C -> regParam 1 / (C n)."""
     n = df.count()
-    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, featuresCol=features)
+    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, featuresCol=features, standardization=False)
     return OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=parallelism).fit(df)
 
 
@@ -327,22 +363,41 @@ def svm_poly(df: DataFrame, label: str, features: str, degree: int = 2, c: float
     n = df.count()
     pipe = Pipeline(stages=[PCA(k=k, inputCol=features, outputCol="__pca"),
                             PolynomialExpansion(degree=degree, inputCol="__pca", outputCol="__poly"),
-                            OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter),
+                            OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False),
                                       labelCol=label, featuresCol="__poly", parallelism=4)])
     return pipe.fit(df)
 
 
 def grid_search(df: DataFrame, label: str, features: str, grid: Mapping[str, Sequence[float]], folds: int = 5,
-                seed: int = 42, max_iter: int = 20) -> DataFrame:
-    """K-fold cross-validated accuracy for every grid point of C -> (c, accuracy)."""
-    n = df.count()
-    svc = LinearSVC(maxIter=max_iter)
-    ovr = OneVsRest(classifier=svc, labelCol=label, featuresCol=features)
-    cs = list(grid["c"])
-    maps = [{svc.regParam: 1.0 / (cval * n * (folds - 1) / folds)} for cval in cs]
-    ev = MulticlassClassificationEvaluator(labelCol=label, metricName="accuracy")
-    cv = CrossValidator(estimator=ovr, estimatorParamMaps=maps, evaluator=ev, numFolds=folds, seed=seed,
-                        parallelism=2)
-    m = cv.fit(df)
-    rows = [(float(cval), float(a)) for cval, a in zip(cs, m.avgMetrics)]
-    return _table(df.sparkSession, rows, "c double, accuracy double")
+                seed: int = 42, max_iter: int = 100, n_features: int = 256) -> DataFrame:
+    """K-fold cross-validated accuracy and kappa of every grid point.
+
+    ``grid`` has "c" and, for the RBF kernel, "sigma": (c, accuracy, kappa) or (sigma, c, accuracy,
+    kappa).  Folds come from a seeded hash of the feature vector, so equal rows share a fold and the
+    split does not depend on partitioning.
+    """
+    arr = vector_to_array(features) if isinstance(df.schema[features].dataType, T.UserDefinedType) else F.col(features)
+    base = cut_lineage(df.select(q(label).cast("double").alias("label"), arr.alias("x"),
+                                 F.pmod(F.xxhash64(F.lit(seed), arr), F.lit(folds)).alias("fold")), "grid")
+    rows = []
+    for sigma in grid.get("sigma", [None]):
+        z = base.withColumn("features", array_to_vector("x"))
+        if sigma is not None:
+            z = cut_lineage(fourier_features(z, "features", sigma, n_features, seed, "z").withColumn(
+                "z", vector_to_array("z")).select("label", "z", "fold"), "grid").withColumn("features", array_to_vector("z"))
+        for c in grid["c"]:
+            votes = None
+            for k in range(folds):
+                m = svm_linear(z.where(F.col("fold") != k), "label", "features", c, max_iter)
+                part = m.transform(z.where(F.col("fold") == k)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+                votes = part if votes is None else votes.unionByName(part)
+            cells = {}
+            for r in votes.groupBy("label", "prediction").agg(F.sum("n").alias("n")).collect():  # classes x classes
+                cells[r["label"], r["prediction"]] = float(r["n"])
+            total = sum(cells.values())
+            hit = sum(v for (a, b), v in cells.items() if a == b) / total
+            margin = lambda side, x: sum(v for key, v in cells.items() if key[side] == x)
+            chance = sum(margin(0, x) * margin(1, x) for x in {a for a, _ in cells}) / total ** 2
+            rows.append(([float(sigma)] if sigma is not None else []) + [float(c), hit, (hit - chance) / (1 - chance) if chance < 1 else 0.0])
+    lead = "sigma double, " if "sigma" in grid else ""
+    return _table(df.sparkSession, rows, f"{lead}c double, accuracy double, kappa double")

@@ -2,10 +2,11 @@
 
 An unpartitioned window (``row_number() over (order by x)``) puts the whole
 table in one task.  Here the table is range-partitioned by Spark (sampled
-bounds, so a hot value is spread as far as the tie-breaker allows), each
-partition computes a local running total in one vectorised pass, and the
-per-partition totals -- a table of at most (partitions + groups) rows -- give
-each partition its offset.  The result is exact.
+bounds, so a hot value is spread as far as the tie-breaker allows) and written
+once with its range number, which from then on is data: no later stage can
+renumber it.  A window per range computes the local running total, and the
+totals per range -- at most (ranges + groups) rows -- give each range its
+offset.  JVM only; values keep their types.  The result is exact.
 
 Used by: global row index (ntile, exact-n samples, stratified splits) and
 exact order statistics (percentiles, hinges) from per-value counts.
@@ -15,13 +16,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.session import keep_persisted
-
+from quarry.session import cut_lineage
 
 
 def q(name: str) -> Column:
@@ -29,15 +28,6 @@ def q(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def _same(a, b) -> bool:
-    for x, y in zip(a, b):
-        if pd.isna(x) and pd.isna(y):
-            continue
-        if pd.isna(x) or pd.isna(y) or x != y:
-            return False
-    return True
-
-
 def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column | None = None,
                   by: Sequence[str] = (), out: str = "cum", num_partitions: int | None = None,
                   total_out: str | None = None, per_group: Callable[[Column], dict] | None = None) -> DataFrame:
@@ -47,53 +37,24 @@ def running_total(df: DataFrame, order: Sequence[Column | str], weight: Column |
     ``total_out`` adds the group's grand total; ``per_group(total)`` may add further
     columns computed once per (partition, group) on the small offsets table.
     """
-    spark = df.sparkSession
     by = list(by)
     order_cols = [q(o) if isinstance(o, str) else o for o in order]
     base = df.withColumn("__w", weight if weight is not None else F.lit(1).cast("long"))
     wtype = base.schema["__w"].dataType
-    integral = isinstance(wtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType))
-    if integral:
-        base = base.withColumn("__w", F.col("__w").cast("long"))
+    if isinstance(wtype, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        local_type = T.LongType()
+    elif isinstance(wtype, T.DecimalType):
+        local_type = T.DecimalType(min(38, wtype.precision + 10), wtype.scale)
     else:
-        base = base.withColumn("__w", F.col("__w").cast("double"))
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        local_type = T.DoubleType()
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [q(b) for b in by] + order_cols
-    ranged = base.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
-    local_type = T.LongType() if integral else T.DoubleType()
-    out_schema = T.StructType(base.schema.fields + [T.StructField("__pid", T.IntegerType(), False),
-                                                    T.StructField("__local", local_type, True)])
-
-    def per_partition(batches):
-        from pyspark import TaskContext
-        pid = TaskContext.get().partitionId()
-        carry_key, carry = None, 0
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            w = pdf["__w"].fillna(0)
-            if by:
-                k = pdf[by]
-                prev = k.shift()
-                same = ((k == prev) | (k.isna() & prev.isna())).all(axis=1)
-                same.iloc[0] = False
-                grp = (~same).cumsum()
-                cum = w.groupby(grp).cumsum()
-                first_key = tuple(k.iloc[0])
-                if carry_key is not None and _same(first_key, carry_key):
-                    cum = cum + (grp == grp.iloc[0]) * carry
-                carry_key = tuple(k.iloc[-1])
-            else:
-                cum = w.cumsum() + carry
-            carry = cum.iloc[-1]
-            pdf["__pid"] = pid
-            pdf["__local"] = cum.astype("int64" if integral else "float64")
-            yield pdf
-
-    # persisted so both consumers (partition totals and the final join) see one
-    # computation with one partition numbering
-    local = keep_persisted(ranged.mapInPandas(per_partition, out_schema))
-    totals = local.groupBy("__pid", *[q(b) for b in by]).agg(F.sum("__w").alias("__t"))
+    base = base.withColumn("__w", F.coalesce("__w", F.lit(0)).cast(local_type))
+    ranged = cut_lineage(base.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()), "ranges")
+    rows = (Window.partitionBy("__pid", *[q(b) for b in by]).orderBy(*order_cols)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    local = ranged.withColumn("__local", F.sum("__w").over(rows).cast(local_type))
+    totals = ranged.groupBy("__pid", *[q(b) for b in by]).agg(F.sum("__w").cast(local_type).alias("__t"))
     w = Window.partitionBy(*[q(b) for b in by]).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     group_total = F.sum("__t").over(Window.partitionBy(*[q(b) for b in by]))
     extra = {}

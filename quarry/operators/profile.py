@@ -209,11 +209,17 @@ def date_parts_seen(df: DataFrame, cols: Sequence[str], part: str = "year") -> D
 
 
 def constant_columns(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Per column distinct count (NULL counted as a value) -> (column, n_values, is_constant)."""
+    """(column, n_null, is_constant); NULL counts as a value.
+
+    A column is constant if it has no value, or no NULL and equal minimum and maximum: one aggregate
+    of fixed size, where distinct counts would shuffle every value.
+    """
     cols = list(cols or df.columns)
-    row = df.agg(*[(F.count_distinct(q(c)) + F.max(q(c).isNull().cast("long"))).cast("long").alias(c)
-                   for c in cols])
-    return _long(row, cols, "column", "n_values").withColumn("is_constant", F.col("n_values") <= 1)
+    one = lambda c: (F.count(q(c)) == 0) | ((F.count(q(c)) == F.count(F.lit(1))) & F.min(q(c)).eqNullSafe(F.max(q(c))))
+    row = df.agg(*[F.struct((F.count(F.lit(1)) - F.count(q(c))).alias("n_null"), one(c).alias("is_constant")).alias(c) for c in cols])
+    out = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), q(c).getField("n_null").alias("n_null"),
+                                       q(c).getField("is_constant").alias("is_constant")) for c in cols])).alias("__r")
+    return row.select(out).select("__r.column", "__r.n_null", "__r.is_constant")
 
 
 def drop_constant(df: DataFrame) -> DataFrame:

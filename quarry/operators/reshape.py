@@ -36,19 +36,13 @@ def unpivot_flags(df: DataFrame, ids: Sequence[str], cols: Sequence[str], var: s
     return long
 
 
-def dummy_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
-    """Sorted distinct levels of each categorical column (one aggregate).
+def dummy_levels(df: DataFrame, cols: Sequence[str]) -> dict[str, list]:
+    """Sorted distinct levels of each categorical column.
 
-    The level lists become columns, so they must be small: a column with more
-    than ``max_levels`` levels is refused (checked by a distinct count first)
-    instead of gathering an unbounded set on the driver.
+    Every level becomes a column of the result, so the lists are as long as its schema; give
+    ``levels`` to :func:`dummies` to choose them.
     """
-    n = df.agg(*[F.approx_count_distinct(q(c)).alias(c) for c in cols]).first()
-    wide = [c for c in cols if n[c] > max_levels]
-    if wide:
-        raise ValueError(f"too many levels for one-hot columns: {wide}")
-    row = df.agg(*[F.sort_array(F.collect_set(q(c))).alias(c) for c in cols]).first()
-    return {c: list(row[c]) for c in cols}
+    return {c: [r[0] for r in df.select(q(c)).where(q(c).isNotNull()).distinct().orderBy(q(c)).collect()] for c in cols}
 
 
 def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, levels: Mapping[str, list] | None = None,
@@ -71,27 +65,25 @@ def dummies(df: DataFrame, cols: Sequence[str], drop_first: bool = True, levels:
 def row_mean(df: DataFrame, key: Sequence[str], cols: Sequence[str], out: str = "row_mean") -> DataFrame:
     """Mean over many columns of each row, NULLs skipped -> (key..., out).
 
-    Unpivot to (key, value) and average by key: the same plan for 3 or 3,000 columns.
+    Row-local (no shuffle); rows that share a key stay separate rows, a row of NULLs gives NULL.
     """
-    long = df.unpivot([q(k) for k in key], [q(c).cast("double").alias(c) for c in cols], "__col", "__v")
-    return long.groupBy(*[q(k) for k in key]).agg(F.avg("__v").alias(out))
+    v = F.filter(F.array(*[q(c).cast("double") for c in cols]), lambda x: x.isNotNull())
+    return df.select(*[q(k) for k in key], F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v)).alias(out))
 
 
 def timesheet_hours(in_df: DataFrame, out_df: DataFrame, key: str, day_cols: Sequence[str] | None = None,
                     pattern: str | None = None) -> DataFrame:
     """Two wide timesheets (one column per day) -> mean hours per key.
 
-    Both are unpivoted to (key, day, time), joined on key and day, the
-    elapsed hours computed per row and averaged per key (days off = NULL skip).
+    The sheets are joined once on the key; each pair of rows then sums the elapsed hours of the days
+    that both sheets have (days off = NULL skip), and the sums are averaged per key.
     """
     days = list(day_cols or [c for c in in_df.columns if c != key])
-
-    def long(df, name):
-        vals = [(QF.parse_date(q(d), pattern) if pattern else q(d).cast("timestamp")).alias(d) for d in days]
-        return df.unpivot([q(key)], vals, "day", name)
-
-    a = long(in_df, "t_in")
-    b = long(out_df, "t_out").withColumnRenamed(key, "__k")
-    j = a.join(b, (a[key] == b["__k"]) & (a["day"] == b["day"]), "inner").drop(b["day"]).drop("__k")
-    hrs = QF.elapsed("t_in", "t_out", "hour")
-    return j.groupBy(q(key)).agg(F.avg(hrs).alias("mean_hours"), F.count(hrs).alias("days_worked"))
+    t = lambda d: QF.parse_date(q(d), pattern) if pattern else q(d).cast("timestamp")
+    sheet = lambda df, name: df.select(q(key).alias(key), F.array(*[t(d) for d in days]).alias(name))
+    j = sheet(in_df, "__in").join(sheet(out_df, "__out"), key, "inner")
+    hours = F.filter(F.transform(F.arrays_zip("__in", "__out"), lambda x: QF.elapsed(x["__in"], x["__out"], "hour")),
+                     lambda h: h.isNotNull())
+    j = j.select(q(key), F.aggregate(hours, F.lit(0.0), lambda a, x: a + x).alias("__h"), F.size(hours).cast("long").alias("__n"))
+    g = j.groupBy(q(key)).agg(F.sum("__h").alias("__h"), F.sum("__n").alias("days_worked"))
+    return g.select(q(key), F.try_divide("__h", "days_worked").alias("mean_hours"), "days_worked")

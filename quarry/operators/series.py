@@ -49,8 +49,13 @@ def to_series(df: DataFrame, ts: str, by: Sequence[str], measures: Mapping[str,
         s, e = agg.agg(F.min(period)).scalar(), agg.agg(F.max(period)).scalar()
     keys = agg.select(*[q(b) for b in by]).distinct()
     # every series gets every month of the span: a generator per key (months of the span), no join
-    grid = keys.select(*[q(b) for b in by], F.explode(F.sequence(s, e, F.expr("interval 1 month"))).alias(period))
-    full = grid.join(agg, [*by, period], "left").fillna(0, list(measures))
+    grid = keys.select(*[q(b).alias(f"__b{k}") for k, b in enumerate(by)],
+                       F.explode(F.sequence(s, e, F.expr("interval 1 month"))).alias("__p"))
+    on = F.col("__p") == F.col(period)  # a NULL key is a series like any other
+    for k, b in enumerate(by):
+        on = on & F.col(f"__b{k}").eqNullSafe(q(b))
+    full = grid.join(agg, on, "left").select(*[F.col(f"__b{k}").alias(b) for k, b in enumerate(by)], F.col("__p").alias(period),
+                                             *[F.coalesce(q(m), F.lit(0)).alias(m) for m in measures])
     return full.withColumn(t, (F.months_between(period, s).cast("int") + 1).cast("long"))
 
 
@@ -185,31 +190,38 @@ def kpss_lags(n: Column, lags: str | int = "short") -> Column:
     return F.floor(F.lit(k) * F.sqrt(n.cast("double"))).cast("int")
 
 
-def kpss_test(df: DataFrame, by: Sequence[str], t: str, c: str, lags: str | int = "short",
-              max_lag: int = 20) -> DataFrame:
+def kpss_test(df: DataFrame, by: Sequence[str], t: str, c: str, lags: str | int = "short") -> DataFrame:
     """KPSS level test per series -> (by..., n, lags, statistic, p_value).
 
     e = x - mean, S = running sum of e; statistic = sum S^2 / (n^2 * s2), with the
     Bartlett long-run variance s2 = (sum e^2 + 2 sum_{s<=l} (1 - s/(l+1)) sum e_t e_{t-s}) / n.
-    Lag products are computed up to ``max_lag`` and weighted by the series' own l.
-    p interpolated in the published table, clipped to [0.01, 0.10].
+    l comes from each series' own length, or from the caller, uncapped: every row meets its l
+    predecessors through a join on (series, place).  p interpolated in the published table,
+    clipped to [0.01, 0.10].
     """
     by = list(by)
-    x = df.withColumn("__e", q(c) - F.avg(q(c)).over(_w(by)))
-    x = x.withColumn("__S", F.sum("__e").over(_w(by, t).rowsBetween(Window.unboundedPreceding, 0)))
-    x = x.withColumns({f"__p{s}": F.col("__e") * F.lag("__e", s).over(_w(by, t)) for s in range(1, max_lag + 1)})
-    g = x.groupBy(*[q(b) for b in by]).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("__S") * F.col("__S")).alias("__ss"),
-        F.sum(F.col("__e") * F.col("__e")).alias("__e2"),
-        *[F.sum(f"__p{s}").alias(f"__g{s}") for s in range(1, max_lag + 1)])
-    g = g.withColumn("lags", F.least(kpss_lags(F.col("n"), lags), F.lit(max_lag)))
-    lr = F.col("__e2")
-    for s in range(1, max_lag + 1):
-        wgt = F.lit(1.0) - F.lit(float(s)) / (F.col("lags") + 1)
-        lr = lr + F.when(F.col("lags") >= s, F.lit(2.0) * wgt * F.coalesce(F.col(f"__g{s}"), F.lit(0.0))).otherwise(0.0)
+    e = q(c) - F.avg(q(c)).over(_w(by))
+    x = df.select(*[q(b) for b in by], e.alias("__e"), F.row_number().over(_w(by, t)).alias("__i"),
+                  F.count(F.lit(1)).over(_w(by)).alias("__n"), q(t).alias("__t"))
+    x = x.withColumn("__S", F.sum("__e").over(_w(by, "__i").rowsBetween(Window.unboundedPreceding, 0)))
+    g = x.groupBy(*[q(b) for b in by]).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("__S") * F.col("__S")).alias("__ss"),
+                                           F.sum(F.col("__e") * F.col("__e")).alias("__e2"))
+    lag = F.least(kpss_lags(F.col("__n"), lags), F.col("__i") - 1)
+    back = x.where(lag > 0).select(*[q(b).alias(f"__b{k}") for k, b in enumerate(by)], F.col("__e").alias("__f"), "__n",
+                                   F.posexplode(F.sequence(F.col("__i") - 1, F.col("__i") - lag, F.lit(-1))).alias("__s", "__j"))
+    on = F.col("__j") == F.col("__i")
+    for k, b in enumerate(by):
+        on = on & q(b).eqNullSafe(F.col(f"__b{k}"))
+    weight = 1 - (F.col("__s") + 1) / (kpss_lags(F.col("__m"), lags) + 1)
+    cross = (back.withColumnRenamed("__n", "__m").join(x.select(*[q(b) for b in by], "__i", "__e"), on)
+             .groupBy(*[F.col(f"__b{k}") for k in range(len(by))]).agg(F.sum(weight * F.col("__e") * F.col("__f")).alias("__x")))
+    on = F.lit(True)
+    for k, b in enumerate(by):
+        on = on & q(b).eqNullSafe(F.col(f"__b{k}"))
+    g = g.join(cross, on, "left") if by else g.withColumn("__x", cross.scalar())
     n = F.col("n").cast("double")
-    stat = F.col("__ss") / (n * n) / (lr / n)
-    g = g.withColumn("statistic", stat)
+    stat = F.col("__ss") / (n * n) / ((F.col("__e2") + 2 * F.coalesce("__x", F.lit(0.0))) / n)
+    g = g.withColumn("statistic", stat).withColumn("lags", kpss_lags(F.col("n"), lags))
     return g.select(*[q(b) for b in by], "n", F.col("lags").cast("long").alias("lags"), "statistic",
                     _interp_p(F.col("statistic"), KPSS_LEVEL_CRIT, KPSS_LEVEL_P).alias("p_value"))
 

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from quarry.operators import aggs, features, joins, models, reshape
 from quarry.plans.tables import cars, read, with_ctes
 
-DAYS = [f"d{i:02d}" for i in range(1, 31)]
 X_COLS = ["acctbal", "n_orders", "mean_price", "max_price"]
 
 
@@ -54,22 +53,24 @@ GROUP BY region, attrition"""
 
 
 def timesheets(spark, sf):
-    """Two wide tables (one column per day, NULL on days off): first and last event time per user and day."""
-    e = read(spark, sf, "events").withColumn("day", F.format_string("d%02d", F.dayofmonth("ts")))
-    g = e.groupBy("user_id").pivot("day", DAYS)
+    """Two wide tables (one column per date, NULL on days off): first and last event time per user and
+    date.  The dates are those of the events; they become the sheets' columns."""
+    e = read(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    days = [r["day"] for r in e.where("day is not null").select("day").distinct().orderBy("day").collect()]
+    g = e.groupBy("user_id").pivot("day", days)
     return g.agg(F.min("ts")), g.agg(F.max("ts"))
 
 
 def q_timesheet_hours(spark, sf):
     """Mean hours between first and last event per user over the days with events."""
     t_in, t_out = timesheets(spark, sf)
-    h = reshape.timesheet_hours(t_in, t_out, "user_id", DAYS)
+    h = reshape.timesheet_hours(t_in, t_out, "user_id")
     return h.select("user_id", F.round("mean_hours", 8).alias("mean_hours"), "days_worked")
 
 
 SQL_TIMESHEET_HOURS = """SELECT user_id, round(avg((epoch(t_out) - epoch(t_in)) / 3600.0), 8) AS mean_hours,
- count(*) AS days_worked FROM (SELECT user_id, day(ts) AS d, min(ts) AS t_in, max(ts) AS t_out FROM events
- GROUP BY user_id, day(ts)) GROUP BY user_id"""
+ count(*) AS days_worked FROM (SELECT user_id, CAST(ts AS DATE) AS d, min(ts) AS t_in, max(ts) AS t_out FROM events
+ GROUP BY user_id, CAST(ts AS DATE)) GROUP BY user_id"""
 
 
 def q_dummies(spark, sf):
@@ -171,7 +172,7 @@ def study(spark, sf) -> dict:
     from quarry.session import cut_lineage
     e = employees(spark, sf)
     t_in, t_out = timesheets(spark, sf)
-    hours = reshape.timesheet_hours(t_in, t_out, "user_id", DAYS).select(
+    hours = reshape.timesheet_hours(t_in, t_out, "user_id").select(
         F.col("user_id").alias("c_custkey"), F.col("mean_hours"))
     e = e.join(hours, "c_custkey", "left").fillna({"mean_hours": 0.0})
     e = clean.cap(e, {"acctbal": (-500.0, 9000.0)})

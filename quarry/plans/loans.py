@@ -82,10 +82,11 @@ def q_histogram(spark, sf):
 
 SQL_HISTOGRAM = with_ctes("""
 , r AS (SELECT min(loan_amnt) AS lo, max(loan_amnt) AS hi FROM loans)
-, b AS (SELECT CAST(least(floor((loan_amnt - r.lo) / ((r.hi - r.lo) / 30)) + 1, 30) AS BIGINT) AS bin, r.lo, r.hi
-        FROM loans, r)
-SELECT bin, round(lo + (bin - 1) * (hi - lo) / 30, 4) AS lo, round(lo + bin * (hi - lo) / 30, 4) AS hi, count(*) AS n
-FROM b GROUP BY bin, lo, hi""", "loans")
+, b AS (SELECT CAST(least(floor((loan_amnt - r.lo) / ((r.hi - r.lo) / 30)) + 1, 30) AS BIGINT) AS bin, count(*) AS n
+        FROM loans, r GROUP BY 1)
+SELECT g.bin, round(lo + (g.bin - 1) * (hi - lo) / 30, 4) AS lo, round(lo + g.bin * (hi - lo) / 30, 4) AS hi,
+ coalesce(b.n, 0) AS n
+FROM (SELECT unnest(range(1, 31)) AS bin) g CROSS JOIN r LEFT JOIN b ON b.bin = g.bin""", "loans")
 
 
 def q_regression_line(spark, sf):

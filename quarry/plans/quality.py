@@ -75,12 +75,12 @@ WHERE a.nulls <> b.nulls""", "holes")
 
 
 def q_constant_columns(spark, sf):
-    """Values per column with NULL counted as a value; constant flag."""
+    """NULLs per column and constant flag (NULL counts as a value)."""
     return profile.constant_columns(holes(spark, sf))
 
 
 SQL_CONSTANT_COLUMNS = with_ctes(_union(
-    f"SELECT '{c}' AS column, count(DISTINCT {c}) + max(CAST({c} IS NULL AS BIGINT)) AS n_values, "
+    f"SELECT '{c}' AS column, count(*) - count({c}) AS n_null, "
     f"count(DISTINCT {c}) + max(CAST({c} IS NULL AS BIGINT)) <= 1 AS is_constant FROM holes" for c in HOLE_COLS),
     "holes")
 

@@ -11,12 +11,10 @@ from quarry.plans.tables import rides, with_ctes
 
 # fixed values: the two request-time formats and the day slots
 PATTERNS = ["d-M-yyyy HH:mm:ss", "d/M/yyyy HH:mm"]
-SLOT_EDGES = [0, 5, 10, 17, 22, 24]
-SLOT_LABELS = ["early_morning", "morning", "day", "evening", "night"]
-SLOT_ORDER = ["early_morning", "morning", "day", "evening", "night"]
-SLOT_SQL = """CASE WHEN hour(p) >= 0 AND hour(p) < 5 THEN 'early_morning'
- WHEN hour(p) >= 5 AND hour(p) < 10 THEN 'morning' WHEN hour(p) >= 10 AND hour(p) < 17 THEN 'day'
- WHEN hour(p) >= 17 AND hour(p) < 22 THEN 'evening' WHEN hour(p) >= 22 AND hour(p) < 24 THEN 'night' END"""
+SLOT_EDGES = [0, 4, 8, 12, 16, 20, 24]
+SLOT_LABELS = ["midnight", "early morning", "morning", "noon", "evening", "late evening"]
+SLOT_ORDER = ["early morning", "morning", "noon", "evening", "late evening", "midnight"]
+SLOT_SQL = clean.bucket_sql("hour(p)", SLOT_EDGES, SLOT_LABELS)
 PARSE_SQL = """coalesce(try_strptime(request_ts, '%d-%m-%Y %H:%M:%S'), try_strptime(request_ts, '%d/%m/%Y %H:%M'))"""
 
 
@@ -59,8 +57,7 @@ def q_status_by_slot(spark, sf):
 
 
 SQL_STATUS_BY_SLOT = with_ctes(SLOTTED_SQL + """
-SELECT slot, status, count(*) AS n, CAST(coalesce(list_position(['early_morning', 'morning', 'day', 'evening',
- 'night'], slot), 6) AS BIGINT) AS slot_order FROM slotted GROUP BY slot, status""", "rides")
+SELECT slot, status, count(*) AS n, CAST(coalesce(list_position({slots}, slot), {last}) AS BIGINT) AS slot_order FROM slotted GROUP BY slot, status""".replace("{slots}", str(SLOT_ORDER)).replace("{last}", str(len(SLOT_ORDER) + 1)), "rides")
 
 
 def q_drop_time(spark, sf):

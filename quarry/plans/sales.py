@@ -10,7 +10,6 @@ from quarry.operators import aggs, clean, evaluate, rank, series
 from quarry.plans.tables import sales_lines, with_ctes
 
 BY = ["market", "segment"]
-START, END = "1995-01-01", "2001-07-01"
 # fixed values: the global trend-season formula of the study,
 # sin(0.5 t) * poly(t, 2) + sin(0.15 t) + cos(0.5 t) * poly(t, 2)
 TREND_SPEC = [("poly", 2), ("sin", 0.5), ("sinpoly", 0.5, 2), ("sin", 0.15), ("cos", 0.5), ("cospoly", 0.5, 2)]
@@ -19,16 +18,16 @@ TREND_SPEC = [("poly", 2), ("sin", 0.5), ("sinpoly", 0.5, 2), ("sin", 0.15), ("c
 def monthly(spark, sf):
     """M1: complete monthly series of sales (sum) and quantity (count)."""
     return series.to_series(sales_lines(spark, sf), "order_date", BY,
-                            {"sales": F.sum("sales"), "quantity": F.count(F.lit(1))}, start=START, end=END)
+                            {"sales": F.sum("sales"), "quantity": F.count(F.lit(1))})
 
 
-SERIES_SQL = f"""
+SERIES_SQL = """
 , agg AS (SELECT market, segment, CAST(date_trunc('month', order_date) AS DATE) AS period, sum(sales) AS sales,
           count(*) AS quantity FROM sales_lines GROUP BY ALL)
-, cal AS (SELECT CAST(unnest(generate_series(DATE '{START}', DATE '{END}', INTERVAL 1 MONTH)) AS DATE) AS period)
+, cal AS (SELECT CAST(unnest(generate_series((SELECT min(period) FROM agg), (SELECT max(period) FROM agg), INTERVAL 1 MONTH)) AS DATE) AS period)
 , keys AS (SELECT DISTINCT market, segment FROM agg)
 , series AS (SELECT k.market, k.segment, c.period, coalesce(a.sales, 0) AS sales, coalesce(a.quantity, 0) AS quantity,
-             CAST(datediff('month', DATE '{START}', c.period) + 1 AS BIGINT) AS t
+             CAST(datediff('month', (SELECT min(period) FROM agg), c.period) + 1 AS BIGINT) AS t
              FROM keys k CROSS JOIN cal c LEFT JOIN agg a
              ON a.market = k.market AND a.segment = k.segment AND a.period = c.period)"""
 
@@ -49,11 +48,11 @@ SQL_TO_SERIES = _sql("SELECT market, segment, t, round(sales, 2) AS sales, quant
 def q_rank_series(spark, sf):
     """M2: series by total sales with their coefficient of variation."""
     r = series.rank_series(monthly(spark, sf), BY, "sales")
-    return r.select(*BY, F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"),
+    return r.select(*BY, F.round("total", 2).alias("total"), F.round("mean", 6).alias("mean"),
                     F.round("sd", 4).alias("sd"), F.round("cv", 8).alias("cv"), "rank")
 
 
-SQL_RANK_SERIES = _sql("""SELECT market, segment, round(sum(sales), 2) AS total, round(avg(sales), 4) AS mean,
+SQL_RANK_SERIES = _sql("""SELECT market, segment, round(sum(sales), 2) AS total, round(avg(sales), 6) AS mean,
  round(stddev_samp(sales), 4) AS sd, round(stddev_samp(sales) / avg(sales), 8) AS cv,
  row_number() OVER (ORDER BY sum(sales) DESC, market, segment) AS rank FROM series GROUP BY market, segment""")
 
@@ -73,11 +72,11 @@ GROUP BY market, segment""", "sales_lines")
 def q_coef_variation(spark, sf):
     """sd / mean of monthly sales per market (all segments pooled), one groupBy."""
     c = aggs.coef_variation(monthly(spark, sf), ["market"], "sales")
-    return c.select("market", F.round("mean", 4).alias("mean"), F.round("sd", 4).alias("sd"),
+    return c.select("market", F.round("mean", 6).alias("mean"), F.round("sd", 4).alias("sd"),
                     F.round("cv", 8).alias("cv"))
 
 
-SQL_COEF_VARIATION = _sql("""SELECT market, round(avg(sales), 4) AS mean, round(stddev_samp(sales), 4) AS sd,
+SQL_COEF_VARIATION = _sql("""SELECT market, round(avg(sales), 6) AS mean, round(stddev_samp(sales), 4) AS sd,
  round(stddev_samp(sales) / avg(sales), 8) AS cv FROM series GROUP BY market""")
 
 

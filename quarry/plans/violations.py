@@ -12,12 +12,10 @@ from quarry.session import literal_table
 # fixed values: 4-hour slots of the day (edges in hours, labels)
 SLOT_EDGES = [0, 4, 8, 12, 16, 20, 24]
 SLOT_LABELS = ["0-4", "4-8", "8-12", "12-16", "16-20", "20-24"]
-SLOT_SQL = """CASE WHEN hour >= 0 AND hour < 4 THEN '0-4' WHEN hour >= 4 AND hour < 8 THEN '4-8'
- WHEN hour >= 8 AND hour < 12 THEN '8-12' WHEN hour >= 12 AND hour < 16 THEN '12-16'
- WHEN hour >= 16 AND hour < 20 THEN '16-20' WHEN hour >= 20 AND hour < 24 THEN '20-24' END"""
+SLOT_SQL = clean.bucket_sql("hour", SLOT_EDGES, SLOT_LABELS)
 
 # fixed values: month -> season
-SEASONS = {"winter": [12, 1, 2], "spring": [3, 4, 5], "summer": [6, 7, 8], "autumn": [9, 10, 11]}
+SEASONS = {"Fall": [9, 10, 11], "Winter": [12, 1, 2], "Spring": [3, 4, 5], "Summer": [6, 7, 8]}
 
 
 def timed_violations(v, meridiem: str = "ignore"):
@@ -160,8 +158,8 @@ def q_classify(spark, sf):
     return aggs.count_by(clean.classify(u, "month", SEASONS, "season"), ["year", "season"])
 
 
-SQL_CLASSIFY = with_ctes("""SELECT y AS year, CASE WHEN m IN (12, 1, 2) THEN 'winter' WHEN m IN (3, 4, 5) THEN 'spring'
- WHEN m IN (6, 7, 8) THEN 'summer' WHEN m IN (9, 10, 11) THEN 'autumn' END AS season, count(*) AS n
+SQL_CLASSIFY = with_ctes("""SELECT y AS year, CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m IN (3, 4, 5) THEN 'Spring'
+ WHEN m IN (6, 7, 8) THEN 'Summer' WHEN m IN (9, 10, 11) THEN 'Fall' END AS season, count(*) AS n
 FROM (SELECT y, month(strptime(issue_date_text, '%m/%d/%Y')) AS m FROM tickets WHERE y IN (1996, 1997, 1998))
 GROUP BY 1, 2""", "tickets")
 

@@ -1,39 +1,14 @@
-"""Session helpers: local session for tests and benches, lineage cuts, size-checked broadcast."""
+"""Session helpers: local session for tests and benches, lineage cuts, literal tables."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# DataFrames persisted inside operators (running totals, size-checked dimensions); they are
-# released by release() at the end of a job, or evicted LRU by Spark under memory pressure.
-_PERSISTED: list = []
-
-
-def keep_persisted(df: DataFrame) -> DataFrame:
-    """Persist an intermediate (memory, spilling to disk) and remember it for :func:`release`."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    _PERSISTED.append(df)
-    return df
-
-
-def release() -> int:
-    """Unpersist every intermediate quarry persisted so far; returns how many."""
-    n = len(_PERSISTED)
-    while _PERSISTED:
-        _PERSISTED.pop().unpersist()
-    return n
-
-
-# Rows a side may hold to be broadcast without further question.  A literal
-# table written in code (fines, sector map) is below it by construction; any
-# other side is counted (with a LIMIT, so the check itself is bounded) first.
-BROADCAST_MAX_ROWS = 1_000_000
-
 
 def get_spark(master: str | None = None, app: str = "quarry", shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
@@ -104,8 +79,8 @@ def ship_package(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this setting names a shared (distributed) folder and is only
-    read.  Only when it is unset (local tests) a private scratch folder is made.
+    On a cluster this setting names a shared (distributed) folder and is only read; there it must be
+    set.  Only a local session without it (tests) gets a private scratch folder.
     """
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
@@ -113,42 +88,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
-        # unset: a test or local run, so a private scratch folder is fine
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="quarry-ckpt-")
     sc.setCheckpointDir(configured)
     return configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (never a local one): the result
-    survives executor loss and later plans start from the written table.  The input is
-    persisted for the duration so it is computed once, not once for the count and again
-    for the checkpoint write."""
-    checkpoint_dir(df.sparkSession)
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=eager)
-    if eager:
-        df.unpersist()
-    return out
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only if ``df`` is proven to hold at most ``max_rows`` rows.
-
-    For user-supplied dimension tables of unknown size.  The check reads at
-    most ``max_rows + 1`` rows of the (persisted, so not recomputed) side.
-    Beyond the bound the side is returned unhinted and unpersisted: Spark then
-    plans a shuffled sort-merge join (AQE may still switch to a broadcast from
-    the measured shuffle size).  Intermediate tables inside the operators are
-    not checked this way: they are either bounded by construction (one row,
-    one row per partition) and hinted, or left to AQE's runtime size check.
+def cut_lineage(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` written once as a Parquet table in the shared checkpoint folder and read back.
+
+    Later plans start from finished files: executor loss costs a reread, nothing is cached and
+    nothing is computed twice.
     """
-    df = keep_persisted(df)
-    n = df.limit(max_rows + 1).count()
-    if n <= max_rows:
-        return F.broadcast(df)
-    df.unpersist()
-    return df
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def literal_table(spark: SparkSession, rows: list, schema: str) -> DataFrame:

@@ -15,8 +15,8 @@ def test_null_profiles(spark):
     df = nulls_frame(spark)
     assert dict(rows(profile.null_counts(df))) == {"a": 1, "empty": 6, "const": 0, "const_null": 1}
     assert profile.null_total(df).first().nulls == 8
-    const = {r.column: (r.n_values, r.is_constant) for r in profile.constant_columns(df).collect()}
-    assert const == {"a": (4, False), "empty": (1, True), "const": (1, True), "const_null": (2, False)}
+    const = {r.column: (r.n_null, r.is_constant) for r in profile.constant_columns(df).collect()}
+    assert const == {"a": (1, False), "empty": (6, True), "const": (0, True), "const_null": (1, False)}
     assert profile.drop_constant(df).columns == ["a", "const_null"]
     assert profile.drop_all_null(df).columns == ["a", "const", "const_null"]
     assert profile.duplicate_count(df).first().duplicates == 1  # (2, NULL, k, c) twice
@@ -121,10 +121,3 @@ def test_unpivot_then_pivot_restores(spark):
     back = long.groupBy("part").pivot("category", ["red", "hot", "old"]).count().fillna(0)
     got = sorted(tuple(r) for r in back.collect())
     assert got == [("p1", 1, 0, 1), ("p2", 0, 1, 0)]  # all-zero row and blank key drop out, as in the reference
-
-
-def test_release_unpersists(spark):
-    from quarry.session import release
-    from quarry.operators.order import row_index
-    row_index(spark.range(10), ["id"]).collect()
-    assert release() >= 1 and release() == 0
