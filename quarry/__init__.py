@@ -7,8 +7,6 @@ Layout:
                       aggregates, ranking, reshape, features, models,
                       evaluation, time series)
     quarry.plans      case studies composed from the operators, bound to tables
-    quarry.streaming  notes and helpers for running the stateless operators on
-                      streaming DataFrames
 """
 
 from quarry.session import get_spark, checkpoint_dir, cut_lineage  # noqa: F401

@@ -4,6 +4,7 @@ step-wise, RFE and VIF pruning, scoring.  Bound to `customer` + `orders` + `even
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from quarry.operators import aggs, features, joins, models, reshape
@@ -280,8 +281,58 @@ SQL_ROW_MEAN = with_ctes("""SELECT car_id, round((enginesize + price + coalesce(
 FROM (SELECT *, CASE WHEN car_id % 2 = 0 THEN price / 2 END AS half FROM cars)""", "cars")
 
 
+def q_vif_uncentred_pair(spark, sf):
+    """K6 (uncentred, two predictors): VIF = G11 G22 / (G11 G22 - G12^2)."""
+    v = models.vif(car_table(spark, sf), ["enginesize", "price"], centred=False)
+    return v.select("feature", F.round("vif", 8).alias("vif"))
+
+
+SQL_VIF_UNCENTRED_PAIR = with_ctes("""
+, g AS (SELECT sum(enginesize * enginesize) AS a, sum(price * price) AS b, sum(enginesize * price) AS c FROM cars)
+SELECT f.feature, round(a * b / (a * b - c * c), 8) AS vif FROM g, (SELECT unnest(['enginesize', 'price']) AS feature) f""", "cars")
+
+
+def q_score_line(spark, sf):
+    """Predicted price of every car from the line on engine size, with the actual one."""
+    c = car_table(spark, sf)
+    _, st = models.ols(c, "price", ["enginesize"])
+    s = models.score(st["model"], c, ["enginesize"], ["car_id", "price"], "predicted")
+    return s.select("car_id", "price", F.round("predicted", 6).alias("predicted"))
+
+
+SQL_SCORE_LINE = with_ctes("""
+, r AS (SELECT regr_slope(price, enginesize) AS b, regr_intercept(price, enginesize) AS a FROM cars)
+SELECT car_id, price, round(a + b * enginesize, 6) AS predicted FROM cars, r""", "cars")
+
+
+def q_residual_line(spark, sf):
+    """K9: residual of every car around the line on engine size."""
+    c = car_table(spark, sf)
+    _, st = models.ols(c, "price", ["enginesize"])
+    r = models.residuals(st["model"], c, "price", ["enginesize"], ["car_id"])
+    return r.select("car_id", F.round("residual", 6).alias("residual"))
+
+
+SQL_RESIDUAL_LINE = with_ctes("""
+, r AS (SELECT regr_slope(price, enginesize) AS b, regr_intercept(price, enginesize) AS a FROM cars)
+SELECT car_id, round(price - a - b * enginesize, 6) AS residual FROM cars, r""", "cars")
+
+
+def q_assemble_sum(spark, sf):
+    """The assembled feature vector of every car, by its length and the sum of its parts."""
+    v = features.assemble(car_table(spark, sf), ["enginesize", "price", "car_id"], keep=["car_id"])
+    parts = vector_to_array("features")
+    return v.select("car_id", F.size(parts).cast("long").alias("parts"),
+                    F.round(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+
+
+SQL_ASSEMBLE_SUM = with_ctes("""SELECT car_id, CAST(3 AS BIGINT) AS parts,
+ round(CAST(enginesize AS DOUBLE) + price + car_id, 6) AS total FROM cars""", "cars")
+
+
 QUERIES = {
-    "join_all": q_join_all, "timesheet_hours": q_timesheet_hours, "dummies": q_dummies,
+    "vif_uncentred_pair": q_vif_uncentred_pair, "score_line": q_score_line, "residual_line": q_residual_line,
+    "assemble_sum": q_assemble_sum, "join_all": q_join_all, "timesheet_hours": q_timesheet_hours, "dummies": q_dummies,
     "minmax_scale": q_minmax_scale, "split_stratified": q_split_stratified, "split_random": q_split_random,
     "assemble": q_assemble, "logit": q_logit, "logit_l2": q_logit_l2, "step_aic": q_step_aic,
     "prune_features": q_prune_features, "score": q_score, "ols": q_ols, "vif": q_vif,
@@ -289,6 +340,8 @@ QUERIES = {
     "ols_no_intercept": q_ols_no_intercept,
 }
 ORACLE = {
+    "vif_uncentred_pair": SQL_VIF_UNCENTRED_PAIR, "score_line": SQL_SCORE_LINE, "residual_line": SQL_RESIDUAL_LINE,
+    "assemble_sum": SQL_ASSEMBLE_SUM,
     "join_all": SQL_JOIN_ALL, "timesheet_hours": SQL_TIMESHEET_HOURS, "dummies": SQL_DUMMIES,
     "minmax_scale": SQL_MINMAX_SCALE, "split_stratified": SQL_SPLIT_STRATIFIED, "ols": SQL_OLS, "vif": SQL_VIF,
     "row_mean": SQL_ROW_MEAN, "ols_no_intercept": SQL_OLS_NO_INTERCEPT,

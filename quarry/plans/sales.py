@@ -263,6 +263,22 @@ def q_pacf(spark, sf):
     return series.pacf(series.acf(monthly(spark, sf), BY, "t", "sales", 12), BY)
 
 
+def q_pacf_low(spark, sf):
+    """M9: partial autocorrelations of lags 1 to 3, which have a closed form in the autocorrelations."""
+    p = series.pacf(series.acf(monthly(spark, sf), BY, "t", "sales", 3), BY)
+    return p.select(*BY, "lag", F.round("pacf", 8).alias("pacf"))
+
+
+SQL_PACF_LOW = _sql(ACF_SQL.lstrip("\n") + """
+, r AS (SELECT market, segment, max(acf) FILTER (WHERE lag = 1) AS r1, max(acf) FILTER (WHERE lag = 2) AS r2,
+        max(acf) FILTER (WHERE lag = 3) AS r3 FROM acf GROUP BY ALL)
+, p AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM r)
+, w AS (SELECT *, r1 - p2 * r1 AS p21 FROM p)
+SELECT market, segment, CAST(1 AS BIGINT) AS lag, round(r1, 8) AS pacf FROM w UNION ALL
+SELECT market, segment, 2, round(p2, 8) FROM w UNION ALL
+SELECT market, segment, 3, round((r3 - p21 * r2 - p2 * r1) / (1 - p21 * r1 - p2 * r2), 8) FROM w""")
+
+
 def q_adf_test(spark, sf):
     """Augmented Dickey-Fuller test per series."""
     return series.adf_test(monthly(spark, sf), BY, "t", "sales")
@@ -336,7 +352,7 @@ QUERIES = {
     "coef_variation": q_coef_variation, "add_index": q_add_index, "split_by_index": q_split_by_index,
     "moving_average": q_moving_average, "lags": q_lags, "smooth": q_smooth, "decompose": q_decompose,
     "acf": q_acf, "ljung_box": q_ljung_box, "kpss_test": q_kpss_test, "forecast_accuracy": q_forecast_accuracy,
-    "arg_max": q_arg_max, "time_basis": q_time_basis, "pacf": q_pacf, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
+    "arg_max": q_arg_max, "time_basis": q_time_basis, "pacf": q_pacf, "pacf_low": q_pacf_low, "adf_test": q_adf_test, "trend_fit": q_trend_fit, "trend_predict": q_trend_predict,
     "local_part": q_local_part, "seasonal_ar": q_seasonal_ar, "backtest": q_backtest,
 }
 ORACLE = {
@@ -344,5 +360,5 @@ ORACLE = {
     "coef_variation": SQL_COEF_VARIATION, "add_index": SQL_ADD_INDEX, "split_by_index": SQL_SPLIT_BY_INDEX,
     "moving_average": SQL_MOVING_AVERAGE, "lags": SQL_LAGS, "smooth": SQL_SMOOTH, "decompose": SQL_DECOMPOSE,
     "acf": SQL_ACF, "ljung_box": SQL_LJUNG_BOX, "kpss_test": SQL_KPSS_TEST, "forecast_accuracy": SQL_FORECAST_ACCURACY,
-    "arg_max": SQL_ARG_MAX, "time_basis": SQL_TIME_BASIS,
+    "arg_max": SQL_ARG_MAX, "time_basis": SQL_TIME_BASIS, "pacf_low": SQL_PACF_LOW,
 }
