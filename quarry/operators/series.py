@@ -169,12 +169,21 @@ def pacf(acf_df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def ljung_box(acf_df: DataFrame, by: Sequence[str], max_lag: int, fitted_params: int = 0) -> DataFrame:
-    """Ljung-Box Q = n(n+2) sum_{k<=K} r_k^2 / (n-k) per series, with its degrees of freedom."""
+    """Ljung-Box Q = n(n+2) sum_{k<=K} r_k^2 / (n-k) per series -> (by..., q_stat, df, p_value).
+
+    For the residuals of a fit, give the number of its fitted lags as ``fitted_params``.
+    """
+    free = max_lag - fitted_params
+
+    @F.pandas_udf(T.DoubleType())
+    def tail(x: pd.Series) -> pd.Series:
+        return x.map(lambda v: _chi2_tail(v, free)).astype(float)
+
     a = acf_df.where(F.col("lag") <= max_lag)
     g = a.groupBy(*[q(b) for b in by]).agg(
         (F.first("n") * (F.first("n") + 2) * F.sum(F.col("acf") * F.col("acf") / (F.col("n") - F.col("lag"))))
         .alias("q_stat"))
-    return g.withColumn("df", F.lit(max_lag - fitted_params).cast("long"))
+    return g.withColumn("df", F.lit(free).cast("long")).withColumn("p_value", tail("q_stat"))
 
 
 # fixed values: KPSS level-stationarity critical values (Kwiatkowski et al. 1992, Table 1)
@@ -350,7 +359,7 @@ def adf_test(df: DataFrame, by: Sequence[str], t: str, c: str, k: int | None = N
     """Augmented Dickey-Fuller test (constant + trend) per series.
 
     Regress diff(y)_t on 1, t, y_{t-1}, diff(y)_{t-1..t-k}; k = trunc((n-1)^(1/3)) by default;
-    statistic = t value of y_{t-1}; p from the table, clipped to [0.01, 0.99].
+    statistic = t value of y_{t-1}; p from the table at the length of diff(y), clipped to [0.01, 0.99].
     One series (n rows) per group.
     """
     by = list(by)
@@ -372,7 +381,7 @@ def adf_test(df: DataFrame, by: Sequence[str], t: str, c: str, k: int | None = N
         if len(target) > X.shape[1]:
             beta, se, _, _ = _ols(X, target)
             stat = float(beta[2] / se[2]) if se[2] > 0 else float("nan")
-            pv = adf_p_value(stat, len(target)) if np.isfinite(stat) else float("nan")
+            pv = adf_p_value(stat, len(dy)) if np.isfinite(stat) else float("nan")
         res = {b: [pdf[b].iloc[0]] for b in by}
         res.update(n=[n], lags=[kk], statistic=[stat], p_value=[pv])
         return pd.DataFrame(res)
@@ -399,15 +408,53 @@ def _expand(lag_coefs: dict, d: int, D: int, s: int) -> np.ndarray:
     return -poly[1:]
 
 
-def _fit_sar(y: np.ndarray, p: int, P: int, d: int, D: int, s: int):
-    """Conditional least squares of the differenced series on its lags 1..p and s, 2s, .. Ps (+ constant)."""
+def _differenced(y: np.ndarray, d: int, D: int, s: int) -> np.ndarray:
     w = y.copy()
     for _ in range(D):
         w = w[s:] - w[:-s]
     for _ in range(d):
         w = np.diff(w)
-    lags = list(range(1, p + 1)) + [s * (i + 1) for i in range(P)]
+    return w
+
+
+def _sar_lags(p: int, P: int, s: int) -> list[int]:
+    return list(range(1, p + 1)) + [s * (i + 1) for i in range(P)]
+
+
+def _kpss_level(w: np.ndarray) -> float:
+    """KPSS level statistic with the short Bartlett lag (0 for a constant series)."""
+    e, n = w - w.mean(), len(w)
+    lag = int(3 * math.sqrt(n) / 13)
+    s2 = (e @ e + 2 * sum((1 - k / (lag + 1)) * (e[k:] @ e[:-k]) for k in range(1, lag + 1))) / n
+    return float((np.cumsum(e) ** 2).sum() / n ** 2 / s2) if s2 > 1e-12 * max(1.0, float(w @ w) / n) else 0.0
+
+
+def _choose_sar(y: np.ndarray, grid, D: int, s: int):
+    """Best order by AICc: d is the least of the grid whose differenced series passes KPSS at 5 %, and
+    the orders of that d are all fitted to the same rows, so their AICc compare."""
+    for d in sorted({g[2] for g in grid}):
+        w = _differenced(y, d, D, s) if len(y) > D * s + d else np.zeros(0)
+        last = d == max(g[2] for g in grid)
+        if len(w) < 4 or not last and _kpss_level(w) > KPSS_LEVEL_CRIT[list(KPSS_LEVEL_P).index(0.05)]:
+            continue
+        orders = [(p, P) for p, P, k in grid if k == d]
+        orders = [o for o in orders if len(w) - max(_sar_lags(*o, s), default=0) >= len(_sar_lags(*o, s)) + 3]
+        skip = max((max(_sar_lags(*o, s), default=0) for o in orders), default=0)
+        fits = [f for f in (_fit_sar(y, p, P, d, D, s, skip) for p, P in orders) if f is not None]
+        if fits:
+            return min(fits, key=lambda f: f["aicc"])
+    return None
+
+
+def _fit_sar(y: np.ndarray, p: int, P: int, d: int, D: int, s: int, skip: int = 0):
+    """Conditional least squares of the differenced series on its lags 1..p and s, 2s, .. Ps (+ constant).
+
+    The first ``skip`` rows (at least the longest lag) only serve as lags.
+    """
+    w = _differenced(y, d, D, s)
+    lags = _sar_lags(p, P, s)
     m = max(lags, default=0)
+    m = max(m, skip)
     if len(w) - m < len(lags) + 3:
         return None
     X = np.column_stack([np.ones(len(w) - m)] + [w[m - L:len(w) - L] for L in lags])
@@ -419,7 +466,8 @@ def _fit_sar(y: np.ndarray, p: int, P: int, d: int, D: int, s: int):
     k = len(lags) + 2  # lag coefficients + constant + variance
     aic = n_eff * math.log(max(sigma2, 1e-300)) + 2 * k
     aicc = aic + (2 * k * (k + 1)) / max(n_eff - k - 1, 1)
-    return dict(p=p, P=P, d=d, D=D, const=float(beta[0]), lags=dict(zip(lags, beta[1:])), sigma2=sigma2, aicc=aicc)
+    return dict(p=p, P=P, d=d, D=D, const=float(beta[0]), lags=dict(zip(lags, beta[1:])), sigma2=sigma2, aicc=aicc,
+                residuals=resid)
 
 
 def _forecast_sar(y: np.ndarray, fit: dict, s: int, h: int):
@@ -460,15 +508,14 @@ def seasonal_ar(df: DataFrame, by: Sequence[str], t: str, c: str, period: int =
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(t)
         y = pdf[c].to_numpy(dtype=float)
-        fits = [f for f in (_fit_sar(y, p, P, d, D, period) for p, P, d in grid) if f is not None]
+        best = _choose_sar(y, grid, D, period)
         n0 = int(pdf[t].max())
         res = {b: [pdf[b].iloc[0]] * horizon for b in by}
         res[t] = list(range(n0 + 1, n0 + horizon + 1))
-        if not fits:
+        if best is None:
             res.update(forecast=[np.nan] * horizon, lo95=[np.nan] * horizon, hi95=[np.nan] * horizon,
                        order=[None] * horizon, aicc=[np.nan] * horizon)
             return pd.DataFrame(res)
-        best = min(fits, key=lambda f: f["aicc"])
         fc, se = _forecast_sar(y, best, period, horizon)
         res.update(forecast=fc, lo95=[f - 1.96 * e for f, e in zip(fc, se)],
                    hi95=[f + 1.96 * e for f, e in zip(fc, se)],
@@ -479,6 +526,49 @@ def seasonal_ar(df: DataFrame, by: Sequence[str], t: str, c: str, period: int =
     return df.groupBy(*[q(b) for b in by]).applyInPandas(run, schema)
 
 
+def seasonal_ar_residuals(df: DataFrame, by: Sequence[str], t: str, c: str, period: int = 12,
+                          grid: Sequence[tuple] = SAR_GRID, D: int = 1) -> DataFrame:
+    """Fitted values and residuals of the order that M13 chooses -> (by..., t, actual, fitted, residual).
+
+    The rows that only serve as lags have none.  Diagnose with ``acf`` and ``ljung_box`` of the
+    residuals; a smoothed series goes in as its column.  One series (n rows) per group.
+    """
+    by = list(by)
+    schema = T.StructType([df.schema[b] for b in by] + [T.StructField(t, T.LongType())] + [
+        T.StructField(k, T.DoubleType()) for k in ("actual", "fitted", "residual")])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(t)
+        y = pdf[c].to_numpy(dtype=float)
+        best = _choose_sar(y, grid, D, period)
+        e = best["residuals"] if best is not None else np.zeros(0)
+        k = len(y) - len(e)
+        res = {b: [pdf[b].iloc[0]] * len(e) for b in by}
+        res.update({t: pdf[t].to_numpy()[k:], "actual": y[k:], "fitted": y[k:] - e, "residual": e})
+        return pd.DataFrame(res)
+
+    return df.groupBy(*[q(b) for b in by]).applyInPandas(run, schema)
+
+
+def _chi2_tail(x: float, k: int) -> float:
+    """P(chi-square with k degrees of freedom > x), by the finite sum for even k and its odd twin."""
+    if k <= 0 or x is None or x != x:
+        return float("nan")
+    h = x / 2.0
+    if k % 2 == 0:
+        term, total = math.exp(-h), math.exp(-h)
+        for i in range(1, k // 2):
+            term *= h / i
+            total += term
+        return min(1.0, total)
+    total = math.erfc(math.sqrt(h))
+    term = math.exp(-h) * math.sqrt(h) / math.gamma(1.5) if h > 0 else 0.0
+    for i in range(1, k // 2 + 1):
+        total += term
+        term *= h / (i + 0.5)
+    return min(1.0, total)
+
+
 def backtest(df: DataFrame, by: Sequence[str], t: str, c: str, spec: Sequence[tuple], horizon: int = 6,
              period: int = 12, smooth_w: int | None = 1) -> DataFrame:
     """Hold out the last ``horizon`` points, forecast them by the trend regression (M5/M6,

@@ -40,9 +40,10 @@ def write_partitioned(df: DataFrame, path: str, by: Sequence[str], fmt: str = "o
     """A4: dynamic-partition overwrite to compressed columnar files.
 
     Only the partitions present in ``df`` are replaced; others survive.  Rows
-    are clustered by the partition columns first so each task writes few files.
+    are clustered by the partition columns first so each task writes few files; AQE splits a large
+    value over several tasks (rebalance).
     """
-    (df.repartition(*[q(b) for b in by]).write.mode(mode)
+    (df.hint("rebalance", *[q(b) for b in by]).write.mode(mode)
        .option("partitionOverwriteMode", "dynamic").option("compression", compression)
        .partitionBy(*by).format(fmt).save(path))
 

@@ -209,3 +209,36 @@ def test_polynomial_svm_split_and_assemble(spark):
     assert not a & b and len(a | b) == 1000 and 600 < len(a) < 800
     v = features.assemble(spark.createDataFrame([(1, 2.0, 3.0)], "id long, p double, q double"), ["p", "q"]).first()
     assert [list(c) for c in v if hasattr(c, "toArray")] == [[2.0, 3.0]]
+
+
+def test_ljung_box_p_values():
+    for x, k, p in ((18.307, 10, 0.05), (3.841, 1, 0.05), (11.070, 5, 0.05), (0.0, 4, 1.0), (23.209, 10, 0.01)):
+        assert abs(series._chi2_tail(x, k) - p) < 2e-4
+
+
+def test_seasonal_fit_residuals_are_diagnosed(spark):
+    r = np.random.default_rng(7)
+    t = np.arange(150)
+    season = 10 * np.sin(2 * np.pi * t / 12) + 100
+    ar = np.zeros(150)
+    for i in range(1, 150):
+        ar[i] = 0.6 * ar[i - 1] + r.normal()
+    rows = [("a", int(i), float(v)) for i, v in zip(t + 1, season + ar)] + [("b", int(i), float(v)) for i, v in zip(t + 1, season)]
+    d = spark.createDataFrame(rows, "k string, t long, y double")
+    res = series.seasonal_ar_residuals(d, ["k"], "t", "y")
+    got = res.where("k = 'a'").toPandas()
+    assert np.allclose(got["fitted"] + got["residual"], got["actual"]) and len(got) < 150 - 12
+    assert res.where("k = 'b'").agg(F.max(F.abs("residual"))).first()[0] < 1e-6
+    lb = series.ljung_box(series.acf(res.where("k = 'a'"), ["k"], "t", "residual", 10), ["k"], 10, 2).first()
+    raw = series.ljung_box(series.acf(d.where("k = 'a'"), ["k"], "t", "y", 10), ["k"], 10).first()
+    assert lb["p_value"] > raw["p_value"] and raw["p_value"] < 1e-6 and lb["df"] == 8
+    orders = {x["k"]: x["order"] for x in series.seasonal_ar(d, ["k"], "t", "y").collect()}
+    assert orders["a"].startswith(("(1,0,0)", "(2,0,0)"))
+
+
+def test_partitioned_write_splits_and_reads_back(spark, tmp_path):
+    from quarry import sources
+    d = spark.range(1000).selectExpr("id", "id % 3 as part", "'2024' as yr")
+    sources.write_partitioned(d, str(tmp_path / "t"), ["yr", "part"])
+    back = sources.read_partitioned(spark, str(tmp_path / "t"), "part = 1")
+    assert back.count() == 333 and back.agg(F.sum("id")).first()[0] == sum(range(1, 1000, 3))
