@@ -6,8 +6,9 @@ and keeps them in text order; texts that share a sample are candidates.  A candi
 verified by aligning the two shingle sequences inside the band that the similarity allows.
 
 Equal texts are one node from the start.  Inside a bucket no pairs are expanded: every member meets
-the bucket's least and greatest member.  Members that match neither are met again in finer buckets
-(two shared samples), where a frequent passage alone no longer brings texts together.
+the bucket's least and greatest member, first the one it shares most buckets with, then those that
+no chain of links joins to it yet.  Members apart from both are met again in finer buckets (two
+shared samples), where a frequent passage alone no longer brings texts together.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from quarry.llm.common import quoted, written
 
 WORDS = 5
 BANDS = 24
-PICK = 3
+PICK = 4
 SLOTS = 1 << 20
 # A character that str.split() takes for part of a word.
 NO_SPACE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -161,22 +162,42 @@ def text_nodes(rows: DataFrame) -> DataFrame:
     text, goes by its hash.
     """
     t = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
-    shared = F.count(F.lit(1)).over(Window.partitionBy("id")) > 1
-    named = t.where("id is not null").withColumn("node", F.when(shared, F.col("h1")).otherwise(F.col("id")))
-    return named.unionByName(t.where("id is null").withColumn("node", F.col("h1"))).select("node", "h1", "h2", "n", "keys")
+    shared = F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("id", "h1"))) > 1
+    return t.select(F.when(F.col("id").isNull() | shared, F.col("h1")).otherwise(F.col("id")).alias("node"), "h1", "h2", "n", "keys")
 
 
-def hub_pairs(buckets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(members with their bucket's least and greatest node, distinct pairs a < b of members and hubs).
+def with_hubs(buckets: DataFrame) -> DataFrame:
+    """Members (key, node) of buckets of two or more, with the bucket's least and greatest node (lo, hi).
 
-    Buckets are (key, node).  Hubs come from partial aggregates; the join back spreads by AQE.
+    The hubs come from partial aggregates; the join back is one that Spark can split by size.
     """
     hubs = buckets.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi")
-    members = buckets.join(hubs, "key")
-    ends = F.explode(F.array("lo", "hi")).alias("hub")
-    pairs = members.select("node", ends).where("node != hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    return members, pairs
+    return buckets.join(hubs, "key")
+
+
+def ordered(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def first_pairs(members: DataFrame) -> DataFrame:
+    """One pair for each member: with the hub that it meets in most buckets (the least such)."""
+    met = members.where("node != lo").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("n"))
+    best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "lo")) == 1
+    return met.withColumn("best", best).where("best").select(*ordered("node", "lo")).distinct()
+
+
+def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs a < b of members and their hubs that no chain of links joins yet."""
+    pairs = members.where("node != lo").select(*ordered("node", "lo")).unionByName(
+        members.where("node != hi").select(*ordered("node", "hi"))).distinct()
+    return apart(pairs, "a", "b", roots)
+
+
+def apart(rows: DataFrame, x: str, y: str, roots: DataFrame) -> DataFrame:
+    """The rows whose two nodes lie in different components."""
+    of = lambda c, out: roots.select(F.col("node").alias(c), F.col("root").alias(out))
+    j = rows.join(of(x, "__rx"), x, "left").join(of(y, "__ry"), y, "left")
+    return j.where(F.coalesce("__rx", x) != F.coalesce("__ry", y)).select(*rows.columns)
 
 
 def rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -237,6 +258,19 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return both.select("a", "b", "ta", "tb").mapInArrow(body, "a long, b long")
 
 
+def near_roots(links: DataFrame, jumps: int = 2) -> DataFrame:
+    """node, root of linked nodes: a node of the same component, found in a fixed few steps.
+
+    Each node takes its least linked node, then that one's, and so on.  Equal roots mean one
+    component; different roots may still be one, so this only spares pairs that need no checking.
+    """
+    up = written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "roots")
+    for _ in range(jumps):
+        over = up.select(F.col("node").alias("root"), F.col("root").alias("__up"))
+        up = written(up.join(over, "root", "left").select("node", F.coalesce("__up", "root").alias("root")), "roots")
+    return up
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, root (least node of its component) for every linked node; alternating star contraction.
 
@@ -264,25 +298,22 @@ def components(links: DataFrame) -> DataFrame:
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """Class of every different text with words: h1, h2, node, class_id (least node linked to it)."""
-    rows = sketches(docs, id_col, text_col)
-    nodes = written(text_nodes(rows), "nodes")
-    buckets = nodes.select("node", F.explode("keys").alias("key"))
-    members, pairs = hub_pairs(buckets)
-    pairs = written(pairs, "candidates")
-    links = written(verified(pairs, nodes, docs, id_col, text_col, least), "links")
-    # members that match neither hub, met again by a second shared sample
-    pair = lambda hub: [F.least("node", hub).alias("a"), F.greatest("node", hub).alias("b")]
-    open_ = members.where("node != lo and node != hi")
-    for hub in ("lo", "hi"):
-        open_ = open_.select("*", *pair(hub)).join(links, ["a", "b"], "left_anti").drop("a", "b")
-    again = open_.select("key", "node").join(nodes.select("node", "keys"), "node")
-    again = again.select("node", "key", F.explode("keys").alias("other")).where("key != other")
-    finer = again.select("node", F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key")).distinct()
-    _, more = hub_pairs(finer)
-    more = more.join(pairs, ["a", "b"], "left_anti")
-    links = links.unionByName(written(verified(more, nodes, docs, id_col, text_col, least), "links"))
-    roots = components(links)
-    return nodes.select("h1", "h2", "node").join(roots, "node", "left").select(
+    nodes = written(text_nodes(sketches(docs, id_col, text_col)), "nodes")
+    check = lambda pairs: written(verified(pairs, nodes, docs, id_col, text_col, least), "links")
+    members = written(with_hubs(nodes.select("node", F.explode("keys").alias("key"))), "members")
+    # most members of a class meet one hub again and again: that pair settles them
+    links = check(first_pairs(members))
+    # the other hubs, where they might join what is still apart
+    links = links.unionByName(check(hub_pairs(members, near_roots(links))))
+    # members apart from both hubs of a bucket, met again by a second shared sample
+    roots = near_roots(links)
+    rest = apart(apart(members.where("node != lo and node != hi"), "node", "lo", roots), "node", "hi", roots)
+    rest = rest.groupBy("node").agg(F.collect_set("key").alias("open"))  # at most BANDS keys
+    rest = rest.select("node", "open", F.explode("open").alias("key"))
+    rest = rest.select("node", "key", F.explode(F.filter("open", lambda k: k > F.col("key"))).alias("other"))
+    finer = with_hubs(rest.select("node", F.xxhash64("key", "other").alias("key")))
+    links = links.unionByName(check(hub_pairs(finer, roots)))
+    return nodes.select("h1", "h2", "node").join(components(links), "node", "left").select(
         "h1", "h2", "node", F.coalesce("root", "node").alias("class_id"))
 
 
