@@ -27,7 +27,10 @@ from quarry.llm.common import quoted
 
 # Unicode White_Space, the class that \s means in the pre-token pattern (fixed values).
 SPACE = "\x09-\x0d \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-CHUNK = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
+# A leading run of common letters with an ASCII non-letter behind it is a pre-token; else everything up
+# to white space is one chunk, which the library cuts further.
+CHUNK = re.compile(f" ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+(?![A-Za-z\x80-\U0010ffff])"
+                   f"| ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -55,16 +58,20 @@ def tokenizer_of_ranks(path: str, pattern: str):
 
 
 class ByteBPE(dict):
-    """Chunk -> ids (little-endian bytes), filled by the library on a miss; at most ``keep`` entries."""
+    """Chunk -> ids (little-endian bytes), filled by the library on a miss.
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 500_000):
-        import regex
+    Two generations of at most ``keep`` chunks each: when the young one is full it becomes the old
+    one, whose chunks come back as they are used.
+    """
+
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 600_000):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else tokenizer_of_ranks(path, pattern)
         self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
-        self.pretokens = regex.compile(pattern).findall
-        self.keep = keep
+        self.model = Tokenizer(self.tokenizer.model)  # for single pre-tokens whose bytes are mapped here
+        self.spelling = dict(enumerate(byte_characters()))
+        self.keep, self.old = keep, {}
         value = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
         size = max(vocab.values()) + 1
@@ -76,13 +83,16 @@ class ByteBPE(dict):
         self.decimals = [str(i) for i in range(size)]
 
     def __missing__(self, chunk: str) -> bytes:
+        ids = self.old.get(chunk)
+        if ids is None:
+            if chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " ":
+                found = self.model.encode(chunk.encode().decode("latin-1").translate(self.spelling), add_special_tokens=False)
+            else:
+                found = self.tokenizer.encode(chunk, add_special_tokens=False)
+            ids = np.array(found.ids, self.dtype).tobytes()
         if len(self) >= self.keep:
+            self.old = dict(self)
             self.clear()
-        parts = self.pretokens(chunk)
-        if len(parts) > 1:
-            ids = b"".join([self[p] for p in parts])
-        else:
-            ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         if len(chunk) <= 64:
             self[chunk] = ids
         return ids
