@@ -17,6 +17,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,10 +41,10 @@ def pack(ids: np.ndarray, doc_ids: np.ndarray, lengths: np.ndarray) -> bytes:
     planes = max(1, int(x.max()).bit_length()) if x.size else 1
     parts = [press(doc_ids.astype("<i8").tobytes()), press(lengths.astype("<i8").tobytes())]
     for p in range(planes - 1, -1, -1):
-        bit = ((x >> p) & 1).astype(bool)
+        bit = (x & x.dtype.type(1 << p)) != 0
         packed = np.packbits(bit, bitorder="little")
         parts += [press(packed.tobytes()), press(directory(packed).tobytes())]
-        x = np.concatenate([x[~bit], x[bit]])
+        x = np.concatenate([np.compress(~bit, x), np.compress(bit, x)])
     head = struct.pack("<4sQQI", MAGIC, len(ids), len(doc_ids), planes)
     return head + struct.pack(f"<{len(parts)}Q", *map(len, parts)) + b"".join(parts)
 
@@ -150,19 +151,20 @@ class WaveletMatrix:
         for level in range(self.planes - 1, -1, -1):
             bit = np.unpackbits(self._bits(level), count=self.n, bitorder="little").view(bool)
             z, up = self._zeros(level), np.empty_like(x)
-            up[~bit] = x[:z]
-            up[bit] = x[z:] | x.dtype.type(1 << (self.planes - 1 - level))
+            up[np.flatnonzero(~bit)] = x[:z]
+            up[np.flatnonzero(bit)] = x[z:] | x.dtype.type(1 << (self.planes - 1 - level))
             x = up
         return x
 
 
 def write_shards(docs: DataFrame, path: str = VOCABULARY, end_id: int = 2, shards: int | None = None,
-                 max_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                 max_tokens: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenise whole texts (NULL: empty), append ``end_id`` to each and write the shard files.
 
-    Returns the written table: first_id, first_hash (order key of the file's first document), seq
-    (the file's place among those of one range partition), n_docs, n_tokens, image.  Documents stand in ascending doc_id order (NULL ids first; equal ids
-    by text hash) within and over files.  A document is never split, so a file holds more than
+    Returns the written table: part (number of the range partition, in order), seq (the file's place
+    in it), n_docs, n_tokens, image.  Both numbers are data of the committed files, so whoever reads
+    them later sees the same ones.  Documents stand in ascending doc_id order (NULL ids first; equal
+    ids by text hash) within and over files.  A document is never split, so a file holds more than
     ``max_tokens`` only if one document does.  ids are integers.
     """
     t = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
@@ -172,14 +174,14 @@ def write_shards(docs: DataFrame, path: str = VOCABULARY, end_id: int = 2, shard
 
     def body(batches: Iterator[pa.RecordBatch]):
         bpe, end = codec(path), np.array([end_id], np.uint32)
-        run, ids, size, seq = [], [], 0, 0
+        run, ids, size, seq, part = [], [], 0, 0, TaskContext.get().partitionId()
 
         def file():
             keys = np.array([r[0] if r[0] is not None else -(1 << 63) for r in run], np.int64)
             image = pack(np.concatenate(ids), keys, np.array([r[2] for r in run], np.int64))
             return pa.RecordBatch.from_arrays(
-                [*(pa.array([x], pa.int64()) for x in (run[0][0], run[0][1], seq, len(run), size)), pa.array([image], pa.binary())],
-                ["first_id", "first_hash", "seq", "n_docs", "n_tokens", "image"])
+                [*(pa.array([x], pa.int64()) for x in (part, seq, len(run), size)), pa.array([image], pa.binary())],
+                ["part", "seq", "n_docs", "n_tokens", "image"])
 
         for b in batches:
             for d, h, text in zip(b.column("doc_id").to_pylist(), b.column("h").to_pylist(), b.column("text").to_pylist(), strict=True):
@@ -193,17 +195,20 @@ def write_shards(docs: DataFrame, path: str = VOCABULARY, end_id: int = 2, shard
         if run:
             yield file()
 
-    files = t.mapInArrow(body, "first_id long, first_hash long, seq long, n_docs long, n_tokens long, image binary")
+    files = t.mapInArrow(body, "part long, seq long, n_docs long, n_tokens long, image binary")
     return written(files, "token-shards")
 
 
 def read_shards(files: DataFrame) -> DataFrame:
     """Per document from the files: doc_id, start (tokens before it over all files), n_tokens, ids_crc32.
 
-    File offsets are a running sum over one row per file.
+    File offsets are running sums in two steps: over the files of a part, and over the parts.
     """
-    before = Window.orderBy(F.col("first_id").asc_nulls_first(), "first_hash", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = files.select("first_id", "first_hash", "seq", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("file_start"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # one row per range partition
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before().orderBy("part")), F.lit(0)).alias("part_start"))
+    offsets = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(before("part").orderBy("seq")), F.lit(0)).alias("in_part"))
+    offsets = offsets.join(parts, "part").select("part", "seq", (F.col("part_start") + F.col("in_part")).alias("file_start"))
 
     def body(batches: Iterator[pa.RecordBatch]):
         for b in batches:
@@ -216,11 +221,9 @@ def read_shards(files: DataFrame) -> DataFrame:
                 n, null = len(lengths), m.doc_ids == -(1 << 63)
                 same = lambda c: pa.array([b.column(c)[i].as_py()] * n, pa.int64())  # noqa: E731,B023
                 yield pa.RecordBatch.from_arrays(
-                    [same("first_id"), same("first_hash"), same("seq"), pa.array(m.doc_ids, pa.int64(), mask=null),
+                    [same("part"), same("seq"), pa.array(m.doc_ids, pa.int64(), mask=null),
                      pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crc, pa.int64())],
-                    ["first_id", "first_hash", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
+                    ["part", "seq", "doc_id", "at", "n_tokens", "ids_crc32"])
 
-    docs = files.mapInArrow(body, "first_id long, first_hash long, seq long, doc_id long, at long, n_tokens long, "
-                                  "ids_crc32 long")
-    on = (docs.first_id.eqNullSafe(offsets.first_id) & (docs.first_hash == offsets.first_hash) & (docs.seq == offsets.seq))
-    return docs.join(offsets, on).select(docs.doc_id, (F.col("file_start") + F.col("at")).alias("start"), docs.n_tokens, "ids_crc32")
+    docs = files.select("part", "seq", "image").mapInArrow(body, "part long, seq long, doc_id long, at long, n_tokens long, ids_crc32 long")
+    return docs.join(offsets, ["part", "seq"]).select("doc_id", (F.col("file_start") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
