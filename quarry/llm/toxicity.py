@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def body(batches: Iterator[pa.RecordBatch]):
         words = Words(CharModel(shared.value))
-        for b in batches:
+        for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):  # bounds the strings held
             feats = [sorted(features(words.forms(t))) if t else [] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(feats, pa.list_(pa.string())), b.column("y")], ["feats", "y"])
 
