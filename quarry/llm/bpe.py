@@ -64,7 +64,7 @@ class ByteBPE(dict):
     one, whose chunks come back as they are used.
     """
 
-    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 600_000):
+    def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN, keep: int = 250_000):
         from tokenizers import Tokenizer
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else tokenizer_of_ranks(path, pattern)
