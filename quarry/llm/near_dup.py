@@ -7,12 +7,14 @@ verified by aligning the two shingle sequences inside the band that the similari
 
 Equal texts are one node from the start.  Inside a bucket no pairs are expanded: every member meets
 the bucket's least and greatest member, first the one it shares most buckets with, then those that
-no chain of links joins to it yet.  Members apart from both are met again in finer buckets (two
-shared samples), where a frequent passage alone no longer brings texts together.
+no chain of links joins to it yet.  A bucket that then still holds several components gets new hubs,
+round after round, until every two of its members are linked by a chain, verified, or excluded by
+their sizes or by the parities of their shingles.
 """
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -27,6 +29,7 @@ WORDS = 5
 BANDS = 24
 PICK = 4
 SLOTS = 1 << 20
+PARITY = 16  # longs of a text's parity sketch
 # A character that str.split() takes for part of a word.
 NO_SPACE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -101,6 +104,25 @@ def order_minhash(h: np.ndarray, bands: int = BANDS, pick: int = PICK) -> np.nda
     return keys
 
 
+def parities(h: np.ndarray) -> np.ndarray:
+    """One bit for each of 64 * PARITY hash slots: whether an odd number of the shingles lies in it."""
+    odd = np.bincount((h % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def may_reach(na: str, nb: str, pa_: str, pb: str, least: float) -> Column:
+    """False for pairs that cannot reach ``least``, by their sizes or parities alone.
+
+    A pair that reaches it leaves at most (n + m) * (1 - least) / (1 + least) shingles unmatched, and
+    each slot whose parities differ holds one of them.
+    """
+    differ = F.lit(0)
+    for k in range(PARITY):
+        differ = differ + F.bit_count(F.col(pa_)[k].bitwiseXOR(F.col(pb)[k]))
+    unmatched = (F.col(na) + F.col(nb)) * ((1 - least) / (1 + least)) + 1e-6
+    return (F.least(na, nb) >= least * F.greatest(na, nb) - 1e-6) & (differ <= unmatched)
+
+
 def aligned_similarity(a: np.ndarray, b: np.ndarray, least: float) -> float:
     """Shared shingles of the best order-keeping alignment over all shingles of both texts.
 
@@ -138,32 +160,36 @@ def identity(text: Column) -> list[Column]:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, h1, h2 (identity of the text), n (shingles), keys (one per band; NULL without words)."""
+    """doc_id, h1, h2 (identity of the text), n (shingles), keys (one per band), parity; both NULL without words."""
     t = docs.select(quoted(id_col).cast("long").alias("doc_id"), F.coalesce(quoted(text_col), F.lit("")).alias("text"))
     t = t.select("doc_id", "text", *identity(F.col("text")))
 
     def body(batches: Iterator[pa.RecordBatch]):
         for b in batches:
-            n, keys = [], []
+            n, keys, odd = [], [], []
             for text in b.column("text").to_pylist():
                 h = shingles(text)
                 n.append(len(h))
                 keys.append(order_minhash(h).view(np.int64) if len(h) else None)
+                odd.append(parities(h) if len(h) else None)
+            longs = pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("h1"), b.column("h2"), pa.array(n, pa.int64()),
-                                              pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "h1", "h2", "n", "keys"])
+                                              pa.array(keys, longs), pa.array(odd, longs)],
+                                             ["doc_id", "h1", "h2", "n", "keys", "parity"])
 
-    return t.mapInArrow(body, "doc_id long, h1 long, h2 long, n long, keys array<long>")
+    return t.mapInArrow(body, "doc_id long, h1 long, h2 long, n long, keys array<long>, parity array<long>")
 
 
 def text_nodes(rows: DataFrame) -> DataFrame:
-    """One row per different text with words: node, h1, h2, n, keys.
+    """One row per different text with words: node, h1, h2, n, keys, parity.
 
     node is the least doc_id of the text; a text without an id, or whose id also names another
     text, goes by its hash.
     """
-    t = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"))
+    t = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("keys").alias("keys"),
+                                                   F.first("parity").alias("parity"))
     shared = F.count(F.lit(1)).over(Window.partitionBy(F.coalesce("id", "h1"))) > 1
-    return t.select(F.when(F.col("id").isNull() | shared, F.col("h1")).otherwise(F.col("id")).alias("node"), "h1", "h2", "n", "keys")
+    return t.select(F.when(F.col("id").isNull() | shared, F.col("h1")).otherwise(F.col("id")).alias("node"), "h1", "h2", "n", "keys", "parity")
 
 
 def with_hubs(buckets: DataFrame) -> DataFrame:
@@ -228,10 +254,8 @@ def rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """The pairs whose aligned similarity reaches ``least``."""
-    size = nodes.select("node", "n")
-    p = (pairs.join(size.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-         .join(size.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-         .where(F.least("na", "nb") >= least * F.greatest("na", "nb")).select("a", "b"))
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c))
+    p = pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach("na", "nb", "pa", "pb", least)).select("a", "b")
     p = written(p, "pairs")
     used = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = written(rows_of(docs, nodes.join(used, "node").select("node", "h1", "h2"), id_col, text_col)
@@ -296,6 +320,44 @@ def components(links: DataFrame) -> DataFrame:
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with their root and bucket size (``met``), of the buckets that hold several components."""
+    j = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = j.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("met"))
+    return j.join(several.where("__lo < __hi").select("key", "met"), "key")
+
+
+def every_pair(buckets: DataFrame, nodes: DataFrame, links: DataFrame, check, least: float) -> DataFrame:
+    """node, root of the components once no two members (key, node) of a bucket are left to compare.
+
+    Buckets are split into overlapping size classes, as only texts of like size can be linked.  Each
+    round elects hubs among a bucket's members, those that share most buckets with others first;
+    every member of another component meets them unless a bound excludes the pair.  Hubs leave their
+    bucket, and their number doubles each round, so a bucket of m takes about log2(m) rounds at most.
+    """
+    roots = components(links)
+    rest = written(mixed(buckets, roots).drop("root"), "rest")
+    weight = rest.groupBy("node").agg(F.sum("met").alias("weight"))
+    size = F.floor(F.log("n") / math.log(1.001 / least))
+    rest = rest.drop("met").join(nodes.select("node", "n", "parity").join(weight, "node"), "node")
+    rest = rest.withColumn("size", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "size")).drop("size")
+    hubs_a_bucket, turn = 1, 0
+    while True:
+        rest = written(mixed(rest, roots).drop("met"), "rest")
+        if rest.isEmpty():
+            return roots
+        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs_a_bucket))
+        hubs = rest.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "n", "root", "parity")).alias("h"))
+        hubs = written(hubs.select("key", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "n", "root", "parity")]), "hubs")
+        wanted = (rest["key"] == hubs["key"]) & (F.col("root") != F.col("hub_root")) & may_reach("n", "hub_n", "parity", "hub_parity", least)
+        found = check(rest.join(hubs, wanted).select(*ordered("node", "hub_node")).distinct())
+        rest = rest.drop("root").join(hubs.select("key", F.col("hub_node").alias("node")), ["key", "node"], "left_anti")
+        if not found.isEmpty():
+            roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
+                                       .unionByName(found)), "roots")
+        hubs_a_bucket, turn = hubs_a_bucket * (2 if turn else 1), turn + 1
+
+
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """Class of every different text with words: h1, h2, node, class_id (least node linked to it)."""
     nodes = written(text_nodes(sketches(docs, id_col, text_col)), "nodes")
@@ -305,15 +367,9 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links = check(first_pairs(members))
     # the other hubs, where they might join what is still apart
     links = links.unionByName(check(hub_pairs(members, near_roots(links))))
-    # members apart from both hubs of a bucket, met again by a second shared sample
-    roots = near_roots(links)
-    rest = apart(apart(members.where("node != lo and node != hi"), "node", "lo", roots), "node", "hi", roots)
-    rest = rest.groupBy("node").agg(F.collect_set("key").alias("open"))  # at most BANDS keys
-    rest = rest.select("node", "open", F.explode("open").alias("key"))
-    rest = rest.select("node", "key", F.explode(F.filter("open", lambda k: k > F.col("key"))).alias("other"))
-    finer = with_hubs(rest.select("node", F.xxhash64("key", "other").alias("key")))
-    links = links.unionByName(check(hub_pairs(finer, roots)))
-    return nodes.select("h1", "h2", "node").join(components(links), "node", "left").select(
+    # what is still apart: new hubs until no bucket has anything left to compare
+    roots = every_pair(members.where("node != lo and node != hi").select("key", "node"), nodes, links, check, least)
+    return nodes.select("h1", "h2", "node").join(roots, "node", "left").select(
         "h1", "h2", "node", F.coalesce("root", "node").alias("class_id"))
 
 

@@ -144,3 +144,35 @@ def test_one_id_for_several_texts(spark):
     got = N.near_duplicate_classes(d).collect()
     assert len(got) == 6 and len({r["class_id"] for r in got}) == 2
     assert N.one_of_each(d).count() == 2
+
+
+def test_star_whose_original_has_a_middle_id(spark):
+    """Variants near enough to the original but not to one another are all of its class."""
+    r = random.Random(4)
+    original = [f"w{r.randrange(10 ** 6)}" for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        w = list(original)
+        for at in r.sample(range(0, 400, 10), 8):
+            w[at + r.randrange(10)] = f"v{r.randrange(10 ** 9)}"
+        texts.append(" ".join(w))
+    s = [N.shingles(t) for t in texts]
+    assert all(N.aligned_similarity(N.shingles(" ".join(original)), x, 0.8) for x in s)
+    assert sum(N.aligned_similarity(s[i], s[j], 0.8) > 0 for i in range(60) for j in range(i)) < 20
+    rows = [(i if i < 30 else i + 1, t) for i, t in enumerate(texts)] + [(30, " ".join(original))]
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 61 and {r["class_id"] for r in got} == {0}
+
+
+def test_bounds_keep_every_near_pair(spark):
+    r = random.Random(6)
+    rows = []
+    for i in range(200):
+        a = [f"w{r.randrange(400)}" for _ in range(r.choice([6, 30, 300]))]
+        b = [x if r.random() < 0.97 else "new" for x in a] + ["end"] * r.randint(0, 3)
+        x, y = N.shingles(" ".join(a)), N.shingles(" ".join(b))
+        rows.append((i, len(x), len(y), N.parities(x).tolist(), N.parities(y).tolist(), N.aligned_similarity(x, y, 0.8) > 0))
+    d = spark.createDataFrame(rows, "i long, na long, nb long, x array<long>, y array<long>, near boolean")
+    got = d.withColumn("may", N.may_reach("na", "nb", "x", "y", 0.8)).collect()
+    assert any(g["near"] for g in got) and any(not g["may"] for g in got)
+    assert all(g["may"] for g in got if g["near"])
