@@ -2,7 +2,8 @@
 
 Disguised words (digits and signs for letters, letters spaced out, letters repeated) span a lattice
 of possible spellings; Viterbi finds the likeliest one under a character trigram model counted over
-the whole corpus and channel costs for each disguise.  The score looks words and restored words up
+the whole corpus and channel costs for each disguise.  Runs and words of any length are decoded; the
+separators of a run may stand for word boundaries, so that it can hold several words.  The score looks words and restored words up
 in a lexicon of stems that is induced from labelled documents.
 """
 
@@ -28,11 +29,13 @@ FIRST, LAST = 0xDF, 0x17F
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s",
         "!": "i", "|": "il", "+": "t", "€": "e", "(": "c", "*": "", "#": ""}
 SIGN_COST, DROP_COST, REPEAT_COST = 1.0, 3.0, 0.5
+SEPARATORS = " .-_*"
+MARGIN, LONGEST = 5.0, 32
 SIGNS = "".join(re.escape(c) for c in LEET)
 EDGE = ".,;:?*#%&()[]{}<>\"'`~^_=/\\-|!+$"
 DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|^[{SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}\d$|[^\W\d_][.\-_][^\W\d_]")
 REPEATED = re.compile(r"([^\W\d_])\1\1")
-SPACED = re.compile(rf"(?<![\w{SIGNS}])(?:[^\W_]|[@$!|+]){{1}}(?:[ .\-_*](?:[^\W_]|[@$!|+])){{3,}}(?![\w])")
+SPACED = re.compile(rf"(?<![\w{SIGNS}])(?:[^\W_]|[@$!|+]){{1}}(?:[ .\-_*](?:[^\W_]|[@$!|+])){{2,}}(?![\w])")
 PREFIXES = (4, 5, 6, 7)
 SHORT = 3
 
@@ -116,29 +119,74 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                           if run > 2 or k == run])
         else:
             read = [(x, SIGN_COST + REPEAT_COST * (run > 1)) for x in LEET.get(c, "")]
-            drop = 0.0 if c in " .-_*" else DROP_COST
+            drop = 0.0 if c in SEPARATORS else DROP_COST
             steps.append([*read, ("", drop)])
         i = j
     return steps
 
 
 def decode(token: str, model: CharModel) -> str:
-    """Likeliest spelling of a disguised token: Viterbi over the lattice, state = last two letter classes."""
-    best = {(0, 0): (0.0, "")}
+    """Likeliest spelling of a disguised token: Viterbi over the lattice, state = last two letter classes.
+
+    Time and memory are linear in the token: states keep a link to the state before, not their text.
+    """
+    best: dict = {(0, 0): (0.0, None)}
     for step in [*lattice(token), [("\0", 0.0)]]:
-        new: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (cost, text) in best.items():
+        new: dict = {}
+        for (a, b), (cost, link) in best.items():
             for letters, channel in step:
                 x, y, total = a, b, cost + channel
                 for c in letters:
                     k = 0 if c == "\0" else letter_class(c)
                     total += model.cost(x, y, k)
                     x, y = y, k
-                out = text + letters
-                if (x, y) not in new or (total, out) < new[x, y]:
-                    new[x, y] = (total, out)
+                if (x, y) not in new or total < new[x, y][0]:
+                    new[x, y] = (total, (link, letters))
         best = new
-    return min(best.values())[1].rstrip("\0")
+    link, out = min(best.values(), key=lambda v: v[0])[1], []
+    while link is not None:
+        link, letters = link
+        out.append(letters)
+    return "".join(reversed(out)).rstrip("\0")
+
+
+def words_in(run: str, model: CharModel) -> set[str]:
+    """Words of a run of letters whose separators may be word boundaries: those of every reading that
+    costs at most MARGIN more than the best one (forward and backward Viterbi, linear in the run).
+
+    A word inside has at most LONGEST letters; a longer one gives its first LONGEST, which hold all its
+    marked prefixes.
+    """
+    g, n = [0, *map(letter_class, run)], len(run)
+    cost = model.cost
+    # least cost up to letter k (1..n) as the first of a word, and from there to the end
+    ahead, inside = [0.0, cost(0, 0, g[1])], math.inf  # inside: letter k - 1 within a word, its boundary not yet read
+    for k in range(2, n + 1):
+        first = min(ahead[k - 1] + cost(0, g[k - 1], 0), inside + cost(g[k - 2], g[k - 1], 0)) + cost(g[k - 1], 0, g[k])
+        inside = min(ahead[k - 1] + cost(0, g[k - 1], g[k]), inside + cost(g[k - 2], g[k - 1], g[k]))
+        ahead.append(first)
+    back, within = [0.0] * (n + 2), 0.0
+    for k in range(n, 0, -1):  # back[k]: after letter k as a first letter; within: after it inside a word
+        end = 0.0 if k == n else cost(g[k], 0, g[k + 1]) + back[k + 1]
+        go_on = math.inf if k == n else within
+        here = cost(g[k - 1], g[k], 0) + end, (cost(g[k - 1], g[k], g[k + 1]) + go_on if k < n else math.inf)
+        back[k] = min(cost(0, g[k], 0) + end, cost(0, g[k], g[k + 1]) + go_on if k < n else math.inf)
+        within = min(here)
+    limit, found = ahead[1] + back[1] + MARGIN, set()
+    for i in range(1, n + 1):
+        if ahead[i] + back[i] > limit:
+            continue
+        total, before = ahead[i], 0
+        for k in range(i, min(n, i + LONGEST - 1) + 1):
+            end = 0.0 if k == n else cost(g[k], 0, g[k + 1]) + back[k + 1]
+            if total + cost(before, g[k], 0) + end <= limit:
+                found.add(run[i - 1:k])
+            if k < n:
+                total, before = total + cost(before, g[k], g[k + 1]), g[k]
+        else:
+            if n >= i + LONGEST and total <= limit:
+                found.add(run[i - 1:i - 1 + LONGEST])
+    return found
 
 
 class Words(dict):
@@ -155,7 +203,7 @@ class Words(dict):
         forms = [core] if core else []
         signed = token.strip(".,;:?\"'%&*#")
         for t in dict.fromkeys((core, signed)):
-            if len(t) <= 40 and (DISGUISED.search(t) or REPEATED.search(t)):
+            if DISGUISED.search(t) or REPEATED.search(t):
                 word = decode(t, self.model)
                 if word and word not in forms:
                     forms.append(word)
@@ -169,9 +217,10 @@ class Words(dict):
         text = text.lower()
         out = {f for token in set(text.split()) for f in self[token]}
         for m in SPACED.finditer(text):
-            if len(m[0]) <= 80:
-                out.update(self[re.sub(r"[ .\-_*]", "", m[0])])
-                out.add(decode(m[0], self.model))
+            out.update(self[re.sub(r"[ .\-_*]", "", m[0])])
+            run = decode(m[0], self.model)
+            if run:
+                out.update((run, *words_in(run, self.model)))
         return out
 
 

@@ -52,6 +52,22 @@ def test_restores(model, text, word):
     assert word in X.Words(model).forms(f"the {text} book")
 
 
+@pytest.mark.parametrize("text,words", [
+    ("he is a l o s e r", {"loser"}), ("s t u p i d i d i o t", {"stupid", "idiot"}), ("a s s", {"ass"}),
+    (" ".join("scumandtrashandaloserandanidiotmetthestupidclown"), {"scum", "trash", "loser", "idiot", "stupid", "clown"}),
+    ("idi" + "o" * 60 + "t", {"idiot"}), ("-".join("1d10tandal0ser"), {"idiot", "loser"})])
+def test_restores_runs_of_any_length_and_several_words(text, words):
+    r = random.Random(2)  # words that follow one another freely, as in a corpus
+    known = "an idiot and a loser met the stupid clown in house of trash scum you are ass book look".split()
+    model = model_of([" ".join(r.choice(known) for _ in range(2000))])
+    assert words <= X.Words(model).forms(f"the {text}, book")
+
+
+def test_decoding_is_linear(model):
+    assert X.decode("idiot" * 20_000, model) == "idiot" * 20_000
+    assert "idiot" in X.words_in("idiot" * 4_000, model)
+
+
 def test_plain_words_stay(model):
     assert X.Words(model).forms("The book, LOOK!") == {"the", "book", "look"}
 
