@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, decontamination, line_dedup, near_dup, quality_rules, sharding, suffix_dedup, token_store, toxicity
+from quarry.llm import bpe, classifier, decontamination, line_dedup, near_dup, quality_rules, sharding, suffix_dedup, token_links, token_store, toxicity
 from quarry.llm.common import table
 
 
@@ -61,6 +61,10 @@ def op10_toxicity(spark, sf_dir):
                       (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_alignment(spark, sf_dir):
+    return token_links.link_statistics(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -72,6 +76,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_minhash": op9_minhash,
     "op10_toxicity": op10_toxicity,
+    "op11_alignment": op11_alignment,
 }
 
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
