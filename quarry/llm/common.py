@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,3 +42,16 @@ def with_arrow_column(df: DataFrame, body, name: str, kind: T.DataType) -> DataF
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     out = plain.mapInArrow(body, T.StructType([*plain.schema.fields, T.StructField("added", kind)]))
     return out.toDF(*df.columns, name)
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Non-negative integers in the narrowest type, compressed, behind a letter for the type and their size."""
+    kind = next(k for k in ("B", "H", "I", "Q") if not len(x) or x.max() <= np.iinfo(k).max)
+    raw = x.astype(kind).tobytes()
+    return kind.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpack(x: bytes) -> np.ndarray:
+    """The integers of ``pack``, as int64."""
+    size = int.from_bytes(x[1:9], "little")
+    return np.frombuffer(pa.decompress(x[9:], size, "zstd", asbytes=True), x[:1].decode()).astype(np.int64)
