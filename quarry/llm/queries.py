@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, classifier, collocations, decontamination, line_dedup, near_dup, quality_rules, sharding, suffix_dedup, token_links, token_store, toxicity
+from quarry.llm import bpe, classifier, collocations, decontamination, language_id, line_dedup, near_dup, quality_rules, sharding, suffix_dedup, token_links, token_store, toxicity
 from quarry.llm.common import table
 
 
@@ -69,6 +69,13 @@ def op12_collocations(spark, sf_dir):
     return collocations.collocations(table(spark, sf_dir, "documents"), least=30, top=2000, cover=80)
 
 
+def op13_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~language_id.held_out(F.col("doc_id"))))
+    out = language_id.predict(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_quality_rules": op2_quality_rules,
@@ -82,6 +89,7 @@ QUERIES = {
     "op10_toxicity": op10_toxicity,
     "op11_alignment": op11_alignment,
     "op12_collocations": op12_collocations,
+    "op13_language_id": op13_language_id,
 }
 
 WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
