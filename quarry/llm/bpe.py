@@ -14,6 +14,7 @@ import base64
 import hashlib
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,13 +70,13 @@ class ByteBPE(dict):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path) if path.endswith(".json") else tokenizer_of_ranks(path, pattern)
         self.tokenizer.encode_special_tokens = True  # their spelling in a text is ordinary text
-        self.model = Tokenizer(self.tokenizer.model)  # for single pre-tokens whose bytes are mapped here
+        self.model = self.tokenizer.model  # for single pre-tokens whose bytes are mapped here
         self.spelling = dict(enumerate(byte_characters()))
         self.keep, self.old = keep, {}
         value = {c: b for b, c in enumerate(byte_characters())}
         vocab = self.tokenizer.get_vocab()
         size = max(vocab.values()) + 1
-        self.dtype = np.dtype("<u2") if size <= 1 << 16 else np.dtype("<u4")
+        self.letter, self.dtype = ("H", np.dtype("<u2")) if size <= 1 << 16 else ("I", np.dtype("<u4"))
         self.token_bytes = [b""] * size
         for t, i in vocab.items():
             self.token_bytes[i] = bytes(value[c] for c in t) if all(c in value for c in t) else t.encode()
@@ -86,10 +87,10 @@ class ByteBPE(dict):
         ids = self.old.get(chunk)
         if ids is None:
             if chunk.isalpha() or chunk[1:].isalpha() and chunk[0] == " ":
-                found = self.model.encode(chunk.encode().decode("latin-1").translate(self.spelling), add_special_tokens=False)
+                found = [t.id for t in self.model.tokenize(chunk.encode().decode("latin-1").translate(self.spelling))]
             else:
-                found = self.tokenizer.encode(chunk, add_special_tokens=False)
-            ids = np.array(found.ids, self.dtype).tobytes()
+                found = self.tokenizer.encode(chunk, add_special_tokens=False).ids
+            ids = struct.pack(f"<{len(found)}{self.letter}", *found)
         if len(self) >= self.keep:
             self.old = dict(self)
             self.clear()

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm import bpe
-from quarry.llm.common import quoted, written
+from quarry.llm.common import pack, quoted, unpack, written
 
 A_FILE = public_tokenizers.path("byte_bpe_50k.json")
 B_FILE = public_tokenizers.path("piece_bpe_32k.model")
@@ -56,8 +56,10 @@ class Rows:
     def transposed(self) -> Rows:
         """Counting sort of the entries by column; a column's rows stay in order."""
         start = np.concatenate([[0], np.cumsum(np.bincount(self.cols, minlength=self.width))])
-        order = np.argsort(self.cols, kind="stable")
         owner = np.repeat(np.arange(self.height, dtype=self.cols.dtype), np.diff(self.start))
+        if (self.cols[1:] >= self.cols[:-1]).all():  # as in every incidence matrix
+            return Rows(start, owner, self.values, self.height)
+        order = np.argsort(self.cols, kind="stable")
         return Rows(start, owner[order], self.values[order], self.height)
 
     def times(self, x: np.ndarray) -> np.ndarray:
@@ -86,7 +88,7 @@ class Rows:
         place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(other.start[inner], n)
         key = row * other.width + other.cols[place]
         value = np.repeat(self.values[part], n) * other.values[place]
-        if len(key) and (np.diff(key) < 0).any():
+        if (key[1:] < key[:-1]).any():
             order = np.argsort(key, kind="stable")
             key, value = key[order], value[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
@@ -292,18 +294,6 @@ BLOCK_COLUMNS = ["block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "n_grou
                  "pairs", "counts", "start", "entries", "times"]
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Non-negative integers in the narrowest type, compressed, behind one letter of type and their size."""
-    kind = next(k for k in ("B", "H", "I", "Q") if not len(x) or x.max() <= np.iinfo(k).max)
-    raw = x.astype(kind).tobytes()
-    return kind.encode() + len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def unpack(x: bytes) -> np.ndarray:
-    size = int.from_bytes(x[1:9], "little")
-    return np.frombuffer(pa.decompress(x[9:], size, "zstd", asbytes=True), x[:1].decode()).astype(np.int64)
-
-
 def link_blocks(docs: DataFrame, a_file: str, b_file: str, id_col: str, text_col: str, block_bytes: int) -> DataFrame:
     """The blocks of ``docs``, one row each; see ``Block.row``."""
     t = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).cast("string").alias("text"))
