@@ -3,7 +3,7 @@
 A cutoff sweep is one pass over the scored rows: each row gets the number of
 cutoffs it passes, counts per (that number, label) form a table of at most
 2 x (cutoffs + 1) rows, and every cutoff's confusion matrix is a sum over that
-small table.  Deciles use the exact distributed ntile of :mod:`rank`.
+small table.  Deciles use the exact ntile of :mod:`rank`.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.operators.order import q
 from quarry.operators.rank import ntile_bucket
+from quarry.operators.select import count_below
 
 
 def _pred(score: Column, cutoff, inclusive: bool) -> Column:
@@ -56,10 +57,10 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float]
     cs = sorted(float(c) for c in cutoffs)
     arr = F.array(*[F.lit(c) for c in cs])
     s = q(score).cast("double")
-    # each row goes to the number of cutoffs it passes: at most 2 x (cutoffs + 1) groups, counted map-side
-    passed = F.size(F.filter(arr, (lambda c: c <= s) if inclusive else (lambda c: c < s)))
-    counts = df.where(s.isNotNull() & q(label).isNotNull()).groupBy(passed.alias("__b"), q(label).cast("int").alias("__y")) \
-        .agg(F.count(F.lit(1)).alias("__n"))
+    # each row goes to the number of cutoffs it passes, found by bisection: at most 2 x (cutoffs + 1)
+    # groups, counted map-side
+    rows = df.where(s.isNotNull() & q(label).isNotNull()).select(s.alias("__s"), q(label).cast("int").alias("__y"))
+    counts = count_below(rows, F.col("__s"), arr, len(cs), "__b", inclusive).groupBy("__b", "__y").agg(F.count(F.lit(1)).alias("__n"))
     # a zero-count identity row gives every cutoff a row even when there is no data
     zero = df.sparkSession.range(1).select(F.lit(0).alias("__b"), F.lit(0).alias("__y"), F.lit(0).cast("long").alias("__n"))
     counts = counts.select("__b", "__y", F.col("__n").cast("long").alias("__n")).unionByName(zero)

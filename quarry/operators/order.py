@@ -8,8 +8,8 @@ renumber it.  A window per range computes the local running total, and the
 totals per range -- at most (ranges + groups) rows -- give each range its
 offset.  JVM only; values keep their types.  The result is exact.
 
-Used by: global row index (ntile, exact-n samples, stratified splits) and
-exact order statistics (percentiles, hinges) from per-value counts.
+Used by: global row index, cumulative sums and shares.  Quantiles and hinges
+come from the exact selection of ``select``, which neither sorts nor writes rows.
 """
 
 from __future__ import annotations
@@ -88,29 +88,9 @@ def row_index(df: DataFrame, order: Sequence[Column | str], by: Sequence[str] =
     return running_total(df, order, None, by, out)
 
 
-def order_statistics(df: DataFrame, c: str, positions: Callable[[Column], Column],
-                     by: Sequence[str] = ()) -> DataFrame:
-    """Values at 1-based ranks of the non-NULL values of ``c`` (within ``by``).
-
-    ``positions(n)`` maps the group's count to an array<long> of wanted ranks.
-    Works on per-value counts, so its cost is one aggregation of the column plus
-    a pass over its distinct values.  Returns (by..., __k, __v, __n).
-    """
-    by = list(by)
-    counts = (df.where(q(c).isNotNull()).groupBy(*[q(b) for b in by], q(c).alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__cnt")))
-    # the group size and the wanted ranks ride on the small offsets table: computed once per
-    # (partition, group), not once per distinct value, and without another pass over the data
-    j = running_total(counts, ["__v"], F.col("__cnt"), by, "__cum", total_out="__n",
-                      per_group=lambda n: {"__pos": positions(n)})
-    lo = F.col("__cum") - F.col("__cnt")
-    hi = F.col("__cum")
-    picked = F.filter(F.col("__pos"), lambda k: (k > lo) & (k <= hi))
-    return j.select(*[q(b) for b in by], F.explode(picked).alias("__k"), F.col("__v"), F.col("__n"))
-
-
-def _stat_map(df: DataFrame, c: str, positions, by) -> DataFrame:
-    picks = order_statistics(df, c, positions, by)
+def _stat_map(df: DataFrame, c: str, positions, by, m: int) -> DataFrame:
+    from quarry.operators.select import order_statistics
+    picks = order_statistics(df, c, positions, by, m)
     return picks.groupBy(*[q(b) for b in by]).agg(
         F.map_from_entries(F.collect_list(F.struct("__k", "__v"))).alias("__m"),
         F.coalesce(F.first("__n"), F.lit(0).cast("long")).alias("__n"))
@@ -145,7 +125,7 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] =
     order statistics of each group travel.
     """
     by = list(by)
-    sm = _stat_map(df, c, _linear_positions(probs), by)
+    sm = _stat_map(df, c, _linear_positions(probs), by, 2 * len(probs))
     m, n = F.col("__m"), F.col("__n")
     arr = F.transform(_probs(probs), lambda p: F.struct(
         p.alias(prob_col), _linear_value(m, n, p).cast("double").alias(value_col)))
@@ -155,7 +135,7 @@ def quantiles(df: DataFrame, c: str, probs: Sequence[float], by: Sequence[str] =
 def quantiles_wide(df: DataFrame, c: str, probs: dict[str, float], by: Sequence[str] = ()) -> DataFrame:
     """Same as :func:`quantiles`, one column per named probability, plus ``n``."""
     by = list(by)
-    sm = _stat_map(df, c, _linear_positions(list(probs.values())), by)
+    sm = _stat_map(df, c, _linear_positions(list(probs.values())), by, 2 * len(probs))
     return sm.select(*[q(b) for b in by], F.col("__n").alias("n"),
                      *[_linear_value(F.col("__m"), F.col("__n"), F.lit(float(p))).cast("double").alias(name)
                        for name, p in probs.items()])
@@ -176,7 +156,7 @@ def hinges(df: DataFrame, c: str, by: Sequence[str] = ()) -> DataFrame:
             ks += [F.floor(x).cast("long"), F.ceil(x).cast("long")]
         return F.array_distinct(F.array(*ks))
 
-    sm = _stat_map(df, c, positions, by)
+    sm = _stat_map(df, c, positions, by, 10)
     m, n = F.col("__m"), F.col("__n")
     d = d_of(n)
 

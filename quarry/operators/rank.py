@@ -5,7 +5,9 @@
   map task forwards at most k rows per group.
 * arg-max per group: ``min(struct(-measure, tie-break, ...))`` is an ordinary
   aggregate with partial combine -- no window over raw rows, skew-safe.
-* global order (ntile, cumulative sums): the distributed running totals of
+* ntile: the buckets' last rows by the exact selection of
+  :mod:`quarry.operators.select`, then comparisons per row.
+* cumulative sums: the distributed running totals of
   :mod:`quarry.operators.order`, never an unpartitioned window.
 * series windows (moving average, lags) partition by series key; they run on
   series tables (one row per period), not on raw events.
@@ -18,7 +20,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.operators.order import q, row_index, running_total
+from quarry.operators.order import q, running_total
+from quarry.operators.select import after_bound, count_below, indexed, order_bounds
 
 
 def _measure(measure: str) -> Column:
@@ -71,18 +74,24 @@ def ntile_bucket(df: DataFrame, score: str, n: int, key: Sequence[str], descendi
                  out: str = "bucket") -> DataFrame:
     """``ntile(n)`` over the score (descending by default), ties broken by key.
 
-    Exact SQL semantics (the first N % n buckets get one extra row), computed
-    from the distributed row index and the row count, not a one-task window.
+    Exact SQL semantics (the first N % n buckets get one extra row).  The last row of each bucket is
+    found by exact selection; a row's bucket is one more than the number of those it comes after, so
+    rows are not sorted.  Rows that equal each other in score and key, with a bucket's end among
+    them, get their places from the distributed row index.
     """
-    order = [q(score).desc() if descending else q(score).asc()] + [q(k).asc() for k in key]
-    j = row_index(df, order, out="__r")
-    N, r = df.agg(F.count(F.lit(1))).scalar(), F.col("__r")  # row count as a scalar subquery
-    base = F.floor(N / F.lit(n)).cast("long")
-    rem = N - base * F.lit(n)
-    big = rem * (base + 1)
-    b = F.when(r <= big, F.floor((r - 1) / (base + 1)) + 1).otherwise(
-        rem + F.floor((r - big - 1) / F.greatest(base, F.lit(1))) + 1)
-    return j.withColumn(out, b.cast("long")).drop("__r")
+    order = [(score, descending), *[(k, False) for k in key]]
+    rows = df.count()
+    ends = [i * (rows // n) + min(i, rows % n) for i in range(1, n)]
+    ends = sorted({e for e in ends if 0 < e < rows})
+    bounds = order_bounds(df, order, ends)
+    if bounds is None:
+        place = F.array(*[F.lit(e).cast("long") for e in ends])
+        j = count_below(indexed(df, order, "__r"), F.col("__r"), place, len(ends), "__b", inclusive=False)
+        return j.withColumn(out, (F.col("__b") + 1).cast("long")).drop("__r", "__b")
+    b = F.lit(1).cast("long")
+    for x in bounds:
+        b = b + F.when(after_bound(order, x), F.lit(1)).otherwise(F.lit(0))
+    return df.withColumn(out, b)
 
 
 def cumulative(df: DataFrame, order: Sequence[Column | str], c: str, out: str = "cum",
