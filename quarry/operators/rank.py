@@ -80,10 +80,12 @@ def ntile_bucket(df: DataFrame, score: str, n: int, key: Sequence[str], descendi
     them, get their places from the distributed row index.
     """
     order = [(score, descending), *[(k, False) for k in key]]
-    rows = df.count()
-    ends = [i * (rows // n) + min(i, rows % n) for i in range(1, n)]
-    ends = sorted({e for e in ends if 0 < e < rows})
-    bounds = order_bounds(df, order, ends)
+
+    def last_rows(rows: int) -> list[int]:
+        ends = (i * (rows // n) + min(i, rows % n) for i in range(1, n))
+        return sorted({e for e in ends if 0 < e < rows})
+
+    ends, bounds = order_bounds(df, order, last_rows)
     if bounds is None:
         place = F.array(*[F.lit(e).cast("long") for e in ends])
         j = count_below(indexed(df, order, "__r"), F.col("__r"), place, len(ends), "__b", inclusive=False)

@@ -12,16 +12,19 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from quarry.operators.order import q, row_index, running_total
 from quarry.session import cut_lineage
 
 LIMIT = 50_000  # rows between two cuts that one buffer gathers; more are cut again
 GROUPS = 64  # groups whose cuts go through the driver; more are written as a small table
-MOST_CUTS = 8192
+MOST_CUTS = 1024  # a pass narrows a bracket by about this factor
 
 
 def count_below(df: DataFrame, value: Column, cuts: Column, size: int, out: str, inclusive: bool = True) -> DataFrame:
@@ -37,13 +40,23 @@ def count_below(df: DataFrame, value: Column, cuts: Column, size: int, out: str,
     return df
 
 
-def _fixed(df: DataFrame, most: int) -> DataFrame:
+def _local(spark: SparkSession, rows: list[tuple], schema: T.StructType) -> DataFrame:
+    """A small table of the driver as a local relation (no Python worker), to be broadcast."""
+    kinds = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [[]] * len(kinds)
+    arrays = [pa.array(list(c), f.type) for c, f in zip(columns, kinds, strict=True)]
+    return F.broadcast(spark.createDataFrame(pa.Table.from_arrays(arrays, schema=kinds), schema))
+
+
+def _fixed(df: DataFrame, most: int) -> tuple[DataFrame, Callable[[Column], bool]]:
     """A small table as data, so that every later pass sees the same rows: through the driver when it has
-    at most ``most`` rows, else written."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) <= most:
-        return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
-    return cut_lineage(df, "cuts")
+    at most ``most`` rows, else written.  With it a test whether some row meets a condition."""
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
+        table = cut_lineage(df, "cuts")
+        return table, lambda cond: not table.where(cond(F.col)).isEmpty()
+    facts = {c: rows.column(c).to_numpy(zero_copy_only=False) for c in ("n", "c", "i") if c in rows.column_names}
+    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema)), lambda cond: bool(np.any(cond(facts.__getitem__)))
 
 
 def _matched(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -64,6 +77,16 @@ def _sorted_ranks(values: DataFrame, keys: Sequence[str], want: DataFrame) -> Da
     return j.select(*keys, F.explode(hit).alias("k"), "v", "before", F.col("c").alias("ties"))
 
 
+def _gathered(rows: DataFrame, wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The wanted ranks of intervals (keys, i) whose few rows are gathered in one sorted buffer each."""
+    mine = [*keys, "i"]
+    vs = _matched(rows, wanted.select(*mine), mine).groupBy(*mine).agg(F.array_sort(F.collect_list("v")).alias("vs"))
+    found = _matched(vs, wanted.select(*mine, "before", "n", "ranks"), mine).select("*", F.explode("ranks").alias("k"))
+    found = found.withColumn("v", F.element_at("vs", (F.col("k") - F.col("before")).cast("int")))
+    found = found.withColumn("before", F.col("before") + F.array_position("vs", F.col("v")) - 1)
+    return found.withColumn("ties", F.size(F.filter("vs", lambda y: y == F.col("v"))).cast("long"))
+
+
 def select_ranks(values: DataFrame, keys: Sequence[str], want: Callable[[Column], Column] | DataFrame, m: int,
                  limit: int | None = None, depth: int = 0) -> DataFrame:
     """Values at 1-based ranks (ascending) of the non-NULL column ``v`` within ``keys``.
@@ -74,8 +97,8 @@ def select_ranks(values: DataFrame, keys: Sequence[str], want: Callable[[Column]
     """
     keys, limit = list(keys), LIMIT if limit is None else limit
     kind = values.schema["v"].dataType
-    n_cuts = min(MOST_CUTS, max(256, 64 * m))
-    grid = [i / (n_cuts + 1) for i in range(1, n_cuts + 1)]
+    n_cuts = min(MOST_CUTS, max(256, 4 * m))
+    grid = F.expr(f"array({', '.join(f'{i / (n_cuts + 1)!r}D' for i in range(1, n_cuts + 1))})")
     numeric = isinstance(kind, T.NumericType)
     # a sketch of a group that is gathered whole anyway is thrown away
     cuts = F.percentile_approx("v", grid, 4 * n_cuts) if numeric else F.lit(None).cast(T.ArrayType(kind))
@@ -86,8 +109,12 @@ def select_ranks(values: DataFrame, keys: Sequence[str], want: Callable[[Column]
         state = sizes.withColumn("ranks", want(F.col("n")))
     else:
         state = _matched(sizes, want, keys)
-    state = _fixed(state, GROUPS)
-    if not numeric and not state.where(F.col("n") > limit).isEmpty():
+    state, some = _fixed(state, GROUPS)
+    columns = [*keys, "k", "v", "before", "ties", "n"]
+    if not some(lambda c: c("n") > limit):  # every group is gathered whole
+        whole = state.withColumns({"i": F.lit(0), "before": F.lit(0).cast("long")})
+        return _gathered(values.withColumn("i", F.lit(0)), whole, keys).select(*columns)
+    if not numeric:
         found = _sorted_ranks(values, keys, state.select(*keys, "ranks"))
         return _matched(found, state.select(*keys, "n"), keys)
     # place of a row: 2i between cut i and the next, 2i - 1 at cut i
@@ -102,29 +129,22 @@ def select_ranks(values: DataFrame, keys: Sequence[str], want: Callable[[Column]
     hit = F.filter("ranks", lambda r: (r > F.col("before")) & (r <= F.col("before") + F.col("c")))
     held = counts.select(*keys, "i", "before", "c", "n", hit.alias("ranks"),
                          F.when(F.col("i") % 2 == 1, F.get("s", F.floor(F.col("i") / 2).cast("int"))).alias("x"))
-    held = _fixed(held.where(F.size("ranks") > 0), 4 * MOST_CUTS)
-    columns = [*keys, "k", "v", "before", "ties", "n"]
+    held, some = _fixed(held.where(F.size("ranks") > 0), 4096)
     # wanted ranks at a cut
     single = held.where(F.col("i") % 2 == 1).select(*keys, F.explode("ranks").alias("k"), F.col("x").alias("v"), "before",
                                                     F.col("c").alias("ties"), "n").select(*columns)
     # between cuts, few rows: gathered and sorted
     between = held.where((F.col("i") % 2 == 0) & (F.col("c") <= limit)).drop("x")
-    rows = _matched(j, between.select(*keys, "i"), [*keys, "i"])
-    rows = rows.groupBy(*keys, "i").agg(F.array_sort(F.collect_list("v")).alias("vs"))
-    rows = _matched(rows, between, [*keys, "i"]).select("*", F.explode("ranks").alias("k"))
-    rows = rows.withColumn("v", F.element_at("vs", (F.col("k") - F.col("before")).cast("int")))
-    rows = rows.withColumn("before", F.col("before") + F.array_position("vs", F.col("v")) - 1)
-    rows = rows.withColumn("ties", F.size(F.filter("vs", lambda y: y == F.col("v"))).cast("long"))
-    out = single.unionByName(rows.select(*columns))
+    out = single.unionByName(_gathered(j, between, keys).select(*columns))
     # between cuts, many rows: the same again, by themselves
-    wide = held.where((F.col("i") % 2 == 0) & (F.col("c") > limit)).drop("x")
-    if wide.isEmpty():
+    if not some(lambda c: (c("i") % 2 == 0) & (c("c") > limit)):
         return out
+    wide = held.where((F.col("i") % 2 == 0) & (F.col("c") > limit)).drop("x")
     inner = f"__i{depth}"
     part = _matched(j, wide.select(*keys, "i"), [*keys, "i"]).withColumnRenamed("i", inner)
     local = wide.select(*keys, F.col("i").alias(inner), F.transform("ranks", lambda r: r - F.col("before")).alias("ranks"))
     deeper = [*keys, inner]
-    stuck = not wide.where(F.col("c") == F.col("n")).isEmpty()  # values that the sketch cannot tell apart
+    stuck = some(lambda c: (c("i") % 2 == 0) & (c("c") > limit) & (c("c") == c("n")))  # values that the sketch cannot tell apart
     found = _sorted_ranks(part, deeper, local) if stuck else select_ranks(part, deeper, local, m, limit, depth + 1).drop("n")
     offset = wide.select(*keys, F.col("i").alias(inner), F.col("before").alias("__off"), "n")
     found = _matched(found, offset, deeper)
@@ -155,36 +175,39 @@ def _plain(x):
 Order = Sequence[tuple[str, bool]]  # column name, descending
 
 
-def order_bounds(df: DataFrame, order: Order, ranks: Sequence[int], limit: int | None = None) -> list[tuple] | None:
-    """The row's order columns at each 1-based rank of ``df`` in ``order``, as tuples on the driver.
+def order_bounds(df: DataFrame, order: Order, ranks: Callable[[int], Sequence[int]], limit: int | None = None) -> tuple[list[int], list[tuple] | None]:
+    """The wanted 1-based ranks of the rows in ``order`` (``ranks`` maps the row count to them), and for
+    each the order columns of the row there, as tuples on the driver.
 
     NULLs come first in rising and last in falling order, as Spark sorts.  A tuple stops at the first
-    column that tells its row from all others.  None if some rank falls between rows that are equal
-    in every order column.
+    column that tells its row from all others.  No tuples (None) if some rank falls between rows that
+    are equal in every order column.
     """
-    if not ranks:
-        return []
+    limit = LIMIT if limit is None else limit
     names = [f"c{i}" for i in range(len(order))]
     rows = df.select(*[q(c).alias(n) for (c, _), n in zip(order, names, strict=True)])
-    spark, open_ranks, done = df.sparkSession, {(): {r: r for r in ranks}}, {}
+    spark, done, wanted_ranks = df.sparkSession, {}, []
+    open_ranks = {}  # values of the order columns so far -> {rank: rank among the rows that share them}
     for level, (name, (_, falling)) in enumerate(zip(names, order, strict=True)):
-        if not open_ranks:
-            break
         keys = names[:level] or ["__one"]
         part = rows if level else rows.withColumn("__one", F.lit(1))
         if level:  # the rows that share the order columns so far with a wanted one
             schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys])
-            part = _matched(part, F.broadcast(spark.createDataFrame(list(open_ranks), schema)), keys)
-        group = lambda r: tuple(_plain(r[k]) for k in names[:level])  # noqa: E731, B023
-        sizes = {group(r): (r["a"], r["a"] - r["b"]) for r in
+            part = _matched(part, _local(spark, list(open_ranks), schema), keys)
+        sizes = {_group(r, names[:level]): (r["a"], r["a"] - r["b"]) for r in
                  part.groupBy(*keys).agg(F.count(F.lit(1)).alias("a"), F.count(name).alias("b")).collect()}
-        wanted, back, nxt = [], {}, {}
+        if not level:
+            wanted_ranks = list(ranks(sizes.get((), (0, 0))[0]))
+            open_ranks = {(): {r: r for r in wanted_ranks}} if wanted_ranks else {}
+        if not open_ranks:
+            break
+        wanted, back, nxt, few = [], {}, {}, {}
 
         def settle(g, value, local, ties, original):
             if ties == 1:
                 done[original] = (*g, value)
             else:
-                nxt.setdefault((*g, value), {})[original] = local  # noqa: B023
+                (few if ties <= limit else nxt).setdefault((*g, value), {})[original] = local  # noqa: B023
 
         for g, at in open_ranks.items():
             n, nulls = sizes[g]
@@ -201,13 +224,14 @@ def order_bounds(df: DataFrame, order: Order, ranks: Sequence[int], limit: int |
                 wanted.append((*(g or (1,)), sorted(set(asc))))
         if wanted:
             schema = T.StructType([T.StructField(k, part.schema[k].dataType) for k in keys] + [T.StructField("ranks", T.ArrayType(T.LongType()))])
-            want = F.broadcast(spark.createDataFrame(wanted, schema))
             values = part.where(F.col(name).isNotNull()).select(*keys, F.col(name).alias("v"))
-            for r in select_ranks(values, keys, want, len(ranks), limit).collect():
-                g = group(r)
+            for r in select_ranks(values, keys, _local(spark, wanted, schema), len(wanted_ranks), limit).collect():
+                g = _group(r, names[:level])
                 for original, rank in back[g, r["k"]]:
                     ahead = r["n"] - r["before"] - r["ties"] if falling else r["before"]
                     settle(g, _plain(r["v"]), rank - ahead, r["ties"], original)
+        if few and not _ranked_ties(rows, order, names, level + 1, few, done):
+            return wanted_ranks, None
         open_ranks = nxt
     for g, at in open_ranks.items():  # equal in every order column: fine where the block ends at the rank
         same = F.lit(True)
@@ -215,9 +239,35 @@ def order_bounds(df: DataFrame, order: Order, ranks: Sequence[int], limit: int |
             same = same & F.col(n).eqNullSafe(F.lit(x))
         ties = rows.where(same).count()
         if any(local < ties for local in at.values()):
-            return None
+            return wanted_ranks, None
         done.update(dict.fromkeys(at, g))
-    return [done[r] for r in ranks]
+    return wanted_ranks, [done[r] for r in wanted_ranks]
+
+
+def _group(row, names: Sequence[str]) -> tuple:
+    return tuple(_plain(row[k]) for k in names)
+
+
+def _ranked_ties(rows: DataFrame, order: Order, names: Sequence[str], level: int, few: dict, done: dict) -> bool:
+    """Settles the ranks within groups of few rows that share ``level`` order columns, by ranking those rows.
+
+    False if a rank falls between rows that are equal in every order column.
+    """
+    keys, rest = names[:level], list(zip(names, order, strict=True))[level:]
+    schema = T.StructType([T.StructField(k, rows.schema[k].dataType) for k in keys]
+                          + [T.StructField("ranks", T.ArrayType(T.LongType()))])
+    wanted = [(*g, sorted({r for x in at.values() for r in (x, x + 1)})) for g, at in few.items()]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(n).desc() if falling else F.col(n).asc() for n, (_, falling) in rest] or [F.lit(1)])
+    part = _matched(rows, _local(rows.sparkSession, wanted, schema), keys).withColumn("__r", F.row_number().over(w))
+    found = {}
+    for r in part.where(F.array_contains("ranks", F.col("__r").cast("long"))).select(*names, "__r").collect():
+        found[_group(r, keys), r["__r"]] = _group(r, names)
+    for g, at in few.items():
+        for original, local in at.items():
+            if found[g, local] == found.get((g, local + 1)):
+                return False
+            done[original] = found[g, local]
+    return True
 
 
 def after_bound(order: Order, bound: tuple) -> Column:
