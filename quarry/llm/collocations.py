@@ -17,11 +17,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import pack, quoted, unpack, written
+from quarry.llm.common import discard, pack, quoted, unpack, written
 from quarry.operators import order
 
 BREAK = b"\xff"  # no byte of UTF-8
@@ -31,6 +32,7 @@ SIDE = 512  # ids along a side of a tile
 DENSE = 16  # a tile is dense from one pair on DENSE cells
 SHIFT = 31  # a pair's key: left id << SHIFT | right id
 BLOCK_WORDS = 1 << 20
+KEYS_HERE = 1 << 20  # frequent keys that are sent to every task
 SLICE = 1 << 20  # bytes of a text split at once
 LONGEST = 4
 
@@ -95,6 +97,7 @@ class Words(dict):
         return n
 
 
+BLOCK_COLUMNS = ["block", "lang", "base", "gram", "keys", "counts"]
 BLOCK_SCHEMA = "block long, lang string, base binary, gram binary, keys {}, counts array<long>"
 
 
@@ -109,7 +112,7 @@ def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int)
         return pa.RecordBatch.from_arrays(
             [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([pack(places)], pa.binary()), pa.array([b""], pa.binary()),
              pa.ListArray.from_arrays([0, len(names)], names), pa.array([counts], pa.list_(pa.int64()))],
-            ["block", "lang", "base", "gram", "keys", "counts"])
+            BLOCK_COLUMNS)
 
     def body(batches: Iterator[pa.RecordBatch]):
         made, open_blocks, size = TaskContext.get().partitionId() << 32, {}, {}
@@ -145,48 +148,110 @@ def ranked(blocks: DataFrame, least: int) -> DataFrame:
     return written(out.withColumn("id", F.col("id") - 1), "ranked")
 
 
-def next_blocks(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
-    """The blocks with ``gram`` numbered by ``ranks`` (phrases of n words) and the cells of phrases of n + 1 words."""
+def renumbered(base: np.ndarray, gram: np.ndarray, number, n: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """(base, gram, cells, counts) of a block once its phrases of n words are numbered.
+
+    ``number`` gives ids + 1 (0: infrequent) for keys of phrases, or for places of words if n is 1.
+    """
+    if n == 1:
+        base = gram = number(base)
+    else:
+        at, left, right = pairs_at(base, gram, n)
+        gram = np.zeros(len(base), np.int64)
+        gram[at] = number(left << SHIFT | right)
+    _, left, right = pairs_at(base, gram, n + 1)
+    cells, counts = tile_counts(left, right)
+    # nothing reads the ids behind the last level
+    return *(pack(x) if n + 1 < LONGEST else b"" for x in (base, gram)), cells, counts
+
+
+def block_table(block: list, lang: list, got: list) -> list[pa.Array]:
+    base, gram, cells, counts = zip(*got, strict=True) if got else ([],) * 4
+    longs = pa.list_(pa.int64())
+    return [pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(base, pa.binary()), pa.array(gram, pa.binary()),
+            pa.array(cells, longs), pa.array(counts, longs)]
+
+
+def numbered_here(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
+    """``next_blocks`` with the frequent keys of all languages in every task: no shuffle."""
+    table, held = ranks.select("lang", "key", "id").toArrow(), {}
+    for lang in pc.unique(table.column("lang")).to_pylist():
+        mine = table.filter(pc.equal(table.column("lang"), lang)).sort_by("key")
+        keys, ids = (mine.column(c).combine_chunks() for c in ("key", "id"))
+        held[lang] = keys if n == 1 else keys.to_numpy(), ids.to_numpy()
+    shared = blocks.sparkSession.sparkContext.broadcast(held)
+
+    def body(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            for at in range(batch.num_rows):
+                block, lang, base, gram = (batch.column(c)[at].as_py() for c in ("block", "lang", "base", "gram"))
+                known, ids = shared.value.get(lang, (pa.array([], pa.string()) if n == 1 else np.zeros(0, np.int64), np.zeros(0, np.int64)))
+                if n == 1:
+                    place = pc.index_in(batch.column("keys")[at].values, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
+                    to = np.concatenate([[0], np.append(ids + 1, 0)[place]])
+                    got = renumbered(unpack(base), unpack(base), to.__getitem__, n)
+                else:
+                    def number(keys, known=known, ids=ids):
+                        where = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+                        return np.where(known[where] == keys, ids[where] + 1, 0) if len(known) else np.zeros(len(keys), np.int64)
+                    got = renumbered(unpack(base), unpack(gram), number, n)
+                yield pa.RecordBatch.from_arrays(block_table([block], [lang], [got]), BLOCK_COLUMNS)
+
+    columns = blocks if n == 1 else blocks.drop("keys")
+    return columns.drop("counts").mapInArrow(body, BLOCK_SCHEMA.format("array<long>"))
+
+
+def numbered_by_join(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
+    """``next_blocks`` where each block is sent the numbers of its own keys only."""
     places = blocks.select(F.col("block").alias("of"), "lang", F.posexplode("keys").alias("place", "key"))
     found = places.join(ranks.select("lang", "key", "id"), ["lang", "key"]).select("of", "place", "id")
 
-    def renumber(block: pa.Table, mine: pa.Table) -> pa.Table:
-        number = np.zeros(len(block.column("keys")[0]) + 1, np.int64)  # by place of the key in the block
-        number[mine.column("place").to_numpy()] = mine.column("id").to_numpy() + 1
-        base, keys = unpack(block.column("base")[0].as_py()), block.column("keys").combine_chunks().flatten()
-        if n == 1:
-            base = gram = np.concatenate([[0], number[:-1]])[base]
-        else:
-            at, left, right = pairs_at(base, unpack(block.column("gram")[0].as_py()), n)
-            gram = np.zeros(len(base), np.int64)
-            gram[at] = number[np.searchsorted(keys.to_numpy(), left << SHIFT | right)]
-        _, left, right = pairs_at(base, gram, n + 1)
-        cells, counts = tile_counts(left, right)
-        # nothing reads the ids behind the last level
-        packed = [pack(x) if n + 1 < LONGEST else b"" for x in (base, gram)]
-        return pa.table([block.column("block"), block.column("lang"), *[pa.array([p], pa.binary()) for p in packed],
-                         pa.array([cells], pa.list_(pa.int64())), pa.array([counts], pa.list_(pa.int64()))],
-                        ["block", "lang", "base", "gram", "keys", "counts"])
-
-    out = blocks.drop("counts").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(renumber, BLOCK_SCHEMA.format("array<long>"))
-    return written(out, "phrase-blocks")
+    def body(block: pa.Table, mine: pa.Table) -> pa.Table:
+        base, gram = (block.column(c)[0].as_py() for c in ("base", "gram"))
+        base, gram = unpack(base), unpack(gram) if n > 1 else None
+        size = int(base.max(initial=0)) if n == 1 else 0
+        if n > 1:  # the block's keys in order, as they were counted
+            _, left, right = pairs_at(base, gram, n)
+            keys = tile_counts(left, right)[0]
+            size = len(keys)
+        to = np.zeros(size + 1, np.int64)
+        to[mine.column("place").to_numpy()] = mine.column("id").to_numpy() + 1
+        number = np.concatenate([[0], to[:-1]]).__getitem__ if n == 1 else lambda k: to[np.searchsorted(keys, k)]
+        got = renumbered(base, gram, number, n)
+        return pa.table(block_table(block.column("block").to_pylist(), block.column("lang").to_pylist(), [got]), BLOCK_COLUMNS)
+
+    return blocks.drop("counts", "keys").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(body, BLOCK_SCHEMA.format("array<long>"))
+
+
+def next_blocks(blocks: DataFrame, ranks: DataFrame, n: int, most_here: int = KEYS_HERE) -> DataFrame:
+    """The blocks with ``gram`` numbered by ``ranks`` (phrases of n words) and the cells of phrases of n + 1 words.
+
+    Up to ``most_here`` frequent keys (and as many times 16 bytes of words) go to every task; beyond,
+    each block gets its own by joins.  Both give the same blocks.
+    """
+    size = ranks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col("key").cast("string"))), F.lit(0))).first()
+    here = size[0] <= most_here and (n > 1 or size[1] <= 16 * most_here)
+    out = (numbered_here if here else numbered_by_join)(blocks, ranks, n)
+    return written(out, "phrase-blocks", "zstd")
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang",
-                     block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+                     block_words: int = BLOCK_WORDS, most_here: int = KEYS_HERE) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, size, f) of all phrases of 1 to 4 words with ``least`` or more occurrences, and (lang, n).
 
     n counts all words.  Text is taken whole (NULL: empty), A-Z in lower case, cut into pieces at
     ``.,;:!?`` and line ends; phrases lie inside a piece, overlapping occurrences all count, repeated
     rows too.  A NULL language is ``und``.  Columns of other names are not read.
     """
-    blocks = written(word_blocks(docs, text_col, lang_col, block_words), "word-blocks")
+    blocks = written(word_blocks(docs, text_col, lang_col, block_words), "word-blocks", "zstd")
     total = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
     ranks = ranked(blocks, least)
     words = ranks.select("lang", "id", F.col("key").alias("phrase"), "f")
     parts, found = words, words.withColumn("size", F.lit(1))
+    total = written(total, "words")
     for n in range(2, LONGEST + 1):
-        blocks = next_blocks(blocks, ranks, n - 1)
+        last, blocks = blocks, next_blocks(blocks, ranks, n - 1, most_here)
+        discard(last)
         ranks = ranked(blocks, least)
         left = parts.select("lang", F.col("id").alias("__l"), F.col("phrase").alias("__left"))
         right = words.select("lang", F.col("id").alias("__r"), F.col("phrase").alias("__right"))
@@ -194,6 +259,7 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
                  .join(left, ["lang", "__l"]).join(right, ["lang", "__r"]))
         parts = written(spelt.select("lang", "id", F.concat_ws(" ", "__left", "__right").alias("phrase"), "f"), "phrases")
         found = found.unionByName(parts.withColumn("size", F.lit(n)))
+    discard(blocks)
     return found.select("lang", "phrase", "size", "f"), total
 
 
@@ -229,14 +295,14 @@ def inside_longer(found: DataFrame) -> DataFrame:
 
 
 def collocations(docs: DataFrame, least: int = 30, top: int = 2000, cover: int = 80, text_col: str = "text",
-                 lang_col: str = "lang", block_words: int = BLOCK_WORDS) -> DataFrame:
+                 lang_col: str = "lang", block_words: int = BLOCK_WORDS, most_here: int = KEYS_HERE) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's first ``top`` phrases of two to four words.
 
     See ``frequent_phrases`` for words and counts and ``scored`` for scores.  A phrase goes if a longer
     frequent phrase around it has at least ``cover`` percent of its count.  Order: score and a falling,
     phrase rising by its bytes.  An empty table, or texts without a frequent pair, give no rows.
     """
-    found, total = frequent_phrases(docs, least, text_col, lang_col, block_words)
+    found, total = frequent_phrases(docs, least, text_col, lang_col, block_words, most_here)
     c = scored(found).join(inside_longer(found), ["lang", "phrase"], "left")
     c = c.where(F.col("longest_f").isNull() | (100 * wide("longest_f") < cover * wide("a")))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase"))

@@ -22,7 +22,7 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` as a Parquet table in the shared folder of ``spark.checkpoint.dir``.
 
     Cuts the lineage: later plans read finished files that every executor sees, so a lost
@@ -30,8 +30,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", compression).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of ``written`` that nothing reads any more; later plans must not refer to them."""
+    for t in tables:
+        jvm, conf = t.sparkSession._jvm, t.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(t._written_path)
+        path.getFileSystem(conf).delete(path, True)
 
 
 def with_arrow_column(df: DataFrame, body, name: str, kind: T.DataType) -> DataFrame:

@@ -26,7 +26,8 @@ from quarry.llm.common import quoted, with_arrow_column, written
 ORDERS = (1, 2, 3)
 BITS = 21  # a code point takes 21 bits, so three fit a long
 SLICE = 1 << 20  # characters of a text at once
-BATCH = 256  # texts of one matrix product
+BATCH = 256  # texts of one matrix product in scoring
+CELLS = 1 << 20  # matrix cells picked at once
 NO_LETTER = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 
@@ -60,7 +61,7 @@ class Spectra:
 
     def __init__(self, texts: list[np.ndarray]):
         self.keys = np.unique(np.concatenate(texts)) if texts else np.zeros(0, np.int64)
-        self.presence = np.zeros((len(self.keys), len(texts)), np.float32)
+        self.presence = np.zeros((len(self.keys), len(texts)), np.uint8)
         for j, t in enumerate(texts):
             self.presence[np.searchsorted(self.keys, t), j] = 1
         self.roots = np.sqrt(np.maximum(1, [len(t) for t in texts]))
@@ -75,18 +76,30 @@ class Spectra:
         return np.array(start), np.concatenate(found) if found else np.zeros(0, np.int64)
 
     def product(self, texts: list[np.ndarray], matrix: np.ndarray) -> np.ndarray:
-        """Presence rows of some texts times ``matrix`` (n-grams x k), over the root of the texts' sizes."""
+        """Presence rows of some texts times ``matrix`` (n-grams x k), over the root of the texts' sizes.
+
+        As many texts at once as pick at most CELLS cells of the matrix, or one.
+        """
         start, at = self.places(texts)
-        total = np.zeros((len(texts), matrix.shape[1]))
-        some = np.flatnonzero(np.diff(start))
-        if len(some):
-            total[some] = np.add.reduceat(matrix[at], start[some], axis=0, dtype=np.float64)
+        total, low = np.zeros((len(texts), matrix.shape[1])), 0
+        while low < len(texts):
+            high = max(low + 1, int(np.searchsorted(start, start[low] + CELLS // max(1, matrix.shape[1]), side="right")) - 1)
+            some = low + np.flatnonzero(np.diff(start[low:high + 1]))
+            if len(some):
+                total[some] = np.add.reduceat(matrix[at[start[low]:start[high]]], start[some] - start[low], axis=0, dtype=np.float64)
+            low = high
         return total / np.sqrt(np.maximum(1, [len(t) for t in texts]))[:, None]
 
     def kernel(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Kernel values (texts x landmarks), in batches."""
-        parts = [self.product(texts[low:low + BATCH], self.presence) for low in range(0, len(texts), BATCH)]
-        return (np.concatenate(parts) if parts else np.zeros((0, len(self.roots)))) / self.roots
+        """Kernel values (texts x landmarks)."""
+        return self.product(texts, self.presence) / self.roots
+
+    def folded(self, weights: np.ndarray) -> np.ndarray:
+        """Presence matrix times weights (landmarks x k), so that a text's product with it is its kernel's."""
+        weights = weights / self.roots[:, None]
+        step = max(1, CELLS // max(1, len(self.roots)))
+        parts = [self.presence[low:low + step] @ weights for low in range(0, len(self.keys), step)]
+        return np.concatenate(parts) if parts else np.zeros((0, weights.shape[1]))
 
 
 def inverse_root(k: np.ndarray, least: float = 1e-6) -> np.ndarray:
@@ -147,8 +160,7 @@ def fit(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", max_tra
     root = inverse_root(spectra.kernel([texts[i] for i in marks]))
     y = np.where(np.array([r["lang"] for r in rows])[:, None] == np.array(langs)[None, :], 1.0, -1.0)
     weights = ridge(spectra.kernel(texts) @ root, y, penalty * len(rows) / len(langs))
-    folded = spectra.presence @ (root @ weights / spectra.roots[:, None])
-    return {"langs": langs, "keys": spectra.keys, "weights": folded}
+    return {"langs": langs, "keys": spectra.keys, "weights": spectra.folded(root @ weights)}
 
 
 def predict(docs: DataFrame, model: dict, text_col: str = "text", out: str = "lang_pred", score: str = "score") -> DataFrame:

@@ -46,14 +46,14 @@ def phrases(seed=4):
     return [*rows, ("en", None), (None, ""), ("de", "one two"), ("xx", "again " * 90), rows[0], rows[0]]
 
 
-@pytest.mark.parametrize("block_words", [50, 700, 1 << 20])
-def test_equal_to_counting_by_hand(spark, block_words):
+@pytest.mark.parametrize(("block_words", "most_here", "least", "top", "cover"),
+                         [(50, 0, 6, 25, 50), (700, 15, 30, 2000, 80), (1 << 20, 1 << 20, 30, 2000, 80)])
+def test_equal_to_counting_by_hand(spark, block_words, most_here, least, top, cover):
     rows = phrases()
     df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
-    for least, top, cover in ((30, 2000, 80), (6, 25, 50)):
-        got = co.collocations(df, least, top, cover, block_words=block_words).collect()
-        assert sorted(map(tuple, got)) == by_hand(rows, least, top, cover)
-    assert [f.dataType.simpleString() for f in co.collocations(df).schema] == ["string", "bigint", "string"] + ["bigint"] * 5
+    got = co.collocations(df, least, top, cover, block_words=block_words, most_here=most_here)
+    assert sorted(map(tuple, got.collect())) == by_hand(rows, least, top, cover)
+    assert [f.dataType.simpleString() for f in got.schema] == ["string", "bigint", "string"] + ["bigint"] * 5
 
 
 def test_empty_and_clashing(empty, clash, docs):
