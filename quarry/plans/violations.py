@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quarry import functions as QF
 from quarry.operators import aggs, clean, joins, profile, rank, reshape
-from quarry.plans.tables import FINES, YEARS, violations, violations_by_year, with_ctes
+from quarry.plans.tables import FINES, tickets, tickets_by_year, violations, with_ctes
 from quarry.session import literal_table
 
 # fixed values: 4-hour slots of the day (edges in hours, labels)
@@ -130,52 +130,46 @@ WHERE (time_text LIKE '%P' AND code IN ('click', 'view') AND precinct NOT BETWEE
 
 
 def q_replace_value(spark, sf):
-    """State code '99' (played by NATION_24) recoded to NATION_0, then tickets per state, 1996."""
-    v = violations_by_year(spark, sf)[1996]
-    return aggs.count_by(clean.replace_value(v, "state", "NATION_24", "NATION_0"), ["state"])
+    """State code '99' (played by NATION_24) recoded to NATION_0, then tickets per state."""
+    return aggs.count_by(clean.replace_value(tickets(spark, sf), "state", "NATION_24", "NATION_0"), ["state"])
 
 
 SQL_REPLACE_VALUE = with_ctes("""SELECT CASE WHEN state = 'NATION_24' THEN 'NATION_0' ELSE state END AS state,
- count(*) AS n FROM tickets WHERE y = 1996 GROUP BY 1""", "tickets")
+ count(*) AS n FROM tickets GROUP BY 1""", "tickets")
 
 
 def q_union_tagged(spark, sf):
-    """H3 + C13 + H1: the same projection of three yearly tables tagged by year -> tickets per year and code."""
-    by_year = violations_by_year(spark, sf)
+    """H3 + C13 + H1: the same projection of every yearly table tagged by year -> tickets per year and code."""
+    by_year = tickets_by_year(spark, sf)
     u = reshape.union_tagged(by_year, ["code", "state"], tag="year")
     return aggs.count_by(u, ["year", "code"])
 
 
-_UNION = " UNION ALL ".join(f"SELECT {y} AS year, code, state FROM tickets WHERE y = {y}" for y in YEARS)
-SQL_UNION_TAGGED = with_ctes(f"SELECT year, code, count(*) AS n FROM ({_UNION}) GROUP BY year, code", "tickets")
+SQL_UNION_TAGGED = with_ctes("SELECT y AS year, code, count(*) AS n FROM tickets GROUP BY y, code", "tickets")
 
 
 def q_classify(spark, sf):
     """C5 + D10 + D12: issue month (parsed from MM/dd/yyyy text) -> season -> tickets per year and season."""
-    by_year = violations_by_year(spark, sf)
-    u = reshape.union_tagged(by_year, ["issue_date_text"], tag="year")
-    u = u.withColumn("month", F.month(QF.parse_date("issue_date_text", "MM/dd/yyyy")))
+    u = tickets(spark, sf).withColumn("month", F.month(QF.parse_date("issue_date_text", "MM/dd/yyyy")))
     return aggs.count_by(clean.classify(u, "month", SEASONS, "season"), ["year", "season"])
 
 
 SQL_CLASSIFY = with_ctes("""SELECT y AS year, CASE WHEN m IN (12, 1, 2) THEN 'Winter' WHEN m IN (3, 4, 5) THEN 'Spring'
  WHEN m IN (6, 7, 8) THEN 'Summer' WHEN m IN (9, 10, 11) THEN 'Fall' END AS season, count(*) AS n
-FROM (SELECT y, month(strptime(issue_date_text, '%m/%d/%Y')) AS m FROM tickets WHERE y IN (1996, 1997, 1998))
+FROM (SELECT y, month(strptime(issue_date_text, '%m/%d/%Y')) AS m FROM tickets)
 GROUP BY 1, 2""", "tickets")
 
 
 def q_weight_by(spark, sf):
     """E5 + G1: top 5 codes per year with their fine totals (count x fine, broadcast rate table)."""
     fines = literal_table(spark, FINES, "code string, fine double")
-    by_year = violations_by_year(spark, sf)
-    u = reshape.union_tagged(by_year, ["code"], tag="year")
-    top = rank.top_k_by(u, ["year"], "code", 5)
+    top = rank.top_k_by(tickets(spark, sf), ["year"], "code", 5)
     return joins.weight_by(top, fines, "code", "fine", "n", "collected").drop("rank")
 
 
 SQL_WEIGHT_BY = with_ctes("""SELECT year, c.code, n, n * fine AS collected FROM (
   SELECT y AS year, code, count(*) AS n, row_number() OVER (PARTITION BY y ORDER BY count(*) DESC, code) AS r
-  FROM tickets WHERE y IN (1996, 1997, 1998) GROUP BY y, code) c JOIN fines f ON c.code = f.code
+  FROM tickets GROUP BY y, code) c JOIN fines f ON c.code = f.code
 WHERE r <= 5""", "tickets", "fines")
 
 
@@ -201,17 +195,17 @@ SQL_N_DISTINCT = with_ctes("""SELECT count(DISTINCT time_text) AS n_sql,
 
 def q_append_rows(spark, sf):
     """H2: rows appended by column name when one input lacks columns (51 vs 43 in the reference):
-    missing columns come in as NULL."""
-    by_year = violations_by_year(spark, sf)
-    full = by_year[1996].select("ticket", "code", "state", "precinct")
-    narrow = by_year[1997].select("ticket", "code", "state")
+    missing columns come in as NULL.  The first year has all columns, the later ones lack the precinct."""
+    whole, first = tickets(spark, sf), tickets(spark, sf).agg(F.min("year")).scalar()
+    full = whole.where(F.col("year") == first).select("ticket", "code", "state", "precinct")
+    narrow = whole.where(F.col("year") != first).select("ticket", "code", "state")
     u = reshape.union_all([full, narrow], allow_missing=True)
     return u.groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count("precinct").alias("with_precinct"))
 
 
 SQL_APPEND_ROWS = with_ctes("""SELECT code, count(*) AS n, count(precinct) AS with_precinct FROM (
- SELECT ticket, code, state, precinct FROM tickets WHERE y = 1996
- UNION ALL SELECT ticket, code, state, NULL FROM tickets WHERE y = 1997) GROUP BY code""", "tickets")
+ SELECT ticket, code, state, precinct FROM tickets WHERE y = (SELECT min(y) FROM tickets)
+ UNION ALL SELECT ticket, code, state, NULL FROM tickets WHERE y <> (SELECT min(y) FROM tickets)) GROUP BY code""", "tickets")
 
 
 def study(spark, sf) -> dict:
@@ -220,26 +214,24 @@ def study(spark, sf) -> dict:
     per slot, fines collected for the top codes, seasons, and top codes per season.
     Every report is one declarative plan; nothing is collected on the way."""
     fines = literal_table(spark, FINES, "code string, fine double")
-    by_year = violations_by_year(spark, sf)
-    tickets = clean.replace_value(reshape.union_tagged(by_year, ["ticket", "code", "state", "issue_date_text",
-                                                                "precinct"], tag="year"),
-                                  "state", "NATION_24", "NATION_0")
-    tickets = tickets.withColumn("month", F.month(QF.parse_date("issue_date_text", "MM/dd/yyyy")))
-    tickets = clean.classify(tickets, "month", SEASONS, "season")
+    t = reshape.union_tagged(tickets_by_year(spark, sf), ["ticket", "code", "state", "issue_date_text", "precinct"], tag="year")
+    t = clean.replace_value(t, "state", "NATION_24", "NATION_0")
+    t = t.withColumn("month", F.month(QF.parse_date("issue_date_text", "MM/dd/yyyy")))
+    t = clean.classify(t, "month", SEASONS, "season")
     v = violations(spark, sf)
     timed = timed_violations(v)
-    top_year = rank.top_k_by(tickets, ["year"], "code", 5)
+    top_year = rank.top_k_by(t, ["year"], "code", 5)
     return {
-        "rows_per_year": aggs.count_by(tickets, ["year"]),
-        "states": profile.n_distinct(tickets, "state"),
+        "rows_per_year": aggs.count_by(t, ["year"]),
+        "states": profile.n_distinct(t, "state"),
         "time_nulls": profile.null_counts(v, ["time_text"]),
         "time_lengths": profile.length_profile(v, "time_text"),
         "top_codes": rank.top_k(v, "code", 5),
         "top_precincts": rank.top_k(v, "precinct", 5, exclude=F.col("precinct") == 0),
         "top_codes_per_slot": rank.top_k_by(timed, ["slot"], "code", 3),
         "fines_top_codes": joins.weight_by(top_year, fines, "code", "fine", "n", "collected"),
-        "season_counts": aggs.count_by(tickets, ["year", "season"]),
-        "top_codes_per_season": rank.top_k_by(tickets, ["year", "season"], "code", 3),
+        "season_counts": aggs.count_by(t, ["year", "season"]),
+        "top_codes_per_season": rank.top_k_by(t, ["year", "season"], "code", 3),
     }
 
 
