@@ -127,9 +127,12 @@ def training_texts(docs: DataFrame, lang_col: str, text_col: str, max_train: int
     t = docs.select(quoted(lang_col).cast("string").alias("lang"), quoted(text_col).cast("string").alias("text"))
     t = t.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
     seen = t.select("lang", "h").distinct()
-    quota = max(1, max_train // max(1, seen.select("lang").distinct().count()))
+    sizes = written(seen.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")  # one row a language
+    quota = max(1, max_train // max(1, sizes.count()))
+    # hashes are spread evenly: the first four quotas' worth of a language hold its first quota
+    low = F.col("h") / F.lit(2.0 ** 64) + 0.5 <= 4.0 * (quota + 25) / F.col("n")
     place = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    few = seen.withColumn("place", place).where(F.col("place") <= quota).drop("place")
+    few = seen.join(sizes, "lang").where(low).withColumn("place", place).where(F.col("place") <= quota).select("lang", "h")
     chosen = t.join(F.broadcast(few), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def body(batches: Iterator[pa.RecordBatch]):

@@ -7,9 +7,10 @@ verified by aligning the two shingle sequences inside the band that the similari
 
 Equal texts are one node from the start.  Inside a bucket no pairs are expanded: every member meets
 the bucket's least and greatest member, first the one it shares most buckets with, then those that
-no chain of links joins to it yet.  A bucket that then still holds several components gets new hubs,
-round after round, until every two of its members are linked by a chain, verified, or excluded by
-their sizes or by the parities of their shingles.
+no chain of links joins to it yet.  Texts of a bucket that then still holds several components are
+dealt to finer buckets, one for each of their rarest shingles: texts similar enough share one, texts
+that only share a common passage do not.  Those buckets get new hubs, round after round, until every
+two members are linked by a chain, verified, or excluded by their sizes or shingle parities.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import quoted, written
+from quarry.llm.common import discard, quoted, written
 
 WORDS = 5
 BANDS = 24
 PICK = 4
 SLOTS = 1 << 20
+KEPT = 1 << 20  # powers that a worker keeps from text to text
 PARITY = 16  # longs of a text's parity sketch
 # A character that str.split() takes for part of a word.
 NO_SPACE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
@@ -47,13 +49,15 @@ _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE ** i and its inverse mod 2 ** 64 for i < n."""
-    if len(_POWERS[0]) < n:
-        size = 1 << int(n - 1).bit_length()
-        inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
-        for k, b in enumerate((BASE, inverse)):
-            _POWERS[k] = np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b), dtype=np.uint64)])
-    return _POWERS[0][:n], _POWERS[1][:n]
+    """BASE ** i and its inverse mod 2 ** 64 for i < n; a worker keeps them up to KEPT only."""
+    if len(_POWERS[0]) >= n:
+        return _POWERS[0][:n], _POWERS[1][:n]
+    size = 1 << int(n - 1).bit_length()
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    made = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(size - 1, b), dtype=np.uint64)]) for b in (BASE, inverse)]
+    if size <= KEPT:
+        _POWERS[:] = made
+    return made[0][:n], made[1][:n]
 
 
 def shingles(text: str) -> np.ndarray:
@@ -259,8 +263,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     p = written(p, "pairs")
     used = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = written(rows_of(docs, nodes.join(used, "node").select("node", "h1", "h2"), id_col, text_col)
-                    .select("__node", F.coalesce(quoted(text_col), F.lit("")).alias("text")), "pair-texts")
-    texts = texts.withColumnRenamed("__node", "node")
+                    .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "pair-texts")
     both = (p.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
 
@@ -279,7 +282,9 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             keep = [aligned_similarity(sequence(x, s), sequence(y, t), least) >= least for x, y, s, t in zip(*cols, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(body, "a long, b long")
+    found = written(both.select("a", "b", "ta", "tb").mapInArrow(body, "a long, b long"), "links")
+    discard(p, texts)
+    return found
 
 
 def near_roots(links: DataFrame, jumps: int = 2) -> DataFrame:
@@ -315,43 +320,89 @@ def components(links: DataFrame) -> DataFrame:
         least = lesser.groupBy("u").agg(F.min("v").alias("m"))
         joined = lesser.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        edges = written(small.where("u != v").distinct(), "edges")
+        last, edges = edges, written(small.where("u != v").distinct(), "edges")
+        discard(last)
     return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
 def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members with their root and bucket size (``met``), of the buckets that hold several components."""
+    """Members (key, node) with their root, of the buckets that hold several components."""
     j = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = j.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("met"))
-    return j.join(several.where("__lo < __hi").select("key", "met"), "key")
+    several = j.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
+    return j.join(several.where("__lo < __hi").select("key"), "key").select("key", "node", "root")
 
 
-def every_pair(buckets: DataFrame, nodes: DataFrame, links: DataFrame, check, least: float) -> DataFrame:
-    """node, root of the components once no two members (key, node) of a bucket are left to compare.
+def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
+    """key, node: the rarest shingles of each text (node, text), as many as make the comparison exact.
 
-    Buckets are split into overlapping size classes, as only texts of like size can be linked.  Each
-    round elects hubs among a bucket's members, those that share most buckets with others first;
-    every member of another component meets them unless a bound excludes the pair.  Hubs leave their
-    bucket, and their number doubles each round, so a bucket of m takes about log2(m) rounds at most.
+    Two texts of n and m shingles that reach ``least`` share least * max(n, m) of them or more, so under
+    any one order of all shingles the first n - ceil(least * n) + 1 of one and of the other have one in
+    common.  The order is rare first: by a table of counts over SLOTS hash slots (bounded whatever the
+    corpus), then by hash.  A passage that many texts share stands last and makes no bucket unless it is
+    most of the text.
     """
-    roots = components(links)
-    rest = written(mixed(buckets, roots).drop("root"), "rest")
-    weight = rest.groupBy("node").agg(F.sum("met").alias("weight"))
-    size = F.floor(F.log("n") / math.log(1.001 / least))
-    rest = rest.drop("met").join(nodes.select("node", "n", "parity").join(weight, "node"), "node")
-    rest = rest.withColumn("size", F.explode(F.array(size, size + 1))).withColumn("key", F.xxhash64("key", "size")).drop("size")
+    def counted(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(SLOTS, np.int64)
+        for b in batches:
+            for x in b.column("text"):
+                total += np.bincount((shingles(x.as_py()) % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+        held = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["slot", "n"])
+
+    slots = texts.select("text").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
+    counts = np.zeros(SLOTS, np.int64)
+    counts[slots.column("slot").to_numpy()] = slots.column("n").to_numpy()
+    shared = texts.sparkSession.sparkContext.broadcast(counts)
+
+    def body(batches: Iterator[pa.RecordBatch]):
+        for b in batches:
+            for at in range(b.num_rows):
+                h = shingles(b.column("text")[at].as_py())
+                first = len(h) - math.ceil(least * len(h) - 1e-9) + 1
+                h = h[np.lexsort((h, shared.value[(h % np.uint64(SLOTS)).astype(np.int64)]))][:first]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([b.column("node")[at].as_py()] * len(h), pa.int64())],
+                                                 ["key", "node"])
+
+    return texts.select("node", "text").mapInArrow(body, "key long, node long")
+
+
+def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str, check,
+               least: float) -> DataFrame:
+    """node, root of the components once no two members of a bucket (key, node, lo, hi) are left to compare.
+
+    Texts in buckets that still hold several components get finer buckets, one for each of their
+    rarest shingles; texts that reach ``least`` share one.  Each round elects hubs among a bucket's
+    members; every member of another component meets them unless a bound excludes the pair or the
+    pair was compared before.  Hubs leave their bucket, and their number doubles each round, so a
+    bucket of m takes about log2(m) rounds at most.
+    """
+    roots = written(components(links), "roots")
+    # the least and greatest node of a bucket have met all its members
+    still = mixed(members.where("node != lo and node != hi").select("key", "node"), roots).select("node").distinct()
+    texts = written(rows_of(docs, nodes.join(still, "node").select("node", "h1", "h2"), id_col, text_col)
+                    .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "open-texts")
+    rest = written(mixed(rare_shingles(texts, least), roots).drop("root"), "rest")
+    discard(texts)
+    seen = None
+    facts = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias(f"{to}_n"), F.col("parity").alias(f"{to}_parity"))
     hubs_a_bucket, turn = 1, 0
     while True:
-        rest = written(mixed(rest, roots).drop("met"), "rest")
+        last, rest = rest, written(mixed(rest, roots), "rest")
+        discard(last)
         if rest.isEmpty():
             return roots
         slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs_a_bucket))
-        hubs = rest.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("weight", "node", "n", "root", "parity")).alias("h"))
-        hubs = written(hubs.select("key", *[F.col(f"h.{c}").alias(f"hub_{c}") for c in ("node", "n", "root", "parity")]), "hubs")
-        wanted = (rest["key"] == hubs["key"]) & (F.col("root") != F.col("hub_root")) & may_reach("n", "hub_n", "parity", "hub_parity", least)
-        found = check(rest.join(hubs, wanted).select(*ordered("node", "hub_node")).distinct())
-        rest = rest.drop("root").join(hubs.select("key", F.col("hub_node").alias("node")), ["key", "node"], "left_anti")
+        hubs = rest.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("node", "root")).alias("h"))
+        hubs = written(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")), "hubs")
+        met = rest.join(hubs, "key").where("root != hub_root").select("node", "hub").distinct()
+        met = met.join(facts("node"), "node").join(facts("hub"), "hub")
+        pairs = met.where(may_reach("node_n", "hub_n", "node_parity", "hub_parity", least)).select(*ordered("node", "hub")).distinct()
+        pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "met")
+        found = check(pairs)
+        seen = pairs if seen is None else seen.unionByName(pairs)
+        rest = written(rest.drop("root").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "rest")
+        discard(hubs)
         if not found.isEmpty():
             roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
                                        .unionByName(found)), "roots")
@@ -361,14 +412,14 @@ def every_pair(buckets: DataFrame, nodes: DataFrame, links: DataFrame, check, le
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
     """Class of every different text with words: h1, h2, node, class_id (least node linked to it)."""
     nodes = written(text_nodes(sketches(docs, id_col, text_col)), "nodes")
-    check = lambda pairs: written(verified(pairs, nodes, docs, id_col, text_col, least), "links")
+    check = lambda pairs: verified(pairs, nodes, docs, id_col, text_col, least)
     members = written(with_hubs(nodes.select("node", F.explode("keys").alias("key"))), "members")
     # most members of a class meet one hub again and again: that pair settles them
     links = check(first_pairs(members))
     # the other hubs, where they might join what is still apart
     links = links.unionByName(check(hub_pairs(members, near_roots(links))))
-    # what is still apart: new hubs until no bucket has anything left to compare
-    roots = every_pair(members.where("node != lo and node != hi").select("key", "node"), nodes, links, check, least)
+    # what is still apart: finer buckets, and new hubs until none has anything left to compare
+    roots = every_pair(members, nodes, links, docs, id_col, text_col, check, least)
     return nodes.select("h1", "h2", "node").join(roots, "node", "left").select(
         "h1", "h2", "node", F.coalesce("root", "node").alias("class_id"))
 
