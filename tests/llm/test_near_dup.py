@@ -176,3 +176,34 @@ def test_bounds_keep_every_near_pair(spark):
     got = d.withColumn("may", N.may_reach("na", "nb", "x", "y", 0.8)).collect()
     assert any(g["near"] for g in got) and any(not g["may"] for g in got)
     assert all(g["may"] for g in got if g["near"])
+
+
+def test_a_common_passage_makes_no_rounds(spark, monkeypatch):
+    """Texts that share a long passage but no more are never compared: their rarest shingles differ."""
+    r = random.Random(7)
+    word = lambda: f"w{r.randrange(10 ** 6)}"
+    passage = [word() for _ in range(40)]
+    rows = [(i, " ".join([*passage, *(word() for _ in range(20))])) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(20)]
+    made = []
+    plain = N.written
+    monkeypatch.setattr(N, "written", lambda df, name, *more: made.append(name) or plain(df, name, *more))
+    got = N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(x["doc_id"], x["class_id"]) for x in got} == {(i, i) for i in range(300)} | {(1000 + i, i) for i in range(20)}
+    assert made.count("hubs") <= 2
+
+
+def test_rare_shingles_meet(spark):
+    """Every two texts at the threshold share one of their rarest shingles, whatever the counts."""
+    r = random.Random(9)
+    rows, near = [], []
+    for i in range(0, 120, 2):
+        a = [f"w{r.randrange(300)}" for _ in range(r.choice([5, 12, 80]))]
+        b = [x if r.random() < 0.98 else "new" for x in a] + ["end"] * r.randint(0, 2)
+        rows += [(i, " ".join(a)), (i + 1, " ".join(b))]
+        if N.aligned_similarity(N.shingles(rows[-2][1]), N.shingles(rows[-1][1]), 0.8) > 0:
+            near.append((i, i + 1))
+    keys = {}
+    for x in N.rare_shingles(spark.createDataFrame(rows, "node long, text string"), 0.8).collect():
+        keys.setdefault(x["node"], set()).add(x["key"])
+    assert len(near) > 20 and all(keys[a] & keys[b] for a, b in near)
