@@ -15,35 +15,50 @@ from quarry.llm.common import table, written
 from quarry.session import ship_package
 
 
-def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that the weak-label model rejects; the others stay as they are."""
+BATCH_ROWS = 1000  # rows of an Arrow batch: what a Python worker holds of the texts at once
+
+
+def prepared(spark: SparkSession) -> None:
+    """Package on the workers, and Arrow batches that keep long texts within a worker's memory."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the weak-label model rejects; the others stay as they are.
+
+    NULL texts and texts without a word score 0 and go; equal texts share one verdict.
+    """
+    prepared(spark)
     return classifier.keep_good(docs)
 
 
 def boilerplate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that stand on many sites; every document stays, n_chars follows its text."""
-    ship_package(spark)
+    prepared(spark)
     out = line_dedup.remove_boilerplate(docs)
     n_chars = F.when(F.col("__n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.withColumn("n_chars", n_chars).drop("__n_lines", "__n_removed")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each near-duplicate class."""
-    ship_package(spark)
+    """Keeps one document of each near-duplicate class, that with the least doc_id.
+
+    Texts without words all stay, but equal rows of them become one; of repeated rows one stays.
+    """
+    prepared(spark)
     return near_dup.one_of_each(docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold a passage of the benchmark."""
-    ship_package(spark)
+    """Drops the documents that hold a passage of the benchmark; NULL and empty texts hold none and stay."""
+    prepared(spark)
     return decontamination.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes the kept texts and decodes the ids: doc_id, n_tokens, digests, exact."""
-    ship_package(spark)
+    prepared(spark)
     return bpe.round_trip(docs)
 
 
@@ -55,7 +70,7 @@ STAGES = [
     ("byte-level BPE", tokens),
 ]
 
-# The classifier and the alignment have no SQL form: tests/llm/test_pipeline.py checks each stage by brute force.
+# The classifier and the alignment have no SQL form: tests/llm/test_pipeline.py checks each stage on planted cases.
 ORACLE_SQL = None
 
 
