@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry import functions as QF
+from quarry.operators.blocks import correlations, long_matrix
 from quarry.operators.order import q
 
 
@@ -89,12 +90,12 @@ def corr(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """all pairwise Pearson correlations in one aggregate -> long (a, b, r)."""
-    pairs = [(x, y) for x in cols for y in cols]
-    row = df.agg(*[F.corr(q(x).cast("double"), q(y).cast("double")).alias(f"__r{i}") for i, (x, y) in enumerate(pairs)])
-    arr = F.array(*[F.struct(F.lit(x).alias("a"), F.lit(y).alias("b"), F.col(f"__r{i}").alias("r"))
-                    for i, (x, y) in enumerate(pairs)])
-    return row.select(F.inline(arr))
+    """all pairwise Pearson correlations -> long (a, b, r), each over the rows where both are present.
+
+    One pass of block products after one for the means; NULL for a pair without spread or rows.
+    """
+    r = correlations(df, cols)
+    return long_matrix(df.sparkSession, cols, r, "r")
 
 
 def compare_segments(df: DataFrame, segments: Mapping[str, Column], c: str, how: str = "avg") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.operators.blocks import gram_blocks, logit_fits
 from quarry.operators.order import q
 from quarry.session import cut_lineage
 
@@ -124,21 +125,11 @@ def residuals(model, df: DataFrame, y: str, xs: Sequence[str], key: Sequence[str
 
 
 def gram(df: DataFrame, cols: Sequence[str]) -> tuple[np.ndarray, np.ndarray, int]:
-    """One aggregate: sums of products of all columns (uncentred X'X), column sums, n.
+    """One pass: sums of products of all columns (uncentred X'X), column sums, n, over rows without NULLs.
 
-    p(p+1)/2 sums come back to the driver: p-sized state, independent of rows.
+    Blocks of rows are multiplied in the tasks; p-sized state reaches the driver.
     """
-    p = len(cols)
-    x = [q(c).cast("double") for c in cols]
-    row = df.dropna(subset=list(cols)).agg(
-        F.count(F.lit(1)).alias("n"), *[F.sum(x[i]).alias(f"s{i}") for i in range(p)],
-        *[F.sum(x[i] * x[j]).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]).first()
-    G = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            G[i, j] = G[j, i] = row[f"g{i}_{j}"] or 0.0
-    s = np.array([row[f"s{i}"] or 0.0 for i in range(p)])
-    return G, s, int(row["n"])
+    return gram_blocks(df, cols)
 
 
 def vif(df: DataFrame, xs: Sequence[str], centred: bool = True) -> DataFrame:
@@ -166,25 +157,10 @@ def vif(df: DataFrame, xs: Sequence[str], centred: bool = True) -> DataFrame:
 def vif_glm(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """K6: variance inflation factors of a fitted binomial GLM -> (feature, vif).
 
-    diag(inv(R)), R the correlation matrix of the coefficients' covariance without the intercept;
-    the covariance is inv(X'WX) with the fit's weights p (1 - p), summed in one pass.
+    diag(inv(R)), R the correlation matrix of the coefficients' covariance without the intercept.
     """
-    xs = list(xs)
-    base = df.select(*[q(c).cast("double").alias(f"x{i}") for i, c in enumerate(xs)], q(y).alias("y")).dropna()
-    names = [f"x{i}" for i in range(len(xs))]
-    fit = logit(base, "y", names)[1]["model"]
-    eta = F.lit(float(fit.intercept))
-    for n, b in zip(names, fit.coefficients):
-        eta = eta + F.lit(float(b)) * F.col(n)
-    p = 1 / (1 + F.exp(-eta))
-    cols = [F.lit(1.0), *map(F.col, names)]
-    w = base.withColumn("__w", p * (1 - p))
-    row = w.agg(*[F.sum(F.col("__w") * cols[i] * cols[j]).alias(f"g{i}_{j}") for i in range(len(cols)) for j in range(i, len(cols))]).first()
-    G = np.array([[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(len(cols))] for i in range(len(cols))], float)
-    V = np.linalg.inv(G)[1:, 1:]
-    d = np.sqrt(np.diag(V))
-    v = np.diag(np.linalg.inv(V / np.outer(d, d)))
-    return _table(df.sparkSession, [(x, float(f)) for x, f in zip(xs, v)], "feature string, vif double")
+    fit = logit_fits(df, y, [list(xs)])[0]
+    return _table(df.sparkSession, [(x, float(f)) for x, f in fit.inflation().items()], "feature string, vif double")
 
 
 def _ols_from_gram(G, s, n, idx, yi, intercept):
@@ -238,30 +214,25 @@ def rfe(df: DataFrame, y: str, xs: Sequence[str], n_keep: int, kind: str = "ols"
 # --------------------------------------------------------------------------- K4 / K7
 
 
-def step_aic(df: DataFrame, y: str, xs: Sequence[str], parallelism: int = 8) -> DataFrame:
+def step_aic(df: DataFrame, y: str, xs: Sequence[str]) -> DataFrame:
     """K4: bidirectional step-wise selection by AIC over binomial GLMs, from the full model.
 
-    Every candidate of a step (drop one / add one back) is an independent Spark fit on
-    one checkpointed table; the candidates of a step are submitted concurrently
-    (``parallelism`` jobs at a time).  Returns the path: (step, action, feature, aic).
+    All candidates of a step (drop one / add one back) are fitted together: each pass over one written
+    table serves every fit that still moves.  Returns the path: (step, action, feature, aic).
     """
-    from concurrent.futures import ThreadPoolExecutor
     xs = list(xs)
-    # every candidate fit reads one checkpointed table (shared storage): no recomputation of the
-    # inputs per fit, and executor loss during the loop costs a re-read, not a re-derivation
     base = cut_lineage(df.select(*[q(c) for c in xs], q(y)).dropna())
-    cache = {}
+    known = {frozenset(): _null_aic(base, y)}
 
-    def aic_of(cols):
-        key = tuple(sorted(cols))
-        if key not in cache:
-            cache[key] = logit(base, y, list(key))[1]["aic"] if key else _null_aic(base, y)
-        return cache[key]
+    def fit(sets):
+        new = [s for s in dict.fromkeys(map(frozenset, sets)) if s not in known]
+        for f in logit_fits(base, y, [[x for x in xs if x in s] for s in new]):
+            known[frozenset(f.cols)] = f.aic
 
     current = list(xs)
-    cur_aic = aic_of(current)
+    fit([current])
+    cur_aic = known[frozenset(current)]
     path = [(0, "start", None, cur_aic)]
-    pool = ThreadPoolExecutor(max_workers=max(1, parallelism))
     step = 0
     while True:  # ends: the AIC falls with every step, and there are finitely many feature sets
         step += 1
@@ -269,15 +240,13 @@ def step_aic(df: DataFrame, y: str, xs: Sequence[str], parallelism: int = 8) ->
         cands += [("add", c, current + [c]) for c in xs if c not in current]
         if not cands:
             break
-        aics = list(pool.map(lambda m: aic_of(m[2]), cands))
-        moves = [(act, c, a) for (act, c, _), a in zip(cands, aics)]
-        act, feat, a = min(moves, key=lambda m: (m[2], m[1]))
+        fit([m[2] for m in cands])
+        act, feat, a = min(((act, c, known[frozenset(cols)]) for act, c, cols in cands), key=lambda m: (m[2], m[1]))
         if a >= cur_aic - 1e-9:
             break
         current = [x for x in current if x != feat] if act == "drop" else current + [feat]
         cur_aic = a
         path.append((step, act, feat, a))
-    pool.shutdown()
     return _table(df.sparkSession, path, "step long, action string, feature string, aic double")
 
 
@@ -304,10 +273,12 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
     path = []
     step = 0
     while cur:
-        coefs = (logit(base, y, cur)[0] if kind == "logit" else ols(base, y, cur)[0]).collect()
-        pv = {r["term"]: r["p_value"] for r in coefs if r["term"] != INTERCEPT}
-        vifs = vif_glm(base, y, cur) if kind == "logit" else vif(base, cur, centred)
-        vf = {r["feature"]: r["vif"] for r in vifs.collect()} if len(cur) > 1 else {cur[0]: 1.0}
+        if kind == "logit":
+            fit = logit_fits(base, y, [cur])[0]
+            pv, vf = fit.p_values(), fit.inflation()
+        else:
+            pv = {r["term"]: r["p_value"] for r in ols(base, y, cur)[0].collect() if r["term"] != INTERCEPT}
+            vf = {r["feature"]: r["vif"] for r in vif(base, cur, centred).collect()} if len(cur) > 1 else {cur[0]: 1.0}
         cand = [c for c in cur if pv[c] > max_p]
         if not cand:
             break
