@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
-from pyspark.ml.feature import PCA, PolynomialExpansion, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame
@@ -300,6 +300,76 @@ def svm_linear(df: DataFrame, label: str, features: str, c: float = 1.0, max_ite
     return OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=parallelism).fit(df)
 
 
+def fits_ended(model, max_iter: int) -> tuple[int, bool]:
+    """Most iterations of a one-vs-rest model's fits, and whether every fit ended before ``max_iter``."""
+    turns = [m.summary().totalIterations for m in model.models if m.hasSummary]
+    return max(turns, default=0), all(t < max_iter for t in turns)
+
+
+@dataclass
+class OneVsOne:
+    """Pairwise linear classifiers: for pair i, a score above 0 votes for ``pairs[i][0]``, else for ``pairs[i][1]``."""
+
+    labels: list[float]
+    pairs: list[tuple[float, float]]
+    weights: np.ndarray  # pairs x dimensions
+    bias: np.ndarray
+    iterations: list[int]
+    max_iter: int
+
+    def fits(self, spark) -> DataFrame:
+        """One row a pair: first, second, iterations, converged."""
+        rows = [(float(a), float(b), int(t), t < self.max_iter) for (a, b), t in zip(self.pairs, self.iterations, strict=True)]
+        return _table(spark, rows, "first double, second double, iterations long, converged boolean")
+
+    def transform(self, df: DataFrame, features: str = "features", out: str = "prediction") -> DataFrame:
+        """``df`` with ``out``: the label with most votes; of labels with equal votes the least.  NULL features: NULL."""
+        labels, weights, bias = np.array(self.labels), self.weights, self.bias
+        first, second = (np.searchsorted(labels, [p[k] for p in self.pairs]) for k in (0, 1))
+
+        @F.pandas_udf(T.DoubleType())
+        def vote(col: pd.Series) -> pd.Series:
+            found = pd.Series([None] * len(col), dtype="float64")
+            there = col.notna().to_numpy()
+            if there.any():
+                won = np.where(np.vstack(col[there].to_numpy()) @ weights.T + bias > 0, first, second)
+                votes = np.zeros((len(won), len(labels)), np.int64)
+                np.add.at(votes, (np.arange(len(won))[:, None], won), 1)
+                found[there] = labels[votes.argmax(1)]
+            return found
+
+        return df.withColumn(out, vote(_array(df, features)))
+
+
+def _array(df: DataFrame, features: str):
+    return vector_to_array(features) if isinstance(df.schema[features].dataType, T.UserDefinedType) else F.col(features)
+
+
+def svm_one_vs_one(df: DataFrame, label: str, features: str, c: float = 1.0, max_iter: int = 50, parallelism: int = 4) -> OneVsOne:
+    """Linear multi-class SVM by a LinearSVC for every two labels and votes, penalty C -> regParam 1 / (C n_pair).
+
+    The pairs' fits are independent jobs over one written table, ``parallelism`` at a time.  Rows without
+    a label or features are left out; one label alone gives a model that always votes for it.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+    base = cut_lineage(df.where(q(label).isNotNull() & q(features).isNotNull())
+                       .select(q(label).cast("double").alias("y"), q(features).alias("features")), "pairs")
+    counts = {r["y"]: r["n"] for r in base.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
+    labels = sorted(counts)
+    pairs = [(a, b) for i, a in enumerate(labels) for b in labels[i + 1:]]
+
+    def fit(pair):
+        a, b = pair
+        rows = base.where(F.col("y").isin(a, b)).withColumn("label", (F.col("y") == a).cast("double"))
+        return LinearSVC(regParam=1.0 / (c * (counts[a] + counts[b])), maxIter=max_iter, standardization=False).fit(rows)
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        models = list(pool.map(fit, pairs))
+    d = len(models[0].coefficients) if models else 0
+    weights = np.array([m.coefficients.toArray() for m in models]).reshape(len(models), d)
+    return OneVsOne(labels, pairs, weights, np.array([m.intercept for m in models]), [m.summary().totalIterations for m in models], max_iter)
+
+
 def fourier_features(df: DataFrame, features: str, sigma: float, n_features: int = 256, seed: int = 42,
                      out: str = "rff") -> DataFrame:
     """K11 (re-aimed): random Fourier features z(x) = sqrt(2/D) cos(W x + b), W ~ N(0, 2 sigma),
@@ -317,8 +387,7 @@ def fourier_features(df: DataFrame, features: str, sigma: float, n_features: int
         Z = scale * np.cos(X @ W + b)
         return pd.Series(list(Z))
 
-    arr = vector_to_array(features) if isinstance(df.schema[features].dataType, T.UserDefinedType) else F.col(features)
-    return df.withColumn(out, array_to_vector(project(arr)))
+    return df.withColumn(out, array_to_vector(project(_array(df, features))))
 
 
 def svm_rbf(df: DataFrame, label: str, features: str, sigma: float, c: float = 1.0, n_features: int = 256,
@@ -328,26 +397,59 @@ def svm_rbf(df: DataFrame, label: str, features: str, sigma: float, c: float = 1
     return svm_linear(z, label, "rff", c, max_iter=max_iter), z
 
 
-def svm_poly(df: DataFrame, label: str, features: str, degree: int = 2, c: float = 1.0, k: int = 10,
-             max_iter: int = 50):
-    """Polynomial-kernel SVM re-aimed as PCA(k) + explicit polynomial expansion + K10."""
-    n = df.count()
-    pipe = Pipeline(stages=[PCA(k=k, inputCol=features, outputCol="__pca"),
-                            PolynomialExpansion(degree=degree, inputCol="__pca", outputCol="__poly"),
-                            OneVsRest(classifier=LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, standardization=False),
-                                      labelCol=label, featuresCol="__poly", parallelism=4)])
-    return pipe.fit(df)
+def tensor_sketch(df: DataFrame, features: str, degree: int = 2, offset: float = 1.0, n_features: int = 512, seed: int = 42,
+                  out: str = "sketch", scale: float = 1.0) -> DataFrame:
+    """Features whose products estimate the polynomial kernel (scale x.y + offset) ^ degree of all dimensions,
+    less the constant offset ^ degree (which a fit with an intercept does not see).
+
+    A count sketch of x for each factor; the product of their Fourier transforms is the transform of the
+    sketch of the tensor power (Pham and Pagh).  Unbiased; the standard error of one product is at most
+    about 2 ^ (degree / 2) |x'|^degree |y'|^degree / sqrt(n_features), with |x'|^2 = scale |x|^2 + offset.
+    The hashes are parameter-sized and drawn from the seed.
+    """
+    d = len(df.select(features).first()[0]) + 1
+    rng = np.random.default_rng(seed)
+    place = rng.integers(0, n_features, (degree, d))
+    sign = rng.choice([-1.0, 1.0], (degree, d))
+    to = np.zeros((degree, d, n_features))
+    for j in range(degree):
+        to[j, np.arange(d), place[j]] = sign[j]
+
+    def sketched(x: np.ndarray) -> np.ndarray:
+        return np.fft.irfft(np.prod([np.fft.rfft(x @ t, axis=1) for t in to], axis=0), n_features, axis=1)
+
+    constant = np.zeros((1, d))
+    constant[0, -1] = math.sqrt(offset)
+    base = sketched(constant)
+
+    @F.pandas_udf(T.ArrayType(T.DoubleType()))
+    def sketch(col: pd.Series) -> pd.Series:
+        x = np.vstack(col.to_numpy()) * math.sqrt(scale)
+        x = np.column_stack([x, np.full(len(x), math.sqrt(offset))])
+        z = sketched(x) - base
+        # rounding noise in cells that no term hits would be scaled up by fits that standardise
+        z[np.abs(z) < 1e-12 * (np.abs(z).max(1, keepdims=True) + offset ** degree)] = 0.0
+        return pd.Series(list(z))
+
+    return df.withColumn(out, array_to_vector(sketch(_array(df, features))))
+
+
+def svm_poly(df: DataFrame, label: str, features: str, degree: int = 2, c: float = 1.0, offset: float = 1.0,
+             n_features: int = 512, seed: int = 42, max_iter: int = 50, scale: float = 1.0):
+    """Polynomial-kernel SVM approximated by a tensor sketch + K10.  Returns (model, sketched df)."""
+    z = tensor_sketch(df, features, degree, offset, n_features, seed, scale=scale)
+    return svm_linear(z, label, "sketch", c, max_iter=max_iter), z
 
 
 def grid_search(df: DataFrame, label: str, features: str, grid: Mapping[str, Sequence[float]], folds: int = 5,
                 seed: int = 42, max_iter: int = 100, n_features: int = 256) -> DataFrame:
     """K-fold cross-validated accuracy and kappa of every grid point.
 
-    ``grid`` has "c" and, for the RBF kernel, "sigma": (c, accuracy, kappa) or (sigma, c, accuracy,
-    kappa).  Folds come from a seeded hash of the feature vector, so equal rows share a fold and the
+    ``grid`` has "c" and, for the RBF kernel, "sigma": ([sigma,] c, accuracy, kappa, iterations, converged),
+    the last two over all fits of the grid point.  Folds come from a seeded hash of the feature vector, so equal rows share a fold and the
     split does not depend on partitioning.
     """
-    arr = vector_to_array(features) if isinstance(df.schema[features].dataType, T.UserDefinedType) else F.col(features)
+    arr = _array(df, features)
     base = cut_lineage(df.select(q(label).cast("double").alias("label"), arr.alias("x"),
                                  F.pmod(F.xxhash64(F.lit(seed), arr), F.lit(folds)).alias("fold")), "grid")
     rows = []
@@ -357,9 +459,10 @@ def grid_search(df: DataFrame, label: str, features: str, grid: Mapping[str, Seq
             z = cut_lineage(fourier_features(z, "features", sigma, n_features, seed, "z").withColumn(
                 "z", vector_to_array("z")).select("label", "z", "fold"), "grid").withColumn("features", array_to_vector("z"))
         for c in grid["c"]:
-            votes = None
+            votes, ended = None, []
             for k in range(folds):
                 m = svm_linear(z.where(F.col("fold") != k), "label", "features", c, max_iter)
+                ended.append(fits_ended(m, max_iter))
                 part = m.transform(z.where(F.col("fold") == k)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
                 votes = part if votes is None else votes.unionByName(part)
             cells = {}
@@ -369,6 +472,7 @@ def grid_search(df: DataFrame, label: str, features: str, grid: Mapping[str, Seq
             hit = sum(v for (a, b), v in cells.items() if a == b) / total
             margin = lambda side, x: sum(v for key, v in cells.items() if key[side] == x)
             chance = sum(margin(0, x) * margin(1, x) for x in {a for a, _ in cells}) / total ** 2
-            rows.append(([float(sigma)] if sigma is not None else []) + [float(c), hit, (hit - chance) / (1 - chance) if chance < 1 else 0.0])
+            rows.append(([float(sigma)] if sigma is not None else []) + [float(c), hit, (hit - chance) / (1 - chance) if chance < 1 else 0.0,
+                                                                           max(t for t, _ in ended), all(e for _, e in ended)])
     lead = "sigma double, " if "sigma" in grid else ""
-    return _table(df.sparkSession, rows, f"{lead}c double, accuracy double, kappa double")
+    return _table(df.sparkSession, rows, f"{lead}c double, accuracy double, kappa double, iterations long, converged boolean")
