@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import UnsupportedOperationException
 from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -53,22 +54,25 @@ def ols(df: DataFrame, y: str, xs: Sequence[str], intercept: bool = True):
     """K1: least squares with the full summary.
 
     Returns (coefficients DataFrame, stats dict: n, r2, adj_r2, aic, rss, sigma2, model).
-    AIC as statsmodels: -2 log L + 2 k, k = number of coefficients.
+    AIC as statsmodels: -2 log L + 2 k, k = number of coefficients; -inf for an exact fit.  A label
+    without spread has an exact fit: its estimates have no standard errors, statistics or p-values (NULL).
     """
-    v = _vec(df, xs, y).cache()
+    v = cut_lineage(_vec(df, xs, y), "ols")
     m = LinearRegression(solver="normal", fitIntercept=intercept, regParam=0.0).fit(v)
     s = m.summary
     names = list(xs) + ([INTERCEPT] if intercept else [])
     est = list(m.coefficients) + ([m.intercept] if intercept else [])
-    rows = [(n, float(e), float(se), float(t), float(p))
-            for n, e, se, t, p in zip(names, est, s.coefficientStandardErrors, s.tValues, s.pValues)]
+    try:
+        tests = [[float(v) for v in part] for part in (s.coefficientStandardErrors, s.tValues, s.pValues)]
+    except UnsupportedOperationException:
+        tests = [[None] * len(names)] * 3
+    rows = [(n, float(e), *t) for n, e, *t in zip(names, est, *tests, strict=True)]
     n = s.numInstances
     rss = float(s.meanSquaredError) * n
     k = len(names)
-    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(rss / n) + 1)
+    llf = -n / 2.0 * (math.log(2 * math.pi) + math.log(rss / n) + 1) if rss > 0 else math.inf
     stats = dict(n=n, r2=float(s.r2), adj_r2=float(s.r2adj), rss=rss, sigma2=rss / max(n - k, 1),
                  aic=-2 * llf + 2 * k, model=m)
-    v.unpersist()
     return _table(df.sparkSession, rows, COEF_SCHEMA), stats
 
 

@@ -119,6 +119,27 @@ def approx_percentiles(df: DataFrame, c: str, probs: Sequence[float], accuracy:
         F.col("value").cast("double").alias("value"))
 
 
+def quantile_sketches(df: DataFrame, c: str, by: Sequence[str] = (), k: int = 4096) -> DataFrame:
+    """One mergeable KLL sketch per group, to be kept as data: (by..., sketch, n).
+
+    A sketch holds about 3 k values whatever the group's size; its normalised rank error is about
+    2.3 / k ** 0.95 (0.1 % for the default).  NULLs are not counted.
+    """
+    x = q(c).cast("double")
+    return df.where(x.isNotNull()).groupBy(*[q(b) for b in by]).agg(
+        F.kll_sketch_agg_double(x, F.lit(k)).alias("sketch"), F.count(F.lit(1)).alias("n"))
+
+
+def merged_quantiles(sketches: DataFrame, probs: Sequence[float], by: Sequence[str] = (), k: int = 4096) -> DataFrame:
+    """Quantiles of kept sketches merged within ``by``: (by..., prob, value); no pass over the values."""
+    arr = F.array(*[F.lit(float(p)) for p in probs])
+    merged = sketches.groupBy(*[q(b) for b in by]).agg(F.kll_merge_agg_double("sketch", F.lit(k)).alias("__s"), F.sum("n").alias("__n"))
+    merged = merged.where(F.col("__n") > 0)
+    rows = F.arrays_zip(arr.alias("prob"), F.kll_sketch_get_quantile_double("__s", arr).alias("value"))
+    return merged.select(*[q(b) for b in by], F.explode(rows).alias("__r")).select(
+        *[q(b) for b in by], F.col("__r.prob").alias("prob"), F.col("__r.value").alias("value"))
+
+
 def box_stats(df: DataFrame, c: str, by: Sequence[str] = (), rule: str = "hinge", coef: float = 1.5) -> DataFrame:
     """Box-plot numbers per group.
 

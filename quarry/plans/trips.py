@@ -9,6 +9,7 @@ from quarry import functions as QF
 from quarry import sources
 from quarry.operators import aggs, clean, profile
 from quarry.plans.tables import trips, with_ctes
+from quarry.session import cut_lineage
 
 # fixed values: speed limit of the rule set, in distance units per hour of the bound data
 SPEED_LIMIT = 0.05
@@ -85,6 +86,27 @@ SQL_APPROX_PERCENTILES = with_ctes(" UNION ALL ".join(
     "trips")
 
 
+PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
+RANK_ERROR = 0.002  # about twice the sketch's normalised rank error
+
+
+def q_sketch_percentiles(spark, sf):
+    """Sketches of the tips of each month kept as a table, merged for the year, and whether each
+    quantile's true rank lies within the sketch's error."""
+    t = trips(spark, sf)
+    kept = cut_lineage(profile.quantile_sketches(t, "tip", ["mnth"]), "sketches")
+    found = profile.merged_quantiles(kept, PROBS)
+    values = [found.where(F.col("prob") == p).select("value").scalar() for p in PROBS]
+    n, tip = F.count("tip"), F.col("tip")
+    row = t.agg(F.array(*[F.struct(F.lit(p).alias("prob"), (F.count_if(tip < v) / n).alias("low"), (F.count_if(tip <= v) / n).alias("high"))
+                          for p, v in zip(PROBS, values, strict=True)]).alias("ranks"))
+    within = (F.col("low") - RANK_ERROR <= F.col("prob")) & (F.col("prob") <= F.col("high") + RANK_ERROR)
+    return row.select(F.inline("ranks")).select("prob", within.alias("within"))
+
+
+SQL_SKETCH_PERCENTILES = f"SELECT CAST(unnest({list(PROBS)}) AS DOUBLE) AS prob, true AS within"
+
+
 def q_share_where(spark, sf):
     """share of trips with an extra levied (> 0, Q9), totals from the data."""
     return aggs.share_where(trips(spark, sf), F.col("extra") > 0)
@@ -234,14 +256,14 @@ def study(spark, sf, root: str | None = None) -> dict:
 
 QUERIES = {
     "rule_violations": q_rule_violations, "cleanse": q_cleanse, "mean_by": q_mean_by,
-    "approx_percentiles": q_approx_percentiles, "share_where": q_share_where, "corr": q_corr,
+    "approx_percentiles": q_approx_percentiles, "sketch_percentiles": q_sketch_percentiles, "share_where": q_share_where, "corr": q_corr,
     "compare_segments": q_compare_segments, "bucket_share": q_bucket_share, "rate": q_rate,
     "elapsed": q_elapsed, "date_parts_seen": q_date_parts_seen, "set_where": q_set_where,
     "read_partitioned": q_read_partitioned, "read_staged": q_read_staged,
 }
 ORACLE = {
     "rule_violations": SQL_RULE_VIOLATIONS, "cleanse": SQL_CLEANSE, "mean_by": SQL_MEAN_BY,
-    "approx_percentiles": SQL_APPROX_PERCENTILES, "share_where": SQL_SHARE_WHERE, "corr": SQL_CORR,
+    "approx_percentiles": SQL_APPROX_PERCENTILES, "sketch_percentiles": SQL_SKETCH_PERCENTILES, "share_where": SQL_SHARE_WHERE, "corr": SQL_CORR,
     "compare_segments": SQL_COMPARE_SEGMENTS, "bucket_share": SQL_BUCKET_SHARE, "rate": SQL_RATE,
     "elapsed": SQL_ELAPSED, "date_parts_seen": SQL_DATE_PARTS_SEEN, "set_where": SQL_SET_WHERE,
     "read_partitioned": SQL_READ_PARTITIONED, "read_staged": SQL_READ_STAGED,

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
@@ -116,3 +118,12 @@ def test_residual_histogram(spark):
     r = models.residuals(st["model"], df, "y", ["x1", "x2"], ["id"])
     h = aggs.histogram(r, "residual", 5).collect()
     assert sum(x.n for x in h) == 50 and max(x.bin for x in h) == 5
+
+
+def test_least_squares_of_a_label_without_spread(spark):
+    df = spark.createDataFrame([(float(i), float(i % 3), 0.0, 4.0) for i in range(20)], "a double, b double, zero double, four double")
+    for y, want in (("zero", 0.0), ("four", 4.0)):
+        coefs, stats = models.ols(df, y, ["a", "b"])
+        got = {r["term"]: r for r in coefs.collect()}
+        assert abs(got[models.INTERCEPT]["estimate"] - want) < 1e-9 and abs(got["a"]["estimate"]) < 1e-9
+        assert got["a"]["p_value"] is None and stats["n"] == 20 and stats["rss"] < 1e-12 and stats["aic"] == -math.inf

@@ -95,3 +95,19 @@ def test_bisection_counts_cuts_in_generated_code(spark):
             assert all(r["n"] == sum(c <= r["v"] if inclusive else c < r["v"] for c in cuts[:size]) for r in got if r["v"] is not None)
     sweep = evaluate.cutoff_sweep(df.select("v", F.lit(1).alias("y")), "y", "v", cuts)
     assert "lambda" not in plan(sweep).lower() and "filter(array" not in plan(sweep).lower()
+
+
+def test_sketches_kept_as_data_and_merged(spark):
+    r = random.Random(11)
+    rows = [(i % 7, r.gauss(0, 1) if i % 5 else 0.0) for i in range(20_000)] + [(1, None)]
+    df = spark.createDataFrame(rows, "g int, x double").repartition(6)
+    kept = profile.quantile_sketches(df, "x", ["g"])
+    assert kept.count() == 7 and kept.agg(F.sum("n")).first()[0] == 20_000
+    values = sorted(v for _, v in rows if v is not None)
+    probs = [0.0, 0.1, 0.5, 0.99, 1.0]
+    for found in (profile.merged_quantiles(kept, probs).collect(), profile.merged_quantiles(profile.quantile_sketches(df, "x"), probs).collect()):
+        assert [x["prob"] for x in found] == probs
+        for x in found:
+            low, high = sum(v < x["value"] for v in values) / 20_000, sum(v <= x["value"] for v in values) / 20_000
+            assert low - 0.002 <= x["prob"] <= high + 0.002
+    assert profile.merged_quantiles(profile.quantile_sketches(df.limit(0), "x"), probs).count() == 0
