@@ -261,6 +261,8 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c))
     p = pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach("na", "nb", "pa", "pb", least)).select("a", "b")
     p = written(p, "pairs")
+    if p.isEmpty():
+        return p
     used = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = written(rows_of(docs, nodes.join(used, "node").select("node", "h1", "h2"), id_col, text_col)
                     .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "pair-texts")
@@ -374,8 +376,8 @@ def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: Dat
     Texts in buckets that still hold several components get finer buckets, one for each of their
     rarest shingles; texts that reach ``least`` share one.  Each round elects hubs among a bucket's
     members; every member of another component meets them unless a bound excludes the pair or the
-    pair was compared before.  Hubs leave their bucket, and their number doubles each round, so a
-    bucket of m takes about log2(m) rounds at most.
+    pair was compared before.  Hubs leave their bucket, and there are eight times as many each round
+    (from 16), so a bucket of m takes about log8(m) rounds at most.
     """
     roots = written(components(links), "roots")
     # the least and greatest node of a bucket have met all its members
@@ -386,7 +388,7 @@ def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: Dat
     discard(texts)
     seen = None
     facts = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias(f"{to}_n"), F.col("parity").alias(f"{to}_parity"))
-    hubs_a_bucket, turn = 1, 0
+    hubs_a_bucket, turn = 16, 0
     while True:
         last, rest = rest, written(mixed(rest, roots), "rest")
         discard(last)
@@ -399,14 +401,14 @@ def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: Dat
         met = met.join(facts("node"), "node").join(facts("hub"), "hub")
         pairs = met.where(may_reach("node_n", "hub_n", "node_parity", "hub_parity", least)).select(*ordered("node", "hub")).distinct()
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "met")
-        found = check(pairs)
+        found = pairs if pairs.isEmpty() else check(pairs)
         seen = pairs if seen is None else seen.unionByName(pairs)
-        rest = written(rest.drop("root").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "rest")
-        discard(hubs)
+        last, rest = rest, written(rest.drop("root").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "rest")
+        discard(hubs, last)
         if not found.isEmpty():
             roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
                                        .unionByName(found)), "roots")
-        hubs_a_bucket, turn = hubs_a_bucket * (2 if turn else 1), turn + 1
+        hubs_a_bucket, turn = hubs_a_bucket * 8, turn + 1
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:
