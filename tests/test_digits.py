@@ -10,7 +10,7 @@ from quarry.operators import models
 from quarry.plans import digits
 
 
-OPERATORS = {"svm_linear": "svm_one_vs_one", "svm_rbf": "svm_rbf", "svm_poly": "svm_poly", "grid_search": "grid_search"}
+OPERATORS = {"svm_linear": "svm_linear", "svm_rbf": "svm_rbf", "svm_poly": "svm_poly", "grid_search": "grid_search"}
 
 
 def test_no_query_cuts_its_fits(monkeypatch):
