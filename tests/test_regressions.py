@@ -202,7 +202,8 @@ def test_polynomial_svm_split_and_assemble(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=(200, 3))
     d = spark.createDataFrame([(i, float(a @ a > 2.4), a.tolist()) for i, a in enumerate(x)], "id long, y double, x array<double>").withColumn("f", array_to_vector("x"))
-    out = models.svm_poly(d, "y", "f", degree=2, c=100.0, k=3).transform(d).collect()
+    m, z = models.svm_poly(d, "y", "f", degree=2, c=100.0)
+    out = m.transform(z).collect()
     assert np.mean([r["y"] == r["prediction"] for r in out]) > 0.9
     tr, te = features.split_random(spark.range(1000), ["id"], 0.7, seed=3)
     a, b = ({r["id"] for r in p.collect()} for p in (tr, te))
