@@ -11,12 +11,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import UnsupportedOperationException
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -24,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.operators.blocks import gram_blocks, logit_fits
+from quarry.operators.blocks import Hinge, gram_blocks, hinge_fits, logit_fits, packed, packed_block
 from quarry.operators.order import q
 from quarry.session import cut_lineage
 
@@ -297,17 +299,59 @@ def prune_features(df: DataFrame, y: str, xs: Sequence[str], max_vif: float = 2.
 # --------------------------------------------------------------------------- K10 - K13
 
 
-def svm_linear(df: DataFrame, label: str, features: str, c: float = 1.0, max_iter: int = 50, parallelism: int = 4):
-    """Linear multi-class SVM, one-vs-rest LinearSVC, penalty C -> regParam 1 / (C n)."""
-    n = df.count()
-    svc = LinearSVC(regParam=1.0 / (c * n), maxIter=max_iter, featuresCol=features, standardization=False)
-    return OneVsRest(classifier=svc, labelCol=label, featuresCol=features, parallelism=parallelism).fit(df)
+@dataclass
+class OneVsAll:
+    """A linear machine for every label against all others; the label of the highest margin wins, of equal ones the least."""
+
+    labels: list[float]
+    weights: np.ndarray  # labels x dimensions
+    bias: np.ndarray
+    iterations: list[int]
+    features: str
+
+    def transform(self, df: DataFrame, out: str = "prediction") -> DataFrame:
+        """``df`` with ``out``; NULL for rows without features."""
+        labels, weights, bias = np.array(self.labels), self.weights, self.bias
+
+        @F.pandas_udf(T.DoubleType())
+        def highest(col: pd.Series) -> pd.Series:
+            found = pd.Series([None] * len(col), dtype="float64")
+            there = col.notna().to_numpy()
+            if there.any() and len(labels):
+                found[there] = labels[(np.vstack(col[there].to_numpy()) @ weights.T + bias).argmax(1)]
+            return found
+
+        return df.withColumn(out, highest(_array(df, self.features)))
+
+
+def _one_vs_all(rows: DataFrame, c: Sequence[float], max_iter: int, folds: Sequence[int | None] = (None,)) -> dict:
+    """(c, fold left out) -> machines of the labels, all fitted together on ``packed`` rows."""
+    counts = rows.groupBy("y", "fold").agg(F.count(F.lit(1)).alias("n")).collect()  # labels x folds
+    fits = {}
+    for k in folds:
+        kept = [r for r in counts if r["fold"] != k]
+        n = sum(r["n"] for r in kept)
+        labels = sorted({r["y"] for r in kept if r["y"] is not None})
+        for v in c:
+            fits[v, k] = [Hinge(y, k, 1.0 / (v * n)) for y in labels]
+    hinge_fits(rows, [f for group in fits.values() for f in group], max_iter)
+    return fits
+
+
+def svm_linear(df: DataFrame, label: str, features: str, c: float = 1.0, max_iter: int = 50) -> OneVsAll:
+    """Linear multi-class SVM, one-vs-rest, penalty C -> regParam 1 / (C n).
+
+    The labels' machines share every pass over one written table (``blocks.hinge_fits``).
+    """
+    rows = packed(df.select(q(label).alias("y"), _array(df, features).alias("x")), "y", "x")
+    fits, = _one_vs_all(rows, [c], max_iter).values()
+    return OneVsAll([f.positive for f in fits], np.array([f.weights for f in fits]), np.array([f.bias for f in fits]),
+                    [f.iterations for f in fits], features)
 
 
 def fits_ended(model, max_iter: int) -> tuple[int, bool]:
     """Most iterations of a one-vs-rest model's fits, and whether every fit ended before ``max_iter``."""
-    turns = [m.summary().totalIterations for m in model.models if m.hasSummary]
-    return max(turns, default=0), all(t < max_iter for t in turns)
+    return max(model.iterations, default=0), all(t < max_iter for t in model.iterations)
 
 
 @dataclass
@@ -355,7 +399,6 @@ def svm_one_vs_one(df: DataFrame, label: str, features: str, c: float = 1.0, max
     The pairs' fits are independent jobs over one written table, ``parallelism`` at a time.  Rows without
     a label or features are left out; one label alone gives a model that always votes for it.
     """
-    from concurrent.futures import ThreadPoolExecutor
     base = cut_lineage(df.where(q(label).isNotNull() & q(features).isNotNull())
                        .select(q(label).cast("double").alias("y"), q(features).alias("features")), "pairs")
     counts = {r["y"]: r["n"] for r in base.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a label
@@ -454,29 +497,53 @@ def grid_search(df: DataFrame, label: str, features: str, grid: Mapping[str, Seq
     split does not depend on partitioning.
     """
     arr = _array(df, features)
-    base = cut_lineage(df.select(q(label).cast("double").alias("label"), arr.alias("x"),
-                                 F.pmod(F.xxhash64(F.lit(seed), arr), F.lit(folds)).alias("fold")), "grid")
-    rows = []
-    for sigma in grid.get("sigma", [None]):
-        z = base.withColumn("features", array_to_vector("x"))
-        if sigma is not None:
-            z = cut_lineage(fourier_features(z, "features", sigma, n_features, seed, "z").withColumn(
-                "z", vector_to_array("z")).select("label", "z", "fold"), "grid").withColumn("features", array_to_vector("z"))
-        for c in grid["c"]:
-            votes, ended = None, []
-            for k in range(folds):
-                m = svm_linear(z.where(F.col("fold") != k), "label", "features", c, max_iter)
-                ended.append(fits_ended(m, max_iter))
-                part = m.transform(z.where(F.col("fold") == k)).groupBy("label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-                votes = part if votes is None else votes.unionByName(part)
-            cells = {}
-            for r in votes.groupBy("label", "prediction").agg(F.sum("n").alias("n")).collect():  # classes x classes
-                cells[r["label"], r["prediction"]] = float(r["n"])
-            total = sum(cells.values())
-            hit = sum(v for (a, b), v in cells.items() if a == b) / total
-            margin = lambda side, x: sum(v for key, v in cells.items() if key[side] == x)
-            chance = sum(margin(0, x) * margin(1, x) for x in {a for a, _ in cells}) / total ** 2
-            rows.append(([float(sigma)] if sigma is not None else []) + [float(c), hit, (hit - chance) / (1 - chance) if chance < 1 else 0.0,
-                                                                           max(t for t, _ in ended), all(e for _, e in ended)])
+    base = df.select(q(label).cast("double").alias("label"), arr.alias("x"), F.pmod(F.xxhash64(F.lit(seed), arr), F.lit(folds)).alias("fold"))
+
+    def searched(sigma) -> list:
+        z = base if sigma is None else fourier_features(base, "x", sigma, n_features, seed, "z").select("label", vector_to_array("z").alias("x"), "fold")
+        rows = packed(z, "label", "x", "fold")
+        fits = _one_vs_all(rows, grid["c"], max_iter, range(folds))
+        cells = _held_out(rows, {(i, k): fits[c, k] for i, c in enumerate(grid["c"]) for k in range(folds)})
+        return [([float(sigma)] if sigma is not None else []) + _grid_row(
+            float(c), cells[i], [f.iterations for k in range(folds) for f in fits[c, k]], max_iter) for i, c in enumerate(grid["c"])]
+
+    sigmas = list(grid.get("sigma", [None]))
+    with ThreadPoolExecutor(max_workers=min(4, max(1, len(sigmas)))) as pool:  # the searches are independent jobs
+        rows = [r for found in pool.map(searched, sigmas) for r in found]
     lead = "sigma double, " if "sigma" in grid else ""
     return _table(df.sparkSession, rows, f"{lead}c double, accuracy double, kappa double, iterations long, converged boolean")
+
+
+def _held_out(rows: DataFrame, machines: Mapping) -> dict:
+    """Grid point -> (label, prediction) -> rows of all folds, each predicted by the machines that did not see it.
+
+    ``machines`` maps (grid point, fold) to fits.
+    """
+    tables = {key: (np.array([f.positive for f in fits]), np.array([f.weights for f in fits]).T, np.array([f.bias for f in fits]))
+              for key, fits in machines.items() if fits}
+
+    def body(batches):
+        for b in batches:
+            x, y, fold = packed_block(b)
+            for (point, k), (labels, weights, bias) in tables.items():
+                mine = fold == k
+                won = labels[(x[mine] @ weights + bias).argmax(1)]
+                pairs = pd.DataFrame({"label": y[mine], "prediction": won}).groupby(["label", "prediction"], dropna=False).size().reset_index(name="n")
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([point] * len(pairs), pa.int32()), pa.array(pairs["label"], pa.float64(), from_pandas=True),
+                     pa.array(pairs["prediction"], pa.float64()), pa.array(pairs["n"], pa.int64())], ["point", "label", "prediction", "n"])
+
+    votes = rows.mapInArrow(body, "point int, label double, prediction double, n long")
+    cells: dict = {point: {} for point, _ in machines}
+    for r in votes.groupBy("point", "label", "prediction").agg(F.sum("n").alias("n")).collect():  # grid points x classes x classes
+        cells[r["point"]][r["label"], r["prediction"]] = float(r["n"])
+    return cells
+
+
+def _grid_row(c: float, cells: Mapping, turns: Sequence[int], max_iter: int) -> list:
+    """c, accuracy, kappa, most iterations, whether all fits ended."""
+    total = sum(cells.values())
+    hit = sum(v for (a, b), v in cells.items() if a == b) / total
+    margin = lambda side, x: sum(v for key, v in cells.items() if key[side] == x)
+    chance = sum(margin(0, x) * margin(1, x) for x in {a for a, _ in cells}) / total ** 2
+    return [c, hit, (hit - chance) / (1 - chance) if chance < 1 else 0.0, max(turns), all(t < max_iter for t in turns)]

@@ -86,3 +86,32 @@ def test_step_path_is_that_of_single_fits(spark):
         current = [c for c in current if c != s["feature"]] if s["action"] == "drop" else [*current, s["feature"]]
         assert abs(models.logit(df, "y", current)[1]["aic"] - s["aic"]) < 1e-4
     assert {"a", "b"} <= set(current) or {"d", "b"} <= set(current)
+
+
+def test_machines_of_all_labels_share_their_passes(spark, monkeypatch):
+    from pyspark.ml.classification import LinearSVC
+    from pyspark.ml.functions import array_to_vector
+    from pyspark.sql import functions as F
+    r = np.random.default_rng(8)
+    rows = [(float(i % 6) if i % 17 else None, r.normal(size=4).tolist() + [3.0]) for i in range(240)]  # the last column has no spread
+    df = spark.createDataFrame(rows, "label double, f array<double>").repartition(3).withColumn("features", array_to_vector("f"))
+    passes, real = [], blocks.summed_blocks
+    monkeypatch.setattr(blocks, "summed_blocks", lambda *a: passes.append(1) or real(*a))
+    m = models.svm_linear(df, "label", "features", c=2.0, max_iter=6)
+    assert m.labels == [0.0, 1.0, 2.0, 3.0, 4.0, 5.0] and max(m.iterations) <= 7
+    assert len(passes) <= 2 + 1 + 6 * 10  # the longest fit's, not six fits' one after another
+    both = df.withColumn("label", F.coalesce((F.col("label") == 2).cast("double"), F.lit(0.0))).coalesce(1).cache()
+    one = LinearSVC(regParam=1 / (2.0 * 240), maxIter=6, standardization=False).fit(both)
+    assert np.allclose(one.coefficients.toArray(), m.weights[2], atol=1e-8) and abs(one.intercept - m.bias[2]) < 1e-8
+    assert one.summary().totalIterations == m.iterations[2] and m.weights[2][4] == 0
+
+
+def test_sums_of_many_tasks_reach_the_driver_as_one(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(500).select((F.col("id") % 3).cast("double").alias("y"), F.array(F.col("id").cast("double"), F.lit(1.0)).alias("x"))
+    rows = blocks.packed(df.repartition(70), "y", "x")
+
+    def step(total, block):
+        total[:, 0] += block[0].sum(0)
+
+    assert blocks.summed_blocks(rows.repartition(70), 70, 1, 2, step)[:, 0].tolist() == [500 * 499 / 2, 500.0]
