@@ -9,8 +9,9 @@ Equal texts are one node from the start.  Inside a bucket no pairs are expanded:
 the bucket's least and greatest member, first the one it shares most buckets with, then those that
 no chain of links joins to it yet.  Texts of a bucket that then still holds several components are
 dealt to finer buckets, one for each of their rarest shingles: texts similar enough share one, texts
-that only share a common passage do not.  Those buckets get new hubs, round after round, until every
-two members are linked by a chain, verified, or excluded by their sizes or shingle parities.
+that only share a common passage do not.  There the members are compared by sizes and shingle parities
+where they are grouped, and only pairs that these bounds allow are verified: first each member's
+nearest, then all that lie in different components still.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ PICK = 4
 SLOTS = 1 << 20
 KEPT = 1 << 20  # powers that a worker keeps from text to text
 PARITY = 16  # longs of a text's parity sketch
+TILE = 1024  # members of a bucket that one task compares with as many others
 # A character that str.split() takes for part of a word.
 NO_SPACE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -329,14 +331,14 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Members (key, node) with their root, of the buckets that hold several components."""
+    """Members of the buckets that hold several components, with their root and the bucket's number of members."""
     j = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    several = j.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"))
-    return j.join(several.where("__lo < __hi").select("key"), "key").select("key", "node", "root")
+    several = j.groupBy("key").agg(F.min("root").alias("__lo"), F.max("root").alias("__hi"), F.count(F.lit(1)).alias("members"))
+    return j.join(several.where("__lo < __hi").select("key", "members"), "key").select(*buckets.columns, "root", "members")
 
 
 def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
-    """key, node: the rarest shingles of each text (node, text), as many as make the comparison exact.
+    """key, node, n, parity: the rarest shingles of each text (node, text), as many as make the comparison exact.
 
     Two texts of n and m shingles that reach ``least`` share least * max(n, m) of them or more, so under
     any one order of all shingles the first n - ceil(least * n) + 1 of one and of the other have one in
@@ -361,12 +363,79 @@ def rare_shingles(texts: DataFrame, least: float) -> DataFrame:
         for b in batches:
             for at in range(b.num_rows):
                 h = shingles(b.column("text")[at].as_py())
+                n, odd = len(h), parities(h).tobytes()
                 first = len(h) - math.ceil(least * len(h) - 1e-9) + 1
                 h = h[np.lexsort((h, shared.value[(h % np.uint64(SLOTS)).astype(np.int64)]))][:first]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array([b.column("node")[at].as_py()] * len(h), pa.int64())],
-                                                 ["key", "node"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), *(pa.array([v] * len(h), pa.int64()) for v in (b.column("node")[at].as_py(), n)),
+                     pa.array([odd] * len(h), pa.binary())], ["key", "node", "n", "parity"])
+
+    return texts.select("node", "text").mapInArrow(body, "key long, node long, n long, parity binary")
+
+
+def may_meet(root: np.ndarray, n: np.ndarray, odd: np.ndarray, x: np.ndarray, y: np.ndarray, least: float):
+    """Places i in ``x`` and j in ``y`` of members of different components that ``may_reach`` allows, and the share of
+    their shingles that surely differ; a piece at a time."""
+    most = (1 - least) / (1 + least)
+    rows = max(1, (1 << 16) // max(1, len(y)))
+    for at in range(0, len(x), rows):
+        part = x[at:at + rows]
+        small, large = np.minimum(n[part, None], n[y]), np.maximum(n[part, None], n[y])
+        i, j = np.nonzero((root[part, None] != root[y]) & (small >= least * large - 1e-6))
+        i, j = part[i], y[j]
+        differ = np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64)
+        both = n[i] + n[j]
+        kept = differ <= both * most + 1e-6
+        yield i[kept], j[kept], differ[kept] / both[kept]
+
+
+def bucket_pairs(rest: DataFrame, least: float, nearest: bool) -> DataFrame:
+    """Pairs a < b of members of one bucket (key, node, n, parity, root, members) in different components that ``may_reach`` allows.
+
+    ``nearest`` gives for each member only the one whose parities differ least, of those it meets in one
+    task.  Members are compared where they are grouped, so pairs that a bound excludes are never rows.
+    Buckets of more than TILE members are dealt to tiles, and every two tiles meet in a group of their own.
+    """
+    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
+    t = rest.withColumn("tiles", tiles).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    t = t.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t = t.select("key", F.least("tile", "other").alias("lo"), F.greatest("tile", "other").alias("hi"), "tile", "node", "n", "root", "parity")
+    groups = t.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+
+    def compared(lo, hi, tile, node, n, root, odd):
+        x, y = np.flatnonzero(tile == lo[0]), np.flatnonzero(tile == hi[0])
+        found = [np.concatenate(p) for p in zip(*may_meet(root, n, odd, x, y, least), strict=True)] if len(x) and len(y) else []
+        if not found or not len(found[0]):
+            return None
+        i, j, differ = found
+        if nearest:
+            order = np.argsort(differ, kind="stable")
+            best = np.unique(np.concatenate([order[np.unique(v[order], return_index=True)[1]] for v in (i, j)]))
+            i, j = i[best], j[best]
+        pairs = np.unique(np.column_stack([np.minimum(node[i], node[j]), np.maximum(node[i], node[j])]), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    def columns(t: pa.Table):
+        odd = np.frombuffer(b"".join(t.column("parity").to_pylist()), np.uint64).reshape(t.num_rows, PARITY)
+        return [t.column("key").to_numpy(), *(t.column(c).to_numpy() for c in ("lo", "hi", "tile", "node", "n", "root")), odd]
 
-    return texts.select("node", "text").mapInArrow(body, "key long, node long")
+    def body(batches: Iterator[pa.RecordBatch]):
+        held: list = []  # the rows of the group that is still open: at most two tiles
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([*held, b])
+            key, *rest = columns(t)
+            new = np.flatnonzero((key[1:] != key[:-1]) | (rest[0][1:] != rest[0][:-1]) | (rest[1][1:] != rest[1][:-1])) + 1
+            starts = np.concatenate([[0], new]).tolist()
+            for low, high in zip(starts, starts[1:], strict=False):
+                if (found := compared(*(v[low:high] for v in rest))) is not None:
+                    yield found
+            held = t.slice(starts[-1]).combine_chunks().to_batches()
+        if held and (found := compared(*columns(pa.Table.from_batches(held))[1:])) is not None:
+            yield found
+
+    return groups.mapInArrow(body, "a long, b long").distinct()
 
 
 def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str, check,
@@ -374,41 +443,28 @@ def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: Dat
     """node, root of the components once no two members of a bucket (key, node, lo, hi) are left to compare.
 
     Texts in buckets that still hold several components get finer buckets, one for each of their
-    rarest shingles; texts that reach ``least`` share one.  Each round elects hubs among a bucket's
-    members; every member of another component meets them unless a bound excludes the pair or the
-    pair was compared before.  Hubs leave their bucket, and there are eight times as many each round
-    (from 16), so a bucket of m takes about log8(m) rounds at most.
+    rarest shingles; texts that reach ``least`` share one.  First each member meets the one of each
+    bucket that its parities are nearest to, which joins most of what belongs together; then every
+    two members of different components meet unless a bound excludes them or they met before.
     """
     roots = written(components(links), "roots")
     # the least and greatest node of a bucket have met all its members
     still = mixed(members.where("node != lo and node != hi").select("key", "node"), roots).select("node").distinct()
     texts = written(rows_of(docs, nodes.join(still, "node").select("node", "h1", "h2"), id_col, text_col)
                     .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "open-texts")
-    rest = written(mixed(rare_shingles(texts, least), roots).drop("root"), "rest")
+    rare = written(rare_shingles(texts, least), "rare")
     discard(texts)
     seen = None
-    facts = lambda to: nodes.select(F.col("node").alias(to), F.col("n").alias(f"{to}_n"), F.col("parity").alias(f"{to}_parity"))
-    hubs_a_bucket, turn = 16, 0
-    while True:
-        last, rest = rest, written(mixed(rest, roots), "rest")
-        discard(last)
-        if rest.isEmpty():
-            return roots
-        slot = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(hubs_a_bucket))
-        hubs = rest.groupBy("key", slot.alias("slot")).agg(F.max(F.struct("node", "root")).alias("h"))
-        hubs = written(hubs.select("key", F.col("h.node").alias("hub"), F.col("h.root").alias("hub_root")), "hubs")
-        met = rest.join(hubs, "key").where("root != hub_root").select("node", "hub").distinct()
-        met = met.join(facts("node"), "node").join(facts("hub"), "hub")
-        pairs = met.where(may_reach("node_n", "hub_n", "node_parity", "hub_parity", least)).select(*ordered("node", "hub")).distinct()
+    for nearest in (True, False):
+        pairs = bucket_pairs(mixed(rare, roots), least, nearest)
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "met")
         found = pairs if pairs.isEmpty() else check(pairs)
-        seen = pairs if seen is None else seen.unionByName(pairs)
-        last, rest = rest, written(rest.drop("root").join(hubs.select("key", F.col("hub").alias("node")), ["key", "node"], "left_anti"), "rest")
-        discard(hubs, last)
         if not found.isEmpty():
             roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
                                        .unionByName(found)), "roots")
-        hubs_a_bucket, turn = hubs_a_bucket * 8, turn + 1
+        seen = pairs
+    discard(rare)
+    return roots
 
 
 def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8) -> DataFrame:

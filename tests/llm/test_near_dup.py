@@ -207,3 +207,24 @@ def test_rare_shingles_meet(spark):
     for x in N.rare_shingles(spark.createDataFrame(rows, "node long, text string"), 0.8).collect():
         keys.setdefault(x["node"], set()).add(x["key"])
     assert len(near) > 20 and all(keys[a] & keys[b] for a, b in near)
+
+
+@pytest.mark.parametrize("tile", [3, 1024])
+def test_members_of_a_bucket_meet_where_they_are_grouped(spark, monkeypatch, tile):
+    """Only pairs that the bounds allow are rows, whatever the tiles; each member's nearest comes first."""
+    monkeypatch.setattr(N, "TILE", tile)
+    r = random.Random(11)
+    base = [[f"w{r.randrange(10 ** 6)}" for _ in range(200)] for _ in range(6)]
+    texts = [" ".join(w if r.random() < 0.993 else f"v{r.randrange(10 ** 6)}" for w in base[i % 6]) for i in range(40)]
+    h = [N.shingles(t) for t in texts]
+    odd = [N.parities(x) for x in h]
+    rows = [(k, i, len(h[i]), bytearray(odd[i].tobytes()), i if i % 5 else 0, 40) for k in (1, 2) for i in range(40)]
+    rest = spark.createDataFrame(rows, "key long, node long, n long, parity binary, root long, members long").repartition(7)
+    most = 0.2 / 1.8
+    may = {(i, j) for i in range(40) for j in range(i + 1, 40) if (i % 5 or j % 5)
+           and min(len(h[i]), len(h[j])) >= 0.8 * max(len(h[i]), len(h[j])) - 1e-6
+           and int(np.bitwise_count(odd[i] ^ odd[j]).sum()) <= (len(h[i]) + len(h[j])) * most + 1e-6}
+    got = [(x["a"], x["b"]) for x in N.bucket_pairs(rest, 0.8, False).collect()]
+    assert 20 < len(may) < 300 and len(got) == len(may) and set(got) == may
+    near = {(x["a"], x["b"]) for x in N.bucket_pairs(rest, 0.8, True).collect()}
+    assert near <= may and {i for p in near for i in p} == {i for p in may for i in p}
