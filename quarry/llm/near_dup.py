@@ -34,6 +34,7 @@ SLOTS = 1 << 20
 KEPT = 1 << 20  # powers that a worker keeps from text to text
 PARITY = 16  # longs of a text's parity sketch
 TILE = 1024  # members of a bucket that one task compares with as many others
+EDGES = 1 << 20  # links that a task joins to components at once
 # A character that str.split() takes for part of a word.
 NO_SPACE = r"[^\x09-\x0d\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -213,9 +214,7 @@ def ordered(x: str, y: str) -> list[Column]:
 
 def first_pairs(members: DataFrame) -> DataFrame:
     """One pair for each member: with the hub that it meets in most buckets (the least such)."""
-    met = members.where("node != lo").groupBy("node", "lo").agg(F.count(F.lit(1)).alias("n"))
-    best = F.row_number().over(Window.partitionBy("node").orderBy(F.col("n").desc(), "lo")) == 1
-    return met.withColumn("best", best).where("best").select(*ordered("node", "lo")).distinct()
+    return members.where("node != lo").groupBy("node").agg(F.mode("lo", True).alias("a")).select("a", F.col("node").alias("b"))
 
 
 def hub_pairs(members: DataFrame, roots: DataFrame) -> DataFrame:
@@ -241,34 +240,41 @@ def rows_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> D
     exact.  Joining by id and text keeps the copies of a text apart.
     """
     a, b = identity(F.coalesce(quoted(text_col), F.lit("")))
-    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS))
+    slot = lambda *c: F.pmod(F.xxhash64(*c), F.lit(SLOTS)).alias("__slot")
+    on = ["__name", "__h1", "__h2"]
+    # a row answers to its id and to the hash of its text
     t = docs.select("*", a.alias("__h1"), b.alias("__h2"), quoted(id_col).cast("long").alias("__id"))
-    t = t.withColumn("__slot", slot("__id", "__h1")).withColumn("__slot2", slot("__h1"))
-    by_hash, by_id = wanted.where("node = h1"), wanted.where("node != h1")
-    pairs = ((by_id, ["node", "h1", "h2"], slot("node", "h1"), "__slot", ["__id", "__h1", "__h2"]),
-             (by_hash, ["h1", "h2"], slot("h1"), "__slot2", ["__h1", "__h2"]))
-    out = None
-    for nodes, keys, place, mine, on in pairs:
-        slots = F.broadcast(nodes.select(place.alias(mine)).distinct())  # at most SLOTS rows
-        n = nodes.select(F.col("node").alias("__node"), *[F.col(k).alias(c) for k, c in zip(keys, on, strict=True)])
-        found = t.join(slots, mine, "left_semi").join(n, on)
-        one = F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1)))
-        found = found.withColumn("__row", one).where("__row = 1").select(*[quoted(c) for c in docs.columns], "__node")
-        out = found if out is None else out.unionByName(found)
-    return out
+    t = t.select("*", F.explode(F.array("__id", "__h1")).alias("__name")).select("*", slot("__name", "__h1"))
+    slots = F.broadcast(wanted.select(slot("node", "h1")).distinct())  # at most SLOTS rows
+    n = wanted.select(*[F.col(k).alias(c) for k, c in zip(["node", "h1", "h2"], on, strict=True)], F.col("node").alias("__node"))
+    one = F.row_number().over(Window.partitionBy(*on).orderBy(F.lit(1)))
+    found = t.join(slots, "__slot", "left_semi").join(n, on).withColumn("__row", one)
+    return found.where("__row = 1").select(*[quoted(c) for c in docs.columns], "__node")
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, name: str) -> DataFrame:
+    """node, text of the wanted nodes (node, h1, h2)."""
+    found = rows_of(docs, wanted, id_col, text_col)
+    return written(found.select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), name)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
-    """The pairs whose aligned similarity reaches ``least``."""
-    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c))
-    p = pairs.join(side("a"), "a").join(side("b"), "b").where(may_reach("na", "nb", "pa", "pb", least)).select("a", "b")
-    p = written(p, "pairs")
+    """The pairs whose aligned similarity reaches ``least``; texts are read for those that the bounds allow only."""
+    side = lambda c: nodes.select(F.col("node").alias(c), F.col("n").alias("n" + c), F.col("parity").alias("p" + c),
+                                  F.struct("node", "h1", "h2").alias("of" + c))
+    p = pairs.join(side("b"), "b").join(side("a"), "a").where(may_reach("na", "nb", "pa", "pb", least))
+    p = written(p.select("a", "b", "ofa", "ofb"), "pairs")
     if p.isEmpty():
-        return p
-    used = p.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = written(rows_of(docs, nodes.join(used, "node").select("node", "h1", "h2"), id_col, text_col)
-                    .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "pair-texts")
-    both = (p.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+        return p.select("a", "b")
+    texts = texts_of(docs, p.select(F.explode(F.array("ofa", "ofb")).alias("of")).select("of.*").distinct(), id_col, text_col, "pair-texts")
+    found = aligned(p.select("a", "b"), texts, least)
+    discard(p, texts)
+    return found
+
+
+def aligned(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs whose texts (node, text) have an aligned similarity of ``least`` or more."""
+    both = (pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
             .join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b"))
 
     def body(batches: Iterator[pa.RecordBatch]):
@@ -286,48 +292,83 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             keep = [aligned_similarity(sequence(x, s), sequence(y, t), least) >= least for x, y, s, t in zip(*cols, strict=True)]
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = written(both.select("a", "b", "ta", "tb").mapInArrow(body, "a long, b long"), "links")
-    discard(p, texts)
-    return found
+    return written(both.select("a", "b", "ta", "tb").mapInArrow(body, "a long, b long"), "links")
 
 
 def near_roots(links: DataFrame, jumps: int = 2) -> DataFrame:
-    """node, root of linked nodes: a node of the same component, found in a fixed few steps.
+    """node, root of the nodes b of links with one a for each b: a node of the same component, found in a fixed few steps.
 
-    Each node takes its least linked node, then that one's, and so on.  Equal roots mean one
-    component; different roots may still be one, so this only spares pairs that need no checking.
+    Each node takes its a, then that one's, and so on.  Equal roots mean one component; different
+    roots may still be one, so this only spares pairs that need no checking.
     """
-    up = written(links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")), "roots")
+    up = links.select(F.col("b").alias("node"), F.col("a").alias("root"))
     for _ in range(jumps):
         over = up.select(F.col("node").alias("root"), F.col("root").alias("__up"))
         up = written(up.join(over, "root", "left").select("node", F.coalesce("__up", "root").alias("root")), "roots")
     return up
 
 
+def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of some links, ascending, and the least node of each one's component."""
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    x, y, root = at[:len(u)], at[len(u):], np.arange(len(ids))
+    while (root[x] != root[y]).any():
+        low = np.minimum(root[x], root[y])
+        up = np.arange(len(ids))
+        np.minimum.at(up, root[x], low)
+        np.minimum.at(up, root[y], low)
+        while (up[up] != up).any():
+            up = up[up]
+        root = up[root]
+    return ids, ids[root]
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Links (u, v), u > v, that join the same nodes, never more: those that lie in one task become stars around their least node.
+
+    A task holds EDGES links at once.  The last u of a piece and its root stand in the next piece, so
+    links that are sorted by u meet all others of their u.
+    """
+    def stars(u, v):
+        node, root = forest(u, v)
+        kept = node != root
+        return pa.RecordBatch.from_arrays([pa.array(node[kept]), pa.array(root[kept])], ["u", "v"]), root[np.searchsorted(node, u[-1])]
+
+    def body(batches: Iterator[pa.RecordBatch]):
+        held, n = [], 0
+        for b in batches:
+            held.append([b.column(c).to_numpy() for c in ("u", "v")])
+            n += b.num_rows
+            if n >= EDGES:
+                u, v = map(np.concatenate, zip(*held, strict=True))
+                found, root = stars(u, v)
+                yield found
+                held, n = [[u[-1:], np.array([root])]], 1
+        if n:
+            yield stars(*map(np.concatenate, zip(*held, strict=True)))[0]
+
+    return edges.select("u", "v").mapInArrow(body, "u long, v long")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """node, root (least node of its component) for every linked node; alternating star contraction.
+    """node, root (least node of its component) for every linked node, as a written table.
 
-    Each round is two aggregations and two joins by node; tables are written, so no lineage grows.
-    Ends when a round changes no edge.
+    Links become stars wherever they lie.  While a node still has two links to lesser nodes, or a
+    centre has one, each link to a centre goes to the centre's least node and the links of a node
+    meet in one task to become stars again.  Every round drops links or lowers their ends; tables are
+    written, so no lineage grows.
     """
-    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
-    state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = None
-    while (now := state(edges)) != before:
-        before = now
-        # large star: a node's greater neighbours go to the least of it and all its neighbours
-        around = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        # small star: a node and its lesser neighbours go to the least of them
-        lesser = large.where("u > v")
-        least = lesser.groupBy("u").agg(F.min("v").alias("m"))
-        joined = lesser.join(least, "u")
-        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        last, edges = edges, written(small.where("u != v").distinct(), "edges")
-        discard(last)
-    return edges.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root").unionByName(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    edges = written(contracted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
+    while True:
+        to = edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")))
+        up = written(to.groupBy("node").agg(F.min("root").alias("root"), F.max("root").alias("other")), "roots")
+        if up.where("root != other").isEmpty():
+            discard(edges)
+            return up.select("node", "root")
+        over = up.select(F.col("node").alias("v"), "root")
+        moved = edges.join(over, "v").select("u", F.col("root").alias("v")).repartition("u").sortWithinPartitions("u")
+        last, edges = edges, written(contracted(moved), "edges")
+        discard(last, up)
 
 
 def mixed(buckets: DataFrame, roots: DataFrame) -> DataFrame:
@@ -438,8 +479,7 @@ def bucket_pairs(rest: DataFrame, least: float, nearest: bool) -> DataFrame:
     return groups.mapInArrow(body, "a long, b long").distinct()
 
 
-def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str, check,
-               least: float) -> DataFrame:
+def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: DataFrame, id_col: str, text_col: str, least: float) -> DataFrame:
     """node, root of the components once no two members of a bucket (key, node, lo, hi) are left to compare.
 
     Texts in buckets that still hold several components get finer buckets, one for each of their
@@ -447,23 +487,20 @@ def every_pair(members: DataFrame, nodes: DataFrame, links: DataFrame, docs: Dat
     bucket that its parities are nearest to, which joins most of what belongs together; then every
     two members of different components meet unless a bound excludes them or they met before.
     """
-    roots = written(components(links), "roots")
+    roots = components(links)
     # the least and greatest node of a bucket have met all its members
     still = mixed(members.where("node != lo and node != hi").select("key", "node"), roots).select("node").distinct()
-    texts = written(rows_of(docs, nodes.join(still, "node").select("node", "h1", "h2"), id_col, text_col)
-                    .select(F.col("__node").alias("node"), F.coalesce(quoted(text_col), F.lit("")).alias("text")), "open-texts")
+    texts = texts_of(docs, nodes.join(still, "node").select("node", "h1", "h2"), id_col, text_col, "open-texts")
     rare = written(rare_shingles(texts, least), "rare")
-    discard(texts)
     seen = None
     for nearest in (True, False):
         pairs = bucket_pairs(mixed(rare, roots), least, nearest)
         pairs = written(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"), "met")
-        found = pairs if pairs.isEmpty() else check(pairs)
+        found = pairs if pairs.isEmpty() else aligned(pairs, texts, least)  # both bounds hold already
         if not found.isEmpty():
-            roots = written(components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
-                                       .unionByName(found)), "roots")
+            roots = components(roots.where("node != root").select(F.col("root").alias("a"), F.col("node").alias("b")).unionByName(found))
         seen = pairs
-    discard(rare)
+    discard(rare, texts)
     return roots
 
 
@@ -477,7 +514,7 @@ def text_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the other hubs, where they might join what is still apart
     links = links.unionByName(check(hub_pairs(members, near_roots(links))))
     # what is still apart: finer buckets, and new hubs until none has anything left to compare
-    roots = every_pair(members, nodes, links, docs, id_col, text_col, check, least)
+    roots = every_pair(members, nodes, links, docs, id_col, text_col, least)
     return nodes.select("h1", "h2", "node").join(roots, "node", "left").select(
         "h1", "h2", "node", F.coalesce("root", "node").alias("class_id"))
 

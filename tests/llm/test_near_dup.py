@@ -228,3 +228,63 @@ def test_members_of_a_bucket_meet_where_they_are_grouped(spark, monkeypatch, til
     assert 20 < len(may) < 300 and len(got) == len(may) and set(got) == may
     near = {(x["a"], x["b"]) for x in N.bucket_pairs(rest, 0.8, True).collect()}
     assert near <= may and {i for p in near for i in p} == {i for p in may for i in p}
+
+
+@pytest.mark.parametrize("edges", [5, 1 << 20])
+def test_links_meet_in_few_passes(spark, monkeypatch, edges):
+    """Links that are stars already take one pass; chains, shared leaves and pieces of a few links end in the same roots."""
+    monkeypatch.setattr(N, "EDGES", edges)
+    made = []
+    plain = N.written
+    monkeypatch.setattr(N, "written", lambda df, name, *more: made.append(name) or plain(df, name, *more))
+    frame = lambda links: spark.createDataFrame(links, "a long, b long").repartition(6)
+    stars = [(h, h + 1 + i) for h in (0, 1000, 2000) for i in range(200)]
+    assert {x["node"]: x["root"] for x in N.components(frame(stars)).collect()} == {n: h for h, x in stars for n in (h, x)}
+    assert made == ["edges", "roots"]
+    made.clear()
+    links = stars + [(3000 + i, 3001 + i) for i in range(60)] + [(50, 1050), (1060, 2060), (199, 5000), (-7, 5000)] + [(i, 9000) for i in range(4000, 4050)]
+    want = {n: -7 for n in [-7, 5000, *(x for s in stars for x in s)]} | {3000 + i: 3000 for i in range(61)} | {n: 4000 for n in [9000, *range(4000, 4050)]}
+    got = N.components(frame(links)).collect()
+    assert len(got) == len(want) and {x["node"]: x["root"] for x in got} == want
+    assert made.count("edges") <= 8
+
+
+def test_forest_never_has_more_links():
+    r = np.random.default_rng(4)
+    for _ in range(50):
+        x = r.integers(0, 80, (2, r.integers(1, 90)))
+        x = x[:, x[0] != x[1]]
+        if not x.size:
+            continue
+        node, root = N.forest(x.max(0), x.min(0))
+        want = {n: n for n in x.ravel().tolist()}
+        for _ in range(80):
+            for a, b in x.T.tolist():
+                want[a] = want[b] = min(want[a], want[b])
+        assert dict(zip(node.tolist(), root.tolist(), strict=True)) == want and (node != root).sum() <= x.shape[1]
+
+
+def test_open_texts_are_read_once(spark, monkeypatch):
+    """Texts of finer buckets are fetched once, for their shingles and for every comparison that follows."""
+    r = random.Random(4)
+    original = [f"w{r.randrange(10 ** 6)}" for _ in range(400)]
+    texts = []
+    for _ in range(60):
+        w = list(original)
+        for at in r.sample(range(0, 400, 10), 8):
+            w[at + r.randrange(10)] = f"v{r.randrange(10 ** 9)}"
+        texts.append(" ".join(w))
+    rows = [(i if i < 30 else i + 1, t) for i, t in enumerate(texts)] + [(30, " ".join(original))]
+    made = []
+    plain = N.written
+    monkeypatch.setattr(N, "written", lambda df, name, *more: made.append(name) or plain(df, name, *more))
+    N.near_duplicate_classes(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert made.count("met") == 2 and made.count("open-texts") == 1
+    assert made.count("pair-texts") <= 2 and made.count("pairs") <= 2
+    assert made.count("links") > made.count("pair-texts")
+
+
+def test_first_pairs_take_the_hub_met_most(spark):
+    rows = [(1, 9, 2), (2, 9, 2), (3, 9, 1), (4, 8, 3), (5, 8, 1), (6, 3, 3), (7, 8, 1), (8, 8, 3)]
+    got = N.first_pairs(spark.createDataFrame(rows, "key long, node long, lo long")).collect()
+    assert {(x["a"], x["b"]) for x in got} == {(2, 9), (1, 8)} and len(got) == 2
