@@ -59,8 +59,8 @@ def cutoff_sweep(df: DataFrame, label: str, score: str, cutoffs: Sequence[float]
     s = q(score).cast("double")
     # each row goes to the number of cutoffs it passes, found by bisection: at most 2 x (cutoffs + 1)
     # groups, counted map-side
-    rows = df.where(s.isNotNull() & q(label).isNotNull()).select(s.alias("__s"), q(label).cast("int").alias("__y"))
-    counts = count_below(rows, F.col("__s"), arr, len(cs), "__b", inclusive).groupBy("__b", "__y").agg(F.count(F.lit(1)).alias("__n"))
+    rows = df.where(s.isNotNull() & q(label).isNotNull()).select(s.alias("__v"), q(label).cast("int").alias("__y"))
+    counts = count_below(rows, F.col("__v"), arr, len(cs), "__b", inclusive).groupBy("__b", "__y").agg(F.count(F.lit(1)).alias("__n"))
     # a zero-count identity row gives every cutoff a row even when there is no data
     zero = df.sparkSession.range(1).select(F.lit(0).alias("__b"), F.lit(0).alias("__y"), F.lit(0).cast("long").alias("__n"))
     counts = counts.select("__b", "__y", F.col("__n").cast("long").alias("__n")).unionByName(zero)
