@@ -7,19 +7,22 @@ again and take the place of the left word, which gives phrases of three words, t
 
 A task works in blocks of about a million words of one language and counts inside a block first.
 Spark sums the blocks' counts, ranks what is frequent with a distributed index, and sends each block
-the numbers of its own words or phrases; no vocabulary stands whole in one place.
+the numbers of its own words or phrases; no vocabulary stands whole in one place.  In Spark a block
+is one row of state and a plain row for each cell: an array of a million cells would be held whole,
+several blocks at once, by whatever reads it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, pack, quoted, unpack, written
@@ -34,6 +37,8 @@ SHIFT = 31  # a pair's key: left id << SHIFT | right id
 BLOCK_WORDS = 1 << 20
 KEYS_HERE = 1 << 20  # frequent keys that are sent to every task
 SLICE = 1 << 20  # bytes of a text split at once
+CELLS = 1 << 15  # rows of an Arrow batch of cells
+TEXTS, STATES = 1000, 2  # rows of an Arrow batch of texts, of blocks
 LONGEST = 4
 
 
@@ -48,26 +53,40 @@ def words_of(text: str) -> Iterator[list[bytes]]:
         low = high
 
 
+def keys_of(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    return left.astype(np.int64) << SHIFT | right
+
+
 def tile_counts(left: np.ndarray, right: np.ndarray, side: int = SIDE, dense: int = DENSE) -> tuple[np.ndarray, np.ndarray]:
     """Different pairs as sorted keys, and how often each occurs."""
     if not len(left):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    across = int(right.max()) // side + 1
-    tile = left // side * across + right // side
+    tile = left.astype(np.int64)
+    tile //= side
+    tile *= int(right.max()) // side + 1
+    tile += right // side
     by_tile = np.argsort(tile, kind="stable")
     tile, left, right = tile[by_tile], left[by_tile], right[by_tile]
+    del by_tile
     first = np.flatnonzero(np.concatenate([[True], tile[1:] != tile[:-1]]))
-    size = np.diff(np.append(first, len(tile)))
-    sparse = np.ones(len(tile), bool)
+    del tile
+    size = np.diff(np.append(first, len(left)))
+    sparse = np.ones(len(left), bool)
     keys, counts = [], []
     for low, n in zip(first[size * dense >= side * side].tolist(), size[size * dense >= side * side].tolist(), strict=True):
         part = slice(low, low + n)
         sparse[part] = False
         cells = np.bincount(left[part] % side * side + right[part] % side, minlength=side * side)
         held = np.flatnonzero(cells)
-        keys.append((left[low] // side * side + held // side) << SHIFT | right[low] // side * side + held % side)
+        keys.append((int(left[low]) // side * side + held // side) << SHIFT | int(right[low]) // side * side + held % side)
         counts.append(cells[held])
-    key, n = np.unique(left[sparse] << SHIFT | right[sparse], return_counts=True)
+    key = keys_of(left[sparse], right[sparse])
+    del left, right, sparse, first, size
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])[:len(key)])
+    key, n = key[first], np.diff(np.append(first, len(key)))
+    if not keys:
+        return key, n
     keys, counts = np.concatenate([*keys, key]), np.concatenate([*counts, n])
     in_order = np.argsort(keys, kind="stable")
     return keys[in_order], counts[in_order]
@@ -97,79 +116,113 @@ class Words(dict):
         return n
 
 
-BLOCK_COLUMNS = ["block", "lang", "base", "gram", "keys", "counts"]
-BLOCK_SCHEMA = "block long, lang string, base binary, gram binary, keys {}, counts array<long>"
+BLOCK_COLUMNS = ["block", "lang", "words", "base", "gram", "key", "n"]
+BLOCK_SCHEMA = "block long, lang string, words binary, base binary, gram binary, key {}, n long"
+STATE, CELL = "base is not null", "key is not null"
+
+
+def block_rows(block: int, lang: str, words: bytes, base: bytes, gram: bytes, keys: pa.Array, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """A block's row of state, then a row for each of its cells in batches of ``CELLS`` at most."""
+    none = pa.nulls(1, keys.type), pa.nulls(1, pa.int64())
+    state = [pa.array([x], pa.binary()) for x in (words, base, gram)]
+    yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([lang], pa.string()), *state, *none], BLOCK_COLUMNS)
+    for low in range(0, len(keys), CELLS):
+        key = keys.slice(low, CELLS)
+        of = [pa.repeat(pa.scalar(block, pa.int64()), len(key)), pa.repeat(pa.scalar(lang, pa.string()), len(key))]
+        yield pa.RecordBatch.from_arrays([*of, *[pa.nulls(len(key), pa.binary())] * 3, key, pa.array(counts[low:low + CELLS], pa.int64())], BLOCK_COLUMNS)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int):
+    """While open, Arrow batches that go to Python workers have ``most`` rows at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(name)
+    spark.conf.set(name, str(min(most, int(was)) if int(was) > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
 
 
 def word_blocks(docs: DataFrame, text_col: str, lang_col: str, block_words: int) -> DataFrame:
-    """Blocks of texts of one language: base (places of words), keys (the words by place), counts."""
+    """Blocks of texts of one language: base (places of words), words (joined by blanks, by place); a cell for each word."""
     t = docs.select(quoted(text_col).cast("string").alias("text"), F.coalesce(quoted(lang_col).cast("string"), F.lit("und")).alias("lang"))
 
-    def row(block: int, lang: str, words: Words, parts: list) -> pa.RecordBatch:
+    def rows(block: int, lang: str, words: Words, parts: list) -> Iterator[pa.RecordBatch]:
         places = np.concatenate(parts)
         counts = np.bincount(places, minlength=len(words))[1:]
-        names = pa.array(list(words)[1:], pa.binary()).cast(pa.string())
-        return pa.RecordBatch.from_arrays(
-            [pa.array([block], pa.int64()), pa.array([lang], pa.string()), pa.array([pack(places)], pa.binary()), pa.array([b""], pa.binary()),
-             pa.ListArray.from_arrays([0, len(names)], names), pa.array([counts], pa.list_(pa.int64()))],
-            BLOCK_COLUMNS)
+        names = list(words)[1:]
+        yield from block_rows(block, lang, b" ".join(names), pack(places), b"", pa.array(names, pa.binary()).cast(pa.string()), counts)
 
     def body(batches: Iterator[pa.RecordBatch]):
         made, open_blocks, size = TaskContext.get().partitionId() << 32, {}, {}
 
-        def closed(lang: str) -> pa.RecordBatch:
+        def closed(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal made
             made += 1
             size.pop(lang)
-            return row(made, lang, *open_blocks.pop(lang))
+            return rows(made, lang, *open_blocks.pop(lang))
 
         for batch in batches:
             for at in range(batch.num_rows):
                 text, lang = batch.column("text")[at].as_py(), batch.column("lang")[at].as_py()
                 for some in words_of(text or ""):
                     words, parts = open_blocks.setdefault(lang, (Words(), []))
-                    parts.append(np.array([*map(words.__getitem__, some), 0], np.int64))
+                    parts.append(np.array([*map(words.__getitem__, some), 0], np.uint32))
                     size[lang] = size.get(lang, 0) + len(parts[-1])
                     if size[lang] >= block_words:
-                        yield closed(lang)
+                        yield from closed(lang)
                     elif sum(size.values()) >= 4 * block_words:  # many languages at once: the fullest block goes
-                        yield closed(max(size, key=size.get))
+                        yield from closed(max(size, key=size.get))
         for lang in list(open_blocks):
-            yield closed(lang)
+            yield from closed(lang)
 
-    return t.mapInArrow(body, BLOCK_SCHEMA.format("array<string>"))
+    return t.mapInArrow(body, BLOCK_SCHEMA.format("string"))
 
 
 def ranked(blocks: DataFrame, least: int) -> DataFrame:
     """lang, key, f, id: the keys of all blocks with ``least`` or more occurrences, numbered from 0 by falling f."""
-    cells = blocks.select("lang", F.explode(F.arrays_zip("keys", "counts")).alias("c"))
-    n = cells.groupBy("lang", F.col("c.keys").alias("key")).agg(F.sum("c.counts").alias("f")).where(F.col("f") >= least)
+    n = blocks.where(CELL).select("lang", "key", "n").repartition("lang", "key").groupBy("lang", "key").agg(F.sum("n").alias("f")).where(F.col("f") >= least)
     out = order.row_index(n, [F.col("f").desc(), "key"], by=["lang"], out="id")
     return written(out.withColumn("id", F.col("id") - 1), "ranked")
 
 
-def renumbered(base: np.ndarray, gram: np.ndarray, number, n: int) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
-    """(base, gram, cells, counts) of a block once its phrases of n words are numbered.
+def numbers(words: bytes, known: pa.Array | np.ndarray, ids: np.ndarray, n: int) -> Callable:
+    """ids + 1 (0: infrequent) for keys of phrases, or for places of a block's words if n is 1, given the frequent keys in order."""
+    if n == 1:
+        named = pc.split_pattern(pa.array([words], pa.binary()).cast(pa.string()), " ").values
+        place = pc.index_in(known, value_set=named)
+        to = np.zeros(len(named) + 1, np.uint32)
+        to[place.drop_null().to_numpy() + 1] = ids[place.is_valid().to_numpy(zero_copy_only=False)] + 1
+        return to.__getitem__
 
-    ``number`` gives ids + 1 (0: infrequent) for keys of phrases, or for places of words if n is 1.
-    """
+    def number(keys: np.ndarray) -> np.ndarray:
+        if not len(known):
+            return np.zeros(len(keys), np.uint32)
+        where = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+        return np.where(known[where] == keys, ids[where] + 1, 0)
+
+    return number
+
+
+def renumbered(block: int, lang: str, words: bytes, base: bytes, gram: bytes, known: pa.Array | np.ndarray, ids: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """A block's rows once its phrases of n words are numbered by ``ids`` of the keys ``known``, with the cells of n + 1 words."""
+    number = numbers(words, known, ids, n)
+    base = unpack(base).astype(np.uint32)
     if n == 1:
         base = gram = number(base)
     else:
-        at, left, right = pairs_at(base, gram, n)
-        gram = np.zeros(len(base), np.int64)
-        gram[at] = number(left << SHIFT | right)
-    _, left, right = pairs_at(base, gram, n + 1)
-    cells, counts = tile_counts(left, right)
-    # nothing reads the ids behind the last level
-    return *(pack(x) if n + 1 < LONGEST else b"" for x in (base, gram)), cells, counts
-
-
-def block_table(block: list, lang: list, got: list) -> list[pa.Array]:
-    base, gram, cells, counts = zip(*got, strict=True) if got else ([],) * 4
-    longs = pa.list_(pa.int64())
-    return [pa.array(block, pa.int64()), pa.array(lang, pa.string()), pa.array(base, pa.binary()), pa.array(gram, pa.binary()),
-            pa.array(cells, longs), pa.array(counts, longs)]
+        at, left, right = pairs_at(base, base if n == 2 else unpack(gram).astype(np.uint32), n)
+        gram = np.zeros(len(base), np.uint32)
+        for low in range(0, len(at), CELLS):
+            some = slice(low, low + CELLS)
+            gram[at[some]] = number(keys_of(left[some], right[some]))
+        del at, left, right
+    cells, counts = tile_counts(*pairs_at(base, gram, n + 1)[1:])
+    # nothing reads the ids behind the last level, nor the words' ids twice
+    kept = (pack(base), pack(gram) if n > 1 else b"") if n + 1 < LONGEST else (b"", b"")
+    del base, gram
+    yield from block_rows(block, lang, b"", *kept, pa.array(cells), counts)
 
 
 def numbered_here(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
@@ -179,48 +232,39 @@ def numbered_here(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
         mine = table.filter(pc.equal(table.column("lang"), lang)).sort_by("key")
         keys, ids = (mine.column(c).combine_chunks() for c in ("key", "id"))
         held[lang] = keys if n == 1 else keys.to_numpy(), ids.to_numpy()
-    shared = blocks.sparkSession.sparkContext.broadcast(held)
+    spark = blocks.sparkSession
+    shared = spark.sparkContext.broadcast(held)
+    none = pa.array([], pa.string()) if n == 1 else np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def body(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for at in range(batch.num_rows):
-                block, lang, base, gram = (batch.column(c)[at].as_py() for c in ("block", "lang", "base", "gram"))
-                known, ids = shared.value.get(lang, (pa.array([], pa.string()) if n == 1 else np.zeros(0, np.int64), np.zeros(0, np.int64)))
-                if n == 1:
-                    place = pc.index_in(batch.column("keys")[at].values, value_set=known).fill_null(-1).to_numpy().astype(np.int64)
-                    to = np.concatenate([[0], np.append(ids + 1, 0)[place]])
-                    got = renumbered(unpack(base), unpack(base), to.__getitem__, n)
-                else:
-                    def number(keys, known=known, ids=ids):
-                        where = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
-                        return np.where(known[where] == keys, ids[where] + 1, 0) if len(known) else np.zeros(len(keys), np.int64)
-                    got = renumbered(unpack(base), unpack(gram), number, n)
-                yield pa.RecordBatch.from_arrays(block_table([block], [lang], [got]), BLOCK_COLUMNS)
-
-    columns = blocks if n == 1 else blocks.drop("keys")
-    return columns.drop("counts").mapInArrow(body, BLOCK_SCHEMA.format("array<long>"))
+                block, lang, *state = (c[at].as_py() for c in batch.columns)
+                yield from renumbered(block, lang, *state, *shared.value.get(lang, none), n)
+
+    states = blocks.where(STATE).select(BLOCK_COLUMNS[:-2])
+    with arrow_rows(spark, STATES):
+        out = written(states.mapInArrow(body, BLOCK_SCHEMA.format("long")), "phrase-blocks", "zstd")
+    shared.destroy()
+    return out
 
 
 def numbered_by_join(blocks: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
     """``next_blocks`` where each block is sent the numbers of its own keys only."""
-    places = blocks.select(F.col("block").alias("of"), "lang", F.posexplode("keys").alias("place", "key"))
-    found = places.join(ranks.select("lang", "key", "id"), ["lang", "key"]).select("of", "place", "id")
+    places = blocks.where(CELL).select(F.col("block").alias("of"), "lang", "key")
+    found = places.join(ranks.select("lang", "key", "id"), ["lang", "key"]).select("of", "key", "id")
 
     def body(block: pa.Table, mine: pa.Table) -> pa.Table:
-        base, gram = (block.column(c)[0].as_py() for c in ("base", "gram"))
-        base, gram = unpack(base), unpack(gram) if n > 1 else None
-        size = int(base.max(initial=0)) if n == 1 else 0
-        if n > 1:  # the block's keys in order, as they were counted
-            _, left, right = pairs_at(base, gram, n)
-            keys = tile_counts(left, right)[0]
-            size = len(keys)
-        to = np.zeros(size + 1, np.int64)
-        to[mine.column("place").to_numpy()] = mine.column("id").to_numpy() + 1
-        number = np.concatenate([[0], to[:-1]]).__getitem__ if n == 1 else lambda k: to[np.searchsorted(keys, k)]
-        got = renumbered(base, gram, number, n)
-        return pa.table(block_table(block.column("block").to_pylist(), block.column("lang").to_pylist(), [got]), BLOCK_COLUMNS)
-
-    return blocks.drop("counts", "keys").groupBy("block").cogroup(found.groupBy("of")).applyInArrow(body, BLOCK_SCHEMA.format("array<long>"))
+        key, ids = mine.column("key").combine_chunks(), mine.column("id").to_numpy()
+        if n > 1:
+            key = key.to_numpy()
+            in_order = np.argsort(key)
+            key, ids = key[in_order], ids[in_order]
+        return pa.Table.from_batches(renumbered(*(c[0].as_py() for c in block.columns), key, ids, n))
+
+    states = blocks.where(STATE).select(BLOCK_COLUMNS[:-2])
+    out = states.groupBy("block").cogroup(found.groupBy("of")).applyInArrow(body, BLOCK_SCHEMA.format("long"))
+    return written(out, "phrase-blocks", "zstd")
 
 
 def next_blocks(blocks: DataFrame, ranks: DataFrame, n: int, most_here: int = KEYS_HERE) -> DataFrame:
@@ -231,8 +275,7 @@ def next_blocks(blocks: DataFrame, ranks: DataFrame, n: int, most_here: int = KE
     """
     size = ranks.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(F.col("key").cast("string"))), F.lit(0))).first()
     here = size[0] <= most_here and (n > 1 or size[1] <= 16 * most_here)
-    out = (numbered_here if here else numbered_by_join)(blocks, ranks, n)
-    return written(out, "phrase-blocks", "zstd")
+    return (numbered_here if here else numbered_by_join)(blocks, ranks, n)
 
 
 def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", lang_col: str = "lang",
@@ -243,8 +286,9 @@ def frequent_phrases(docs: DataFrame, least: int = 30, text_col: str = "text", l
     ``.,;:!?`` and line ends; phrases lie inside a piece, overlapping occurrences all count, repeated
     rows too.  A NULL language is ``und``.  Columns of other names are not read.
     """
-    blocks = written(word_blocks(docs, text_col, lang_col, block_words), "word-blocks", "zstd")
-    total = blocks.groupBy("lang").agg(F.sum(F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x)).alias("n"))
+    with arrow_rows(docs.sparkSession, TEXTS):
+        blocks = written(word_blocks(docs, text_col, lang_col, block_words), "word-blocks", "zstd")
+    total = blocks.groupBy("lang").agg(F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("n"))
     ranks = ranked(blocks, least)
     words = ranks.select("lang", "id", F.col("key").alias("phrase"), "f")
     parts, found = words, words.withColumn("size", F.lit(1))

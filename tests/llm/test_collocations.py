@@ -2,9 +2,11 @@
 
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quarry.llm import collocations as co
@@ -83,3 +85,35 @@ def test_scores_beyond_64_bits(spark):
     big = 4_000_000_000_000_000_000
     found = spark.createDataFrame([("x", "a", 1, big), ("x", "b", 1, big), ("x", "a b", 2, big - 1)], "lang string, phrase string, size int, f long")
     assert co.scored(found).first()["score"] == 2000000 * (big - 1) // (2 * big)
+
+
+def test_cells_are_plain_rows_in_bounded_batches(spark, monkeypatch):
+    rows = phrases()
+    df = spark.createDataFrame(rows, "lang string, text string").repartition(3)
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    blocks = co.word_blocks(df, "text", "lang", 50)
+    assert not [f.name for f in blocks.schema if f.dataType.typeName() == "array"]
+    words = Counter()
+    for r in blocks.where("key is not null").collect():
+        words[r["lang"], r["key"]] += r["n"]
+    want = Counter()
+    for lang, text in rows:
+        for part in co.words_of(text or ""):
+            want.update((lang or "und", w.decode()) for w in part if w != co.BREAK)
+    assert words == want
+    co.collocations(df, 6).count()
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == was
+    monkeypatch.setattr(co, "CELLS", 7)
+    made = list(co.block_rows(5, "en", b"", b"b", b"", pa.array(range(30)), np.arange(30)))
+    assert [b.num_rows for b in made] == [1, 7, 7, 7, 7, 2]
+    assert [r["key"] for b in made for r in b.to_pylist() if r["base"] is None] == list(range(30))
+
+
+def test_tiles_need_few_bytes_a_pair():
+    r = np.random.default_rng(5)
+    left, right = (r.integers(0, 100_000, 400_000) for _ in "lr")
+    tracemalloc.start()
+    co.tile_counts(left, right)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 72 * len(left)
